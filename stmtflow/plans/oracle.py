@@ -238,17 +238,23 @@ register(
     "parted",
 )
 register("forget_source", "SELECT source_id, source_key FROM ledger0 WHERE source_id NOT IN ('src3', 'src7')", "ledger0")
+
+
+def _at(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
 _RUN_STATE = "id, source_id, status, error, statement_balance_cents"
 register(
     "run_log",
-    f"SELECT {_RUN_STATE}, CAST(epoch_us(finished_at) AS BIGINT) AS finished_us FROM runs",
+    f"SELECT {_RUN_STATE}, {_at("finished_at")} AS finished FROM runs",
     "runs",
 )
 register(
     "abandon_runs",
     """SELECT id, source_id, CASE WHEN status = 'fetched' THEN 'abandoned' ELSE status END AS status,
       CASE WHEN status = 'fetched' THEN 'pipeline restarted before import' ELSE error END AS error,
-      CASE WHEN status = 'fetched' THEN epoch_us(TIMESTAMP '2024-01-20') ELSE epoch_us(finished_at) END AS finished_us FROM runs""",
+      CASE WHEN status = 'fetched' THEN '2024-01-20 00:00:00.000000' ELSE strftime(finished_at, '%Y-%m-%d %H:%M:%S.%f') END AS finished FROM runs""",
     "runs",
 )
 _LATE = "status = 'fetched' AND TIMESTAMP '2024-01-20' > started_at + INTERVAL 3600 SECOND"
@@ -256,7 +262,7 @@ register(
     "expire_runs",
     f"""SELECT id, source_id, CASE WHEN {_LATE} THEN 'abandoned' ELSE status END AS status,
       CASE WHEN {_LATE} THEN 'batch expired before import' ELSE error END AS error,
-      CASE WHEN {_LATE} THEN epoch_us(TIMESTAMP '2024-01-20') ELSE epoch_us(finished_at) END AS finished_us FROM runs""",
+      CASE WHEN {_LATE} THEN '2024-01-20 00:00:00.000000' ELSE {_at("finished_at")} END AS finished FROM runs""",
     "runs",
 )
 view(
@@ -268,7 +274,7 @@ view(
 )
 register(
     "latest_statement_balance",
-    "SELECT source_id, statement_balance_cents, statement_balance_date, epoch_us(started_at) AS seen_us FROM latest_balance",
+    f"SELECT source_id, statement_balance_cents, statement_balance_date, {_at('started_at')} AS seen FROM latest_balance",
     "latest_balance",
 )
 register(
@@ -299,3 +305,479 @@ register(
     "runs",
     "sources",
 )
+
+# --- matching and import ----------------------------------------------------------------------
+
+view(
+    "resolved",
+    """SELECT s.id AS source_id, s.actual_account, a.id AS account_id, a.off_budget,
+      CASE WHEN a.id IS NULL THEN 'no account named ' || s.actual_account END AS error
+    FROM sources s LEFT JOIN accounts a ON a.name = s.actual_account""",
+    "sources",
+    "accounts",
+)
+view(
+    "importable",
+    """SELECT source_id, source_key, account_id, imported_id, booking_date, amount_cents,
+      trim(coalesce(nullif(counterpart_name, ''), nullif(posting_text, ''), 'Unknown payee')) AS payee, left(purpose, 500) AS notes
+    FROM parted JOIN resolved USING (source_id) WHERE dedup_status = 'new' AND error IS NULL""",
+    "parted",
+    "resolved",
+)
+view(
+    "budget",
+    """SELECT sha256(source_id || '/' || source_key) AS id, account_ref AS account_id,
+      CASE WHEN own AND weekend THEN booking_date + 2 WHEN own THEN booking_date
+        ELSE booking_date + CAST(day(booking_date) % 7 - 3 AS INTEGER) END AS booking_date,
+      amount_cents, CASE WHEN own OR NOT weekend THEN counterpart_name END AS payee,
+      CASE WHEN own THEN purpose END AS notes,
+      CASE WHEN own THEN imported_id WHEN month(booking_date) = 12 THEN 'other:' || source_key END AS imported_id,
+      own AND NOT weekend AS cleared
+    FROM (SELECT *, doc = 'a.csv' OR (quarter(booking_date) <= 2 AND amount_cents > 0) AS own,
+        dayofweek(booking_date) IN (0, 6) AS weekend FROM merged)
+    WHERE own OR quarter(booking_date) > 2""",
+    "merged",
+)
+register("resolve_accounts", "SELECT * FROM resolved", "resolved")
+register(
+    "match_exact",
+    """SELECT i.source_id, i.source_key, b.id AS matched_id,
+      b.id IS NOT NULL AND (b.booking_date <> i.booking_date OR NOT b.cleared) AS differs
+    FROM importable i LEFT JOIN budget b ON b.account_id = i.account_id AND b.imported_id = i.imported_id""",
+    "importable",
+    "budget",
+)
+view(
+    "pairs",
+    """SELECT i.source_id, i.source_key, b.id, abs(date_diff('day', i.booking_date, b.booking_date)) AS days,
+      b.booking_date AS day, coalesce(b.payee = i.payee, false) AS same
+    FROM importable i JOIN budget b ON b.account_id = i.account_id AND b.amount_cents = i.amount_cents
+      AND b.booking_date BETWEEN i.booking_date - 7 AND i.booking_date + 7 AND b.imported_id IS NULL""",
+    "importable",
+    "budget",
+)
+register(
+    "match_candidates",
+    """SELECT i.source_id, i.source_key, coalesce(candidates, 0) AS candidates, best_id, coalesce(best_same_payee, false) AS best_same_payee
+    FROM importable i LEFT JOIN (
+      SELECT source_id, source_key, count(*) AS candidates,
+        first(id ORDER BY same DESC, days, day, id) AS best_id, bool_or(same) AS best_same_payee
+      FROM pairs GROUP BY source_id, source_key) p USING (source_id, source_key)""",
+    "importable",
+    "pairs",
+)
+
+# --- budget store -----------------------------------------------------------------------------
+
+view(
+    "booked",
+    """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id, 'acct' || s_nationkey AS account_id,
+      CAST(l_shipdate AS DATE) AS booking_date,
+      (CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END) * CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_cents,
+      'payee' || l_suppkey AS payee_id, s_name || ' ' || p_type AS imported_payee,
+      CASE WHEN l_returnflag <> 'N' THEN p_type || '/' || p_brand END AS category_id,
+      'Order ' || l_orderkey || '  ' || p_name AS notes, l_linenumber = 7 AS is_parent, l_discount = 0 AS tombstone,
+      l_tax > 0 AND l_tax = 0.08 AS starting_balance_flag, l_suppkey, s_nationkey, s_acctbal
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey""",
+)
+view(
+    "openings",
+    """SELECT 'acct' || n_nationkey AS account_id, 'src' || n_nationkey AS source_id, DATE '1994-12-31' AS booking_date,
+      CAST(n_nationkey * 1000 AS BIGINT) AS amount_cents
+    FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AMERICA', 'EUROPE')""",
+)
+view(
+    "balances",
+    """SELECT a.id AS account_id, name, off_budget, CAST(coalesce(b, 0) AS BIGINT) AS balance_cents
+    FROM accounts a LEFT JOIN (
+      SELECT account_id, sum(amount_cents) AS b FROM (
+        SELECT account_id, amount_cents FROM booked WHERE NOT tombstone AND NOT is_parent
+        UNION ALL SELECT account_id, amount_cents FROM openings) GROUP BY account_id) t ON t.account_id = a.id
+    WHERE NOT closed""",
+    "accounts",
+    "booked",
+    "openings",
+)
+view(
+    "worth",
+    """SELECT CAST(sum(CASE WHEN NOT off_budget THEN balance_cents ELSE 0 END) AS BIGINT) AS on_budget_cents,
+      CAST(sum(CASE WHEN off_budget THEN balance_cents ELSE 0 END) AS BIGINT) AS off_budget_cents,
+      CAST(sum(balance_cents) AS BIGINT) AS net_worth_cents FROM balances""",
+    "balances",
+)
+register("account_balance", "SELECT * FROM balances", "balances")
+register("net_worth", "SELECT * FROM worth", "worth")
+view(
+    "reconciled",
+    """SELECT s.id AS source_id, s.actual_account AS account, l.statement_balance_cents, l.statement_balance_date,
+      b.balance_cents AS actual_balance_cents, b.balance_cents - l.statement_balance_cents AS delta_cents,
+      b.balance_cents = l.statement_balance_cents AS reconciled
+    FROM sources s JOIN latest_balance l ON l.source_id = s.id JOIN balances b ON b.name = s.actual_account""",
+    "sources",
+    "latest_balance",
+    "balances",
+)
+register("reconciliation", "SELECT * FROM reconciled", "reconciled")
+view(
+    "opened",
+    """SELECT r.source_id, r.actual_account AS account, r.account_id, l.statement_balance_cents, l.statement_balance_date,
+      o.amount_cents AS previous, o.booking_date AS previous_date, e.earliest - 1 AS dated,
+      coalesce(b.balance_cents, 0) - coalesce(o.amount_cents, 0) AS others,
+      coalesce(r.error, CASE WHEN l.statement_balance_cents IS NULL THEN 'no statement balance known' END,
+        CASE WHEN e.earliest IS NULL THEN 'nothing imported yet' END) AS error
+    FROM resolved r LEFT JOIN latest_balance l USING (source_id)
+      LEFT JOIN (SELECT source_id, min(booking_date) AS earliest FROM ledger0 GROUP BY source_id) e USING (source_id)
+      LEFT JOIN balances b ON b.account_id = r.account_id
+      LEFT JOIN openings o ON o.account_id = r.account_id AND o.source_id = r.source_id""",
+    "resolved",
+    "latest_balance",
+    "ledger0",
+    "balances",
+    "openings",
+)
+register(
+    "opening_balance",
+    """SELECT source_id, account, CASE WHEN error IS NOT NULL THEN NULL WHEN previous IS NULL THEN 'created'
+        WHEN previous = statement_balance_cents - others AND previous_date = dated THEN 'unchanged' ELSE 'updated' END AS action,
+      CASE WHEN error IS NULL THEN dated END AS dated, statement_balance_cents, statement_balance_date,
+      previous AS previous_starting_balance_cents,
+      CASE WHEN error IS NULL THEN statement_balance_cents - others END AS starting_balance_cents,
+      CASE WHEN error IS NULL THEN statement_balance_cents END AS account_balance_after_cents, error FROM opened""",
+    "opened",
+)
+register(
+    "starting_balance",
+    """SELECT b.account_id, b.name, b.off_budget,
+      CASE WHEN o.account_id IS NOT NULL AND o.error IS NULL THEN o.statement_balance_cents ELSE b.balance_cents END AS balance_cents
+    FROM balances b LEFT JOIN opened o ON o.account_id = b.account_id""",
+    "balances",
+    "opened",
+)
+
+# --- rules, candidates, examples --------------------------------------------------------------
+
+view(
+    "payees",
+    """SELECT 'payee' || s_suppkey AS id, 'Shop ' || (s_suppkey // 2) AS name, s_acctbal < 0 AS transfer FROM supplier""",
+)
+view(
+    "cats",
+    """SELECT DISTINCT p_type || '/' || p_brand AS id, p_brand || ' ' || p_type AS name, p_type AS group_id,
+      p_brand = 'Brand#13' AS hidden, p_brand = 'Brand#25' AS tombstone FROM part""",
+)
+view(
+    "uncategorised",
+    """SELECT b.*, p.name AS payee FROM booked b JOIN payees p ON p.id = b.payee_id JOIN accounts a ON a.id = b.account_id
+    WHERE NOT b.tombstone AND NOT b.is_parent AND b.category_id IS NULL AND NOT b.starting_balance_flag
+      AND NOT a.closed AND NOT a.off_budget AND NOT p.transfer""",
+    "booked",
+    "payees",
+    "accounts",
+)
+register("uncategorized_txn", "SELECT id, account_id, payee, booking_date, amount_cents FROM uncategorised", "uncategorised")
+view(
+    "visible",
+    """SELECT name, CASE WHEN group_id = 'PROMO' THEN '' ELSE left(group_id, 1) || lower(substr(group_id, 2)) END AS "group"
+    FROM cats WHERE NOT tombstone AND NOT hidden""",
+    "cats",
+)
+register("categories", 'SELECT name, "group" FROM visible', "visible")
+view(
+    "snips",
+    """SELECT payee, snippet, booking_date, id FROM (
+      SELECT payee, left(trim(regexp_replace(regexp_replace(notes, '\\d{3,}', '#', 'g'), '\\s+', ' ', 'g')), 60) AS snippet, booking_date, id
+      FROM uncategorised)
+    WHERE snippet <> ''
+    QUALIFY row_number() OVER (PARTITION BY payee, snippet ORDER BY booking_date, id) = 1""",
+    "uncategorised",
+)
+view(
+    "snips2",
+    """SELECT payee, snippet, row_number() OVER (PARTITION BY payee ORDER BY booking_date, id) AS i FROM snips
+    QUALIFY i <= 2""",
+    "snips",
+)
+register("candidate_snippets", "SELECT payee, snippet FROM snips2", "snips2")
+view(
+    "state0",
+    """SELECT md5(payee) AS id, payee, 'Brand#' || (n + 1) || ' LARGE' AS category,
+      CAST(least(round(abs(v) / 10000, 3), 1.0) AS DECIMAL(4,3)) AS confidence, 'looks alike' AS reason,
+      CASE WHEN n <> 7 THEN k END AS tx_count, CAST(round(v * 100) AS BIGINT) AS avg_amount_cents, payee AS snippets, 'm0' AS model,
+      CASE WHEN n < 4 THEN 'rejected' WHEN n < 6 THEN 'approved' ELSE 'pending' END AS status,
+      TIMESTAMP '2024-01-01' + to_minutes(n) AS created_at
+    FROM (SELECT 'Shop ' || (s_suppkey // 2) AS payee, min(s_suppkey) AS k, min(s_nationkey) AS n, max(s_acctbal) AS v
+      FROM supplier GROUP BY 1) WHERE n < 15""",
+)
+view(
+    "every_candidate",
+    """SELECT u.payee, tx_count, avg_amount_cents, coalesce(snippets, '') AS snippets FROM (
+      SELECT payee, count(*) AS tx_count, CAST(sum(amount_cents) // count(*) AS BIGINT) AS avg_amount_cents
+      FROM uncategorised GROUP BY payee) u
+    LEFT JOIN (SELECT payee, string_agg(snippet, ' | ' ORDER BY i) AS snippets FROM snips2 GROUP BY payee) s USING (payee)""",
+    "uncategorised",
+    "snips2",
+)
+view(
+    "shortlist",
+    """SELECT *, 'p' || row_number() OVER (ORDER BY tx_count DESC, payee) AS ref FROM every_candidate
+    WHERE payee NOT IN (SELECT payee FROM state0 WHERE status IN ('pending', 'rejected'))
+    ORDER BY tx_count DESC, payee LIMIT 25""",
+    "every_candidate",
+    "state0",
+)
+register("categorization_candidates", "SELECT payee, tx_count, avg_amount_cents, snippets FROM shortlist", "shortlist")
+view(
+    "crefs",
+    """SELECT name, "group", row_number() OVER (ORDER BY "group", name) AS position,
+      'c' || row_number() OVER (ORDER BY "group", name) AS ref FROM visible""",
+    "visible",
+)
+register(
+    "context_refs",
+    "SELECT ref, payee AS name FROM shortlist UNION ALL SELECT ref, name FROM crefs",
+    "shortlist",
+    "crefs",
+)
+# conditions of the rules, one row per rule, condition and payee or text
+view(
+    "conds",
+    """SELECT s_suppkey AS rule_order, s_nationkey, 'ECONOMY/Brand#' || (s_nationkey + 1) AS category_id, size, position, item, payee_id, pattern
+    FROM (
+      SELECT *, 1 AS size, 0 AS position, 0 AS item, 'payee' || s_suppkey AS payee_id, NULL AS pattern FROM supplier WHERE s_nationkey < 6
+      UNION ALL SELECT *, 1, 0, 0, 'payee' || (s_suppkey + 1), NULL FROM supplier WHERE s_nationkey BETWEEN 6 AND 11
+      UNION ALL SELECT *, 1, 0, 1, 'payee' || s_suppkey, NULL FROM supplier WHERE s_nationkey BETWEEN 6 AND 11
+      UNION ALL SELECT *, CASE WHEN s_nationkey < 18 THEN 1 ELSE 2 END, 0, 0, NULL, substr(s_name, 5, 20) || ' promo' FROM supplier WHERE s_nationkey BETWEEN 12 AND 21
+      UNION ALL SELECT *, 2, 1, 0, 'payee' || s_suppkey, NULL FROM supplier WHERE s_nationkey BETWEEN 18 AND 21
+    ) WHERE s_nationkey NOT IN (3, 5)""",
+)
+view(
+    "taught",
+    """SELECT n.payee, c.name AS category, rule_order, position, item FROM (
+      SELECT p.name AS payee, conds.* FROM conds JOIN payees p ON p.id = conds.payee_id
+      UNION ALL SELECT '*' || pattern || '*', conds.* FROM conds WHERE pattern IS NOT NULL) n
+    JOIN cats c ON c.id = n.category_id AND NOT c.tombstone
+    QUALIFY row_number() OVER (PARTITION BY n.payee ORDER BY rule_order, position, item) = 1""",
+    "conds",
+    "payees",
+    "cats",
+)
+register("rule_examples", "SELECT payee, category FROM taught", "taught")
+view(
+    "history",
+    """SELECT payee, category, tx_count FROM (
+      SELECT p.name AS payee, c.name AS category, count(*) AS tx_count
+      FROM booked b JOIN payees p ON p.id = b.payee_id JOIN cats c ON c.id = b.category_id AND NOT c.tombstone
+      WHERE NOT b.tombstone AND NOT b.is_parent GROUP BY 1, 2)
+    WHERE payee NOT IN (SELECT payee FROM taught)
+    QUALIFY row_number() OVER (PARTITION BY payee ORDER BY tx_count DESC, category) = 1""",
+    "booked",
+    "payees",
+    "cats",
+    "taught",
+)
+register("history_examples", "SELECT * FROM history", "history")
+view(
+    "examples",
+    """SELECT payee, category, source, position FROM (
+      SELECT payee, category, source, row_number() OVER (ORDER BY kind, rule_order, position, item, tx_count DESC, payee, category) AS position FROM (
+        SELECT payee, category, 'rule' AS source, 0 AS kind, rule_order, position, item, 0 AS tx_count FROM taught
+        UNION ALL SELECT payee, category, 'history', 1, 0, 0, 0, tx_count FROM history))
+    WHERE position <= 60""",
+    "taught",
+    "history",
+)
+register("categorization_examples", "SELECT * FROM examples", "examples")
+view(
+    "outcomes",
+    """SELECT payee_id, imported_payee, first(category_id ORDER BY rule_order DESC) AS rule_category FROM (
+      SELECT s.payee_id, s.imported_payee, rule_order, category_id, size, count(DISTINCT position) AS held
+      FROM (SELECT DISTINCT payee_id, imported_payee FROM booked) s
+        JOIN conds c ON c.payee_id = s.payee_id OR contains(lower(s.imported_payee), lower(c.pattern))
+      GROUP BY ALL HAVING count(DISTINCT position) = size) GROUP BY 1, 2""",
+    "booked",
+    "conds",
+)
+register(
+    "apply_rules",
+    "SELECT id, payee_id, coalesce(rule_category, category_id) AS new_category_id FROM uncategorised LEFT JOIN outcomes USING (payee_id, imported_payee)",
+    "uncategorised",
+    "outcomes",
+)
+register(
+    "apply_rules_all",
+    """SELECT coalesce(rule_category, category_id) AS new_category_id, count(*) AS transactions
+    FROM booked LEFT JOIN outcomes USING (payee_id, imported_payee) WHERE NOT tombstone AND NOT is_parent GROUP BY 1""",
+    "booked",
+    "outcomes",
+)
+register(
+    "apply_rules_stats",
+    """SELECT count(*) AS considered, count(rule_category) AS categorized,
+      (SELECT count(*) FROM supplier WHERE s_nationkey <> 5) AS rules
+    FROM uncategorised LEFT JOIN outcomes USING (payee_id, imported_payee)""",
+    "uncategorised",
+    "outcomes",
+)
+
+# --- proposals --------------------------------------------------------------------------------
+
+
+def loose(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^a-z0-9äöüß]+', ' ', 'g'))"
+
+
+view(
+    "raw",
+    """SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS doc, 0 AS pos, NULL AS ref, '  SHOP-' || (s_suppkey // 2) || '!' AS payee,
+      NULL AS category_ref, 'brand ' || (s_nationkey + 1) || '  large' AS category,
+      round(s_acctbal / 5000, 2) AS confidence, repeat('because ', 50) AS reason FROM supplier
+    UNION ALL SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0'), 1, NULL, 'Nobody ' || s_name, NULL,
+      'brand ' || (s_nationkey + 1) || '  large', 0, NULL FROM supplier
+    UNION ALL SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0'), 2, 'p' || (s_nationkey + 1), '?', 'c' || (s_nationkey * 10), 'none such', 0.5, s_name FROM supplier""",
+)
+view(
+    "context",
+    """SELECT payee, ref, tx_count, avg_amount_cents, snippets FROM shortlist
+    UNION ALL SELECT payee, NULL, tx_count, avg_amount_cents, snippets FROM every_candidate WHERE payee NOT IN (SELECT payee FROM shortlist)""",
+    "shortlist",
+    "every_candidate",
+)
+view(
+    "resolved_proposals",
+    f"""SELECT doc, pos, confidence, reason, coalesce(r.payee, n.payee) AS payee, coalesce(cr.name, cn.name) AS category
+    FROM raw LEFT JOIN context r ON r.ref = raw.ref LEFT JOIN context n ON {loose("n.payee")} = {loose("raw.payee")}
+      LEFT JOIN crefs cr ON cr.ref = raw.category_ref LEFT JOIN crefs cn ON {loose("cn.name")} = {loose("raw.category")}""",
+    "raw",
+    "context",
+    "crefs",
+)
+register(
+    "drop_reasons",
+    """SELECT CASE WHEN payee IS NULL THEN 'unknown_payee' ELSE 'unknown_category' END AS reason, count(*) AS dropped
+    FROM resolved_proposals WHERE payee IS NULL OR category IS NULL GROUP BY 1""",
+    "resolved_proposals",
+)
+view(
+    "valid",
+    """SELECT payee, category, CAST(round(greatest(0, least(1, p.confidence)), 3) AS DECIMAL(4,3)) AS confidence,
+      left(coalesce(reason, ''), 300) AS reason, tx_count, avg_amount_cents, snippets, 'm1' AS model
+    FROM (SELECT * FROM resolved_proposals WHERE payee IS NOT NULL AND category IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY payee ORDER BY doc, pos) = 1) p JOIN context USING (payee)""",
+    "resolved_proposals",
+    "context",
+)
+register(
+    "validate_proposals",
+    "SELECT payee, category, CAST(confidence AS VARCHAR) AS confidence, reason, tx_count, avg_amount_cents, snippets, model FROM valid",
+    "valid",
+)
+view(
+    "state1",
+    """SELECT id, payee, category, confidence, reason, tx_count, avg_amount_cents, snippets, model, status, created_at
+    FROM state0 WHERE status <> 'pending' OR payee NOT IN (SELECT payee FROM valid)
+    UNION ALL
+    SELECT coalesce(s.id, md5('run1/' || v.payee)), v.payee, v.category, v.confidence, v.reason, v.tx_count, v.avg_amount_cents,
+      v.snippets, v.model, 'pending', TIMESTAMP '2024-01-20'
+    FROM valid v LEFT JOIN (SELECT * FROM state0 WHERE status = 'pending') s ON s.payee = v.payee""",
+    "state0",
+    "valid",
+)
+register(
+    "proposal_upsert",
+    f"""SELECT id, payee, category, CAST(confidence AS VARCHAR) AS confidence, reason, tx_count, avg_amount_cents, snippets, model, status,
+      {_at("created_at")} AS created FROM state1""",
+    "state1",
+)
+register(
+    "proposal_list",
+    """SELECT left(id, 8) AS short_id, payee, category, CAST(confidence AS VARCHAR) AS confidence, tx_count, status
+    FROM state1 WHERE status = 'pending' ORDER BY state1.confidence DESC, tx_count DESC NULLS LAST, created_at DESC, id LIMIT 200""",
+    "state1",
+)
+view(
+    "listed",
+    "SELECT * FROM state1 WHERE status = 'pending' ORDER BY confidence DESC, tx_count DESC NULLS LAST, created_at DESC, id LIMIT 1000",
+    "state1",
+)
+view(
+    "approved",
+    """SELECT l.id, l.payee, l.category, p.id AS payee_id, c.id AS category_id,
+      'rule-' || md5(concat_ws('/', p.id, c.id)) AS rule_id,
+      CASE WHEN p.id IS NULL THEN 'payee not found' WHEN c.id IS NULL THEN 'category not found' END AS error
+    FROM listed l LEFT JOIN (SELECT name, min(id) AS id FROM payees GROUP BY name) p ON p.name = l.payee
+      LEFT JOIN (SELECT name, min(id) AS id FROM cats WHERE NOT tombstone GROUP BY name) c ON c.name = l.category
+    WHERE l.id LIKE 'a%' OR l.id LIKE '3f%' OR l.confidence >= 0.9""",
+    "listed",
+    "payees",
+    "cats",
+)
+register("approve_selection", "SELECT * FROM approved", "approved")
+register(
+    "rule_backfill",
+    "SELECT u.id, u.payee_id, a.category_id AS new_category_id, a.rule_id FROM uncategorised u JOIN approved a ON a.payee_id = u.payee_id WHERE a.error IS NULL",
+    "uncategorised",
+    "approved",
+)
+register(
+    "approve_decide",
+    """SELECT s.id, s.payee, CASE WHEN a.id IS NOT NULL THEN 'approved' ELSE status END AS status, a.rule_id
+    FROM state1 s LEFT JOIN (SELECT * FROM approved WHERE error IS NULL) a ON a.id = s.id""",
+    "state1",
+    "approved",
+)
+register(
+    "reject_selection",
+    """SELECT s.id, s.payee, CASE WHEN l.id IS NOT NULL THEN 'rejected' ELSE status END AS status, CAST(NULL AS VARCHAR) AS rule_id
+    FROM state1 s LEFT JOIN (SELECT id FROM listed WHERE id LIKE '0%' OR id LIKE 'c%') l ON l.id = s.id""",
+    "state1",
+    "listed",
+)
+view(
+    "prompt_text",
+    """SELECT string_agg(line, chr(10) ORDER BY section, position) AS prompt FROM (
+      SELECT 1 AS section, -1 AS position, '## Categories ([ref] name — group)' AS line
+      UNION ALL SELECT 1, position, '- [' || ref || '] ' || name || ' — ' || "group" FROM crefs
+      UNION ALL SELECT 2, -2, '' UNION ALL SELECT 2, -1, '## How this household categorises (payee → category)'
+      UNION ALL SELECT 2, position, '- ' || payee || ' → ' || category || '  (' || source || ')' FROM examples
+      UNION ALL SELECT 3, -2, '' UNION ALL SELECT 3, -1, '## Payees without a category'
+      UNION ALL SELECT 3, CAST(substr(ref, 2) AS BIGINT), '- [' || ref || '] ' || payee || ': ' || tx_count || ' transactions, avg '
+        || CAST(CAST(round_even(abs(avg_amount_cents) / 100, 0) AS BIGINT) AS VARCHAR) || ' EUR '
+        || CASE WHEN avg_amount_cents > 0 THEN 'income' ELSE 'expense' END || ', purpose: '
+        || CASE WHEN snippets = '' THEN '(no purpose text)' ELSE '"' || replace(snippets, ' | ', '"; "') || '"' END FROM shortlist
+      UNION ALL SELECT 4, 0, '' UNION ALL SELECT 4, 1, 'Return one proposal per payee listed above: its ref (p1, p2, ...) and a category_ref (c1, c2, ...).')""",
+    "crefs",
+    "examples",
+    "shortlist",
+)
+register("prompt_dataset", "SELECT prompt FROM prompt_text", "prompt_text")
+register(
+    "prompt_enums",
+    "SELECT 'category' AS kind, name AS value FROM crefs UNION SELECT 'category_ref', ref FROM crefs",
+    "crefs",
+)
+
+# --- summary ----------------------------------------------------------------------------------
+
+register("summary_accounts", "SELECT name, off_budget, balance_cents FROM balances", "balances")
+register("summary_net_worth", "SELECT * FROM worth", "worth")
+register("summary_ledger_rows", "SELECT source_id, count(*) AS ledger_rows FROM ledger0 GROUP BY source_id", "ledger0")
+register(
+    "summary_reconciliation",
+    "SELECT * REPLACE (CAST(statement_balance_date AS VARCHAR) AS statement_balance_date) FROM reconciled",
+    "reconciled",
+)
+register(
+    "summary_proposals",
+    """SELECT left(id, 8) AS short_id, payee, category, CAST(confidence AS VARCHAR) AS confidence, tx_count FROM state0
+    WHERE status = 'pending' ORDER BY state0.confidence DESC, tx_count DESC NULLS LAST, created_at DESC, id LIMIT 15""",
+    "state0",
+)
+register(
+    "summary_runs",
+    """SELECT id, source_id, strftime(started_at, '%Y-%m-%dT%H:%M') AS started_at, strftime(finished_at, '%Y-%m-%dT%H:%M') AS finished_at,
+      status, fetched, new_rows, CAST(0 AS BIGINT) AS updated_rows, CAST(0 AS BIGINT) AS unchanged_rows, CAST(0 AS BIGINT) AS pending_rows,
+      CAST(window_from AS VARCHAR) AS window_from, CAST(window_to AS VARCHAR) AS window_to, error, trigger_source,
+      statement_balance_cents, actual_balance_cents
+    FROM runs ORDER BY runs.started_at DESC, id DESC LIMIT 10""",
+    "runs",
+)

@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtflow.functions import identity
-from stmtflow.operators import fetch, keys, ledger, runs
+from stmtflow.operators import (
+    balances,
+    candidates,
+    fetch,
+    importing,
+    keys,
+    ledger,
+    matching,
+    prompts,
+    proposals,
+    reports,
+    rules,
+    runs,
+)
 from stmtflow.plans import staging as st
 from stmtflow.sources import registry
 
@@ -21,8 +34,8 @@ def register(build: Callable[[st.Tables], DataFrame]) -> Callable[[st.Tables], D
     return build
 
 
-def micros(name: str, alias: str):
-    return F.unix_micros(name).alias(alias)
+def moment(name: str, alias: str):
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(alias)
 
 
 # --- keys, merge, ledger ----------------------------------------------------------------------
@@ -146,28 +159,28 @@ def _restart():
 @register
 def run_log(t):
     return runs.current_runs(st.run_events(t)).select(
-        *_RUN_STATE, "statement_balance_cents", micros("finished_at", "finished_us")
+        *_RUN_STATE, "statement_balance_cents", moment("finished_at", "finished")
     )
 
 
 @register
 def abandon_runs(t):
     return runs.abandon_stale(st.runs(t), _restart()).select(
-        *_RUN_STATE, micros("finished_at", "finished_us")
+        *_RUN_STATE, moment("finished_at", "finished")
     )
 
 
 @register
 def expire_runs(t):
     return runs.expire(st.runs(t), _restart()).select(
-        *_RUN_STATE, micros("finished_at", "finished_us")
+        *_RUN_STATE, moment("finished_at", "finished")
     )
 
 
 @register
 def latest_statement_balance(t):
     return runs.latest_statement_balance(st.runs(t)).select(
-        "source_id", "statement_balance_cents", "statement_balance_date", micros("seen_at", "seen_us")
+        "source_id", "statement_balance_cents", "statement_balance_date", moment("seen_at", "seen")
     )
 
 
@@ -194,3 +207,316 @@ def source_lookup(t):
     return registry.lookup(requested, registry.registry(st.sources(t))).select(
         "source_id", "actual_account", "account_ref", "format", "error"
     )
+
+
+# --- matching and import ----------------------------------------------------------------------
+
+
+def _resolved(t):
+    return importing.resolve_accounts(st.sources(t), st.accounts(t))
+
+
+def _importable(t):
+    return importing.importable(_partitioned(t), _resolved(t))
+
+
+@register
+def resolve_accounts(t):
+    return _resolved(t)
+
+
+@register
+def match_exact(t):
+    return matching.match_exact(_importable(t), st.budget_transactions(t)).select(
+        "source_id", "source_key", "matched_id", "differs"
+    )
+
+
+@register
+def match_candidates(t):
+    free = matching.adoptable(st.budget_transactions(t))
+    return matching.match_candidates(_importable(t), free).select(
+        "source_id", "source_key", "candidates", "best_id", "best_same_payee"
+    )
+
+
+@register
+def match_assign(t):
+    free = matching.adoptable(st.budget_transactions(t))
+    return matching.match_assign(_importable(t), free)
+
+
+@register
+def import_plan(t):
+    return importing.import_plan(_importable(t), st.budget_transactions(t)).select(
+        "source_id", "source_key", "action", "matched_id", "booking_date", "amount_cents", "payee", "notes"
+    )
+
+
+@register
+def import_counts(t):
+    parted = _partitioned(t)
+    plan = importing.import_plan(importing.importable(parted, _resolved(t)), st.budget_transactions(t))
+    return importing.import_counts(plan, parted)
+
+
+# --- balances ---------------------------------------------------------------------------------
+
+
+def _balances(t):
+    return balances.account_balance(st.all_transactions(t), st.accounts(t))
+
+
+@register
+def account_balance(t):
+    return _balances(t)
+
+
+@register
+def net_worth(t):
+    return balances.net_worth(_balances(t))
+
+
+@register
+def reconciliation(t):
+    return balances.reconciliation(st.sources(t), runs.latest_statement_balance(st.runs(t)), _balances(t))
+
+
+def _openings(t):
+    return balances.opening_balance(
+        _resolved(t),
+        runs.latest_statement_balance(st.runs(t)),
+        ledger.earliest_booking(st.ledger_before(t)),
+        _balances(t),
+        st.openings(t),
+    )
+
+
+@register
+def opening_balance(t):
+    return _openings(t).drop("opening_id", "imported_id", "off_budget", "account_id")
+
+
+@register
+def starting_balance(t):
+    """Balances after the opening rows are written."""
+    after = balances.apply_opening(st.all_transactions(t), _openings(t))
+    return balances.account_balance(after, st.accounts(t))
+
+
+# --- rules, candidates, examples --------------------------------------------------------------
+
+
+def _uncategorised(t):
+    return rules.uncategorized(st.booked_transactions(t), st.payees(t), st.accounts(t))
+
+
+@register
+def uncategorized_txn(t):
+    return _uncategorised(t).select("id", "account_id", "payee", "booking_date", "amount_cents")
+
+
+@register
+def categories(t):
+    return candidates.visible_categories(st.categories(t), st.category_groups(t))
+
+
+@register
+def candidate_snippets(t):
+    return candidates.snippets(_uncategorised(t)).select("payee", "snippet")
+
+
+def _excluded(t):
+    return candidates.excluded_payees(st.proposals_before(t))
+
+
+def _shortlist(t):
+    return candidates.candidates(_uncategorised(t), _excluded(t))
+
+
+@register
+def categorization_candidates(t):
+    return _shortlist(t).withColumn("snippets", F.array_join("snippets", " | "))
+
+
+def _category_refs(t):
+    return candidates.category_refs(candidates.visible_categories(st.categories(t), st.category_groups(t)))
+
+
+@register
+def context_refs(t):
+    people = candidates.candidate_refs(_shortlist(t)).select("ref", F.col("payee").alias("name"))
+    return people.unionByName(_category_refs(t).select("ref", "name"))
+
+
+def _taught(t):
+    return rules.rule_examples(st.rules(t), st.payees(t), st.categories(t))
+
+
+@register
+def rule_examples(t):
+    return _taught(t).select("payee", "category")
+
+
+def _history(t):
+    return candidates.history_examples(st.booked_transactions(t), st.payees(t), st.categories(t), _taught(t))
+
+
+@register
+def history_examples(t):
+    return _history(t)
+
+
+def _examples(t):
+    return candidates.categorization_examples(_taught(t), _history(t))
+
+
+@register
+def categorization_examples(t):
+    return _examples(t).withColumn("position", F.col("position").cast("bigint"))
+
+
+@register
+def apply_rules(t):
+    return rules.apply_rules(_uncategorised(t), st.rules(t)).select("id", "payee_id", "new_category_id")
+
+
+@register
+def apply_rules_all(t):
+    applied = rules.apply_rules(rules.live(st.booked_transactions(t)), st.rules(t))
+    return applied.groupBy("new_category_id").agg(F.count(F.lit(1)).alias("transactions"))
+
+
+@register
+def apply_rules_stats(t):
+    return rules.apply_stats(rules.apply_rules(_uncategorised(t), st.rules(t)), st.rules(t))
+
+
+# --- proposals --------------------------------------------------------------------------------
+
+
+def _offered(t):
+    return proposals.read_proposals(st.raw_proposals(t))
+
+
+def _context(t):
+    others = candidates.candidates(_uncategorised(t), _excluded(t).limit(0), limit=None)
+    return proposals.with_others(candidates.candidate_refs(_shortlist(t)), others)
+
+
+def _proposals(t):
+    context = _context(t)
+    return proposals.validate(proposals.resolve(_offered(t), context, _category_refs(t)), context, "m1")
+
+
+@register
+def validate_proposals(t):
+    return _proposals(t).select(
+        "payee", "category", F.col("confidence").cast("string").alias("confidence"), "reason",
+        "tx_count", "avg_amount_cents", F.array_join("snippets", " | ").alias("snippets"), "model",
+    )
+
+
+@register
+def drop_reasons(t):
+    return proposals.drop_reasons(proposals.resolve(_offered(t), _context(t), _category_refs(t)))
+
+
+def _stored(t):
+    return proposals.store(st.proposals_before(t), _proposals(t), "run1", _restart())
+
+
+@register
+def proposal_upsert(t):
+    return _stored(t).select(
+        "id", "payee", "category", F.col("confidence").cast("string").alias("confidence"), "reason",
+        "tx_count", "avg_amount_cents", F.array_join("snippets", " | ").alias("snippets"), "model",
+        "status", moment("created_at", "created"),
+    )
+
+
+@register
+def proposal_list(t):
+    return proposals.listing(_stored(t)).select(
+        "short_id", "payee", "category", F.col("confidence").cast("string").alias("confidence"), "tx_count", "status"
+    )
+
+
+def _approved(t):
+    chosen = proposals.select_proposals(_stored(t), ["a", "3f"], min_confidence=0.9)
+    return rules.new_rules(chosen.select("id", "payee", "category"), st.payees(t), st.categories(t))
+
+
+@register
+def approve_selection(t):
+    return _approved(t).select("id", "payee", "category", "payee_id", "category_id", "rule_id", "error")
+
+
+@register
+def rule_backfill(t):
+    return rules.rule_backfill(_uncategorised(t), _approved(t)).select("id", "payee_id", "new_category_id", "rule_id")
+
+
+@register
+def approve_decide(t):
+    made = _approved(t).where("error is null").select("id", "rule_id")
+    return proposals.decide(_stored(t), made, proposals.APPROVED, _restart()).select("id", "payee", "status", "rule_id")
+
+
+@register
+def reject_selection(t):
+    chosen = proposals.select_proposals(_stored(t), ["0", "c"])
+    made = chosen.select("id", F.lit(None).cast("string").alias("rule_id"))
+    return proposals.decide(_stored(t), made, proposals.REJECTED, _restart()).select("id", "payee", "status", "rule_id")
+
+
+@register
+def prompt_dataset(t):
+    lines = prompts.prompt_lines(
+        _category_refs(t), _examples(t), candidates.candidate_refs(_shortlist(t))
+    )
+    return prompts.prompt(lines)
+
+
+@register
+def prompt_enums(t):
+    return prompts.allowed_values(_category_refs(t))
+
+
+# --- summary ----------------------------------------------------------------------------------
+
+
+def _summary(t, section):
+    return reports.summary(
+        st.sources(t), st.all_transactions(t), st.accounts(t), st.ledger_before(t), st.runs(t), st.proposals_before(t)
+    )[section]
+
+
+@register
+def summary_accounts(t):
+    return _summary(t, "accounts")
+
+
+@register
+def summary_net_worth(t):
+    return _summary(t, "net_worth")
+
+
+@register
+def summary_ledger_rows(t):
+    return _summary(t, "ledger_rows")
+
+
+@register
+def summary_reconciliation(t):
+    return _summary(t, "reconciliation")
+
+
+@register
+def summary_proposals(t):
+    return _summary(t, "proposals_pending").withColumn("confidence", F.col("confidence").cast("string"))
+
+
+@register
+def summary_runs(t):
+    return _summary(t, "recent_runs")

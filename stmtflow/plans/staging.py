@@ -153,6 +153,7 @@ def runs(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     ok = kind.isin("click", "purchase")
     value = cents(F.col("value"))
+    at = F.col("ts").cast("timestamp")
     status = (
         F.when(ok, "ok").when(kind == "view", "fetched").when(kind == "signup", "abandoned").otherwise("error")
     )
@@ -160,8 +161,8 @@ def runs(t: Tables) -> DataFrame:
     return t.events.select(
         F.concat(F.lit("run"), text("event_id")).alias("id"),
         F.concat(F.lit("src"), text(F.col("user_id") % 25)).alias("source_id"),
-        F.col("ts").alias("started_at"),
-        F.when(kind != "view", F.col("ts") + F.expr("interval 1 minute")).alias("finished_at"),
+        at.alias("started_at"),
+        F.when(kind != "view", at + F.expr("interval 1 minute")).alias("finished_at"),
         F.date_sub(day, 30).alias("window_from"),
         day.alias("window_to"),
         value.alias("fetched"),
@@ -206,29 +207,27 @@ def budget_transactions(t: Tables) -> DataFrame:
     """
     merged = fetched(t)
     imported = F.col("doc") == "a.csv"
-    refund = F.col("amount_cents") > 0
+    early = F.quarter("booking_date") <= 2
+    # written by a run that ended before its ledger was
+    unrecorded = ~imported & early & (F.col("amount_cents") > 0)
     weekend = F.dayofweek("booking_date").isin(1, 7)
     shift = F.dayofmonth("booking_date") % 7 - 3
-    foreign = F.month("booking_date") == 12
-    return merged.where(imported | refund | (F.quarter("booking_date") > 2)).select(
-        F.concat(F.lit("t-"), F.left("source_key", F.lit(24)), "source_id").alias("id"),
+    own = imported | unrecorded
+    return merged.where(own | ~early).select(
+        F.sha2(F.concat_ws("/", "source_id", "source_key"), 256).alias("id"),
         F.col("account_ref").alias("account_id"),
-        F.when(imported & ~weekend, F.col("booking_date"))
-        .when(imported, F.date_add("booking_date", 2))
+        F.when(own & weekend, F.date_add("booking_date", 2))
+        .when(own, F.col("booking_date"))
         .otherwise(F.date_add("booking_date", shift.cast("int")))
         .alias("booking_date"),
         "amount_cents",
-        F.when(imported | ~weekend, F.col("counterpart_name")).alias("payee_id"),
-        F.lit(None).cast("string").alias("category_id"),
-        F.when(imported, F.col("purpose")).alias("notes"),
-        F.when(imported, F.col("imported_id"))
-        .when(foreign, F.concat(F.lit("other:"), "source_key"))
+        F.when(own | ~weekend, F.col("counterpart_name")).alias("payee"),
+        F.when(own, F.col("purpose")).alias("notes"),
+        F.when(own, F.col("imported_id"))
+        .when(F.month("booking_date") == 12, F.concat(F.lit("other:"), "source_key"))
         .alias("imported_id"),
-        (imported & ~weekend).alias("cleared"),
-        F.lit(False).alias("is_parent"),
-        F.lit(False).alias("tombstone"),
-        F.lit(False).alias("starting_balance_flag"),
-        F.when(imported, F.col("counterpart_name")).alias("imported_payee"),
+        (own & ~weekend).alias("cleared"),
+        F.when(own, F.col("counterpart_name")).alias("imported_payee"),
     )
 
 
@@ -287,3 +286,113 @@ def category_groups(t: Tables) -> DataFrame:
 
 def content_columns() -> list[str]:
     return list(TXN_CONTENT)
+
+
+def openings(t: Tables) -> DataFrame:
+    """Opening rows that some accounts already have."""
+    return (
+        t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .where("r_name in ('AMERICA', 'EUROPE')")
+        .select(
+            F.concat(F.lit("open"), text("n_nationkey")).alias("id"),
+            F.concat(F.lit("acct"), text("n_nationkey")).alias("account_id"),
+            F.lit("1994-12-31").cast("date").alias("booking_date"),
+            (F.col("n_nationkey") * 1000).cast("bigint").alias("amount_cents"),
+            F.concat(F.lit("src"), text("n_nationkey"), F.lit(":starting-balance")).alias("imported_id"),
+            F.lit(True).alias("starting_balance_flag"),
+            F.lit(False).alias("tombstone"),
+            F.lit(False).alias("is_parent"),
+        )
+    )
+
+
+def all_transactions(t: Tables) -> DataFrame:
+    return booked_transactions(t).unionByName(openings(t), allowMissingColumns=True)
+
+
+def rules(t: Tables) -> DataFrame:
+    """One rule per supplier; its kind follows from the supplier's nation."""
+    payee = F.concat(F.lit("payee"), text("s_suppkey"))
+    neighbour = F.concat(F.lit("payee"), text(F.col("s_suppkey") + 1))
+    brand = F.concat(F.lit("Brand#"), text(F.col("s_nationkey") + 1))
+    is_payee = F.struct(F.lit("description").alias("field"), F.lit("is").alias("op"), payee.alias("value"))
+    contains = F.struct(
+        F.lit("imported_description").alias("field"),
+        F.lit("contains").alias("op"),
+        F.concat(F.substring("s_name", 5, 20), F.lit(" promo")).alias("value"),
+    )
+    one_of = F.to_json(
+        F.array(
+            F.struct(
+                F.lit("description").alias("field"), F.lit("oneOf").alias("op"),
+                F.array(neighbour, payee).alias("value"),
+            )
+        )
+    )
+    nation = F.col("s_nationkey")
+    sets = F.struct(F.lit("category").alias("field"), F.lit("set").alias("op"),
+                    F.concat(F.lit("ECONOMY/"), brand).alias("value"))
+    notes = F.struct(F.lit("notes").alias("field"), F.lit("set").alias("op"), F.lit("seen").alias("value"))
+    return t.supplier.select(
+        F.concat(F.lit("rule"), text("s_suppkey")).alias("id"),
+        F.col("s_suppkey").alias("rule_order"),
+        F.when(nation < 6, F.to_json(F.array(is_payee)))
+        .when(nation < 12, one_of)
+        .when(nation < 18, F.to_json(F.array(contains)))
+        .when(nation < 22, F.to_json(F.array(contains, is_payee)))
+        .otherwise("not json")
+        .alias("conditions"),
+        F.when(nation == 3, F.to_json(F.array(notes))).otherwise(F.to_json(F.array(notes, sets))).alias("actions"),
+        (nation == 5).alias("tombstone"),
+    )
+
+
+def proposals_before(t: Tables) -> DataFrame:
+    """Review queue: one proposal per payee name, in several states."""
+    shop = F.concat(F.lit("Shop "), text(F.expr("s_suppkey div 2")))
+    by_name = t.supplier.groupBy(shop.alias("payee")).agg(
+        F.min("s_suppkey").alias("k"), F.min("s_nationkey").alias("n"), F.max("s_acctbal").alias("v")
+    )
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    return by_name.where("n < 15").select(
+        F.md5("payee").alias("id"),
+        "payee",
+        F.concat(F.lit("Brand#"), text(F.col("n") + 1), F.lit(" LARGE")).alias("category"),
+        F.least(F.round(F.abs("v") / 10000, 3), F.lit(1.0)).cast("decimal(4,3)").alias("confidence"),
+        F.lit("looks alike").alias("reason"),
+        F.when(F.col("n") != 7, F.col("k")).alias("tx_count"),
+        cents(F.col("v")).alias("avg_amount_cents"),
+        F.array("payee").alias("snippets"),
+        F.lit("m0").alias("model"),
+        F.when(F.col("n") < 4, "rejected").when(F.col("n") < 6, "approved").otherwise("pending").alias("status"),
+        (start + F.make_dt_interval(F.lit(0), F.lit(0), F.col("n").cast("int"))).alias("created_at"),
+        F.when(F.col("n") < 6, start).alias("decided_at"),
+        F.lit(None).cast("string").alias("rule_id"),
+    )
+
+
+def raw_proposals(t: Tables) -> DataFrame:
+    """One JSON answer per supplier with a loosely written, an unknown and a referenced proposal."""
+    shop = F.concat(F.lit("  SHOP-"), text(F.expr("s_suppkey div 2")), F.lit("!"))
+    category = F.concat(F.lit("brand "), text(F.col("s_nationkey") + 1), F.lit("  large"))
+    null = F.lit(None).cast("string")
+
+    def proposal(ref, payee, category_ref, category, confidence, reason):
+        return F.struct(
+            ref.alias("ref"), payee.alias("payee"), category_ref.alias("category_ref"),
+            category.alias("category"), confidence.alias("confidence"), reason.alias("reason"),
+        )
+
+    nation = F.col("s_nationkey")
+    answers = F.array(
+        proposal(null, shop, null, category, text(F.round(F.col("s_acctbal") / 5000, 2)), F.repeat(F.lit("because "), 50)),
+        proposal(null, F.concat(F.lit("Nobody "), "s_name"), null, category, F.lit("high"), null),
+        proposal(
+            F.concat(F.lit(" P"), text(nation + 1)), F.lit("?"),
+            F.concat(F.lit("C"), text(nation * 10)), F.lit("none such"), F.lit("0.5"), F.col("s_name"),
+        ),
+    )
+    return t.supplier.select(
+        F.lpad(text("s_suppkey"), 12, "0").alias("doc"),
+        F.to_json(F.struct(answers.alias("proposals"))).alias("json"),
+    )

@@ -47,10 +47,10 @@ PROPOSAL = """
   created_at timestamp, decided_at timestamp, rule_id string
 """
 
-RAW_PROPOSALS = """
-  struct<proposals: array<struct<ref: string, payee: string, category_ref: string,
-  category: string, confidence: string, reason: string>>>
-"""
+RAW_PROPOSALS = (
+    "proposals array<struct<ref:string,payee:string,category_ref:string,"
+    "category:string,confidence:string,reason:string>>"
+)
 
 BUDGET_TXN = """
   id string, account_id string, booking_date date, amount_cents bigint, payee_id string,
