@@ -16,6 +16,7 @@ AMOUNT_CELL = (
     r"^[-+]?[\d.]*\d,\d{2}( ?[A-Z]{3})?$|^[-+]?\d[\d,]*\.\d{2}( ?[A-Z]{3})?$"
 )
 DATE_INSIDE_CELL = r"\d{1,2}\.\d{1,2}\.\d{4}|\d{4}-\d{2}-\d{2}"
+AMOUNT_TYPE = "decimal(36,10)"
 # date format of a profile -> (Spark pattern, shape the text must have)
 DATE_FORMATS = {
     "%d.%m.%Y": ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
@@ -38,13 +39,13 @@ def to_cents(number: Column) -> Column:
 
 def parse_amount(value: Column | str, decimal_comma: Column | bool) -> Column:
     """Minor units of an amount cell; null when empty or unreadable (see ``amount_error``)."""
-    return to_cents(amount_text(value, decimal_comma).try_cast("decimal(36,10)"))
+    return to_cents(amount_text(value, decimal_comma).try_cast(AMOUNT_TYPE))
 
 
 def amount_error(value: Column | str, decimal_comma: Column | bool) -> Column:
     """True when the cell holds something that is not an amount."""
     text = amount_text(value, decimal_comma)
-    return text.isNotNull() & text.try_cast("decimal(36,10)").isNull()
+    return text.isNotNull() & text.try_cast(AMOUNT_TYPE).isNull()
 
 
 def _date_in(text: Column, fmt: str) -> Column:

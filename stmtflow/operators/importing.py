@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtflow.functions.identity import payee_name
+from stmtflow.functions.ranking import first_in_group
 from stmtflow.operators.ledger import NEW, UNCHANGED
 from stmtflow.operators.matching import SMALL_GROUP, adoptable, match_assign, match_exact
+from stmtflow.operators.rules import rule_outcomes
 from stmtflow.session import cut_lineage
 
 CREATED, ADOPTED, UPDATED, KEPT = "created", "adopted", "updated", "unchanged"
@@ -80,15 +82,41 @@ def import_counts(plan: DataFrame, partitioned: DataFrame) -> DataFrame:
     )
 
 
+def with_payees(plan: DataFrame, payees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan with payee ids, and the payee table with the names that were missing."""
+    known = first_in_group(payees.where("not tombstone"), ["name"], ["id"]).select(
+        F.col("name").alias("payee"), F.col("id").alias("payee_id")
+    )
+    concerned = plan.where(F.col("action").isin(CREATED, ADOPTED))
+    missing = concerned.select("payee").distinct().join(known, "payee", "left_anti")
+    created = missing.select(
+        F.concat(F.lit("payee-"), F.md5("payee")).alias("id"), F.col("payee").alias("name"),
+        F.lit(None).cast("string").alias("transfer_acct"), F.lit(False).alias("tombstone"),
+    )
+    every = known.unionByName(created.select(F.col("name").alias("payee"), F.col("id").alias("payee_id")))
+    return plan.join(every, "payee", "left"), payees.unionByName(created)
+
+
+def with_categories(plan: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules run over the rows that are created, in the same step."""
+    created = plan.where(F.col("action") == CREATED)
+    outcome = rule_outcomes(
+        created.select("payee_id", F.col("payee").alias("imported_payee")), rules
+    ).select("payee_id", F.col("imported_payee").alias("payee"), F.col("rule_category").alias("category_id"))
+    return plan.join(outcome, ["payee_id", "payee"], "left")
+
+
 def apply_plan(existing: DataFrame, plan: DataFrame) -> DataFrame:
     """Next version of the budget transactions.
 
     Matched rows get date or import id; payee and notes are only filled where they are empty.
     """
+    ids = [c for c in ("payee_id",) if c in plan.columns]
     changes = plan.where(F.col("action").isin(ADOPTED, UPDATED)).select(
         F.col("matched_id").alias("id"),
         F.col("action").alias("_action"),
         *[F.col(c).alias(f"_{c}") for c in ("booking_date", "imported_id", "payee", "notes")],
+        *[F.col("payee_id").alias("_payee_id") for _ in ids],
     )
     adopted = F.col("_action") == ADOPTED
     updated = F.col("_action") == UPDATED
@@ -105,6 +133,7 @@ def apply_plan(existing: DataFrame, plan: DataFrame) -> DataFrame:
         "imported_payee": F.when(adopted, F.col("_payee")).otherwise(F.col("imported_payee")),
         "payee": filled("payee"),
         "notes": filled("notes"),
+        **{c: filled(c) for c in ids},
     }
     kept = after.select(
         *[replaced[c].alias(c) if c in replaced else F.col(c) for c in existing.columns]
@@ -113,5 +142,7 @@ def apply_plan(existing: DataFrame, plan: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws("/", "account_id", "imported_id"), 256).alias("id"),
         "account_id", "booking_date", "amount_cents", "payee", "notes", "imported_id",
         F.lit(True).alias("cleared"), F.col("payee").alias("imported_payee"),
+        *[c for c in ("payee_id", "category_id") if c in plan.columns],
+        *[F.lit(False).alias(c) for c in ("is_parent", "tombstone", "starting_balance_flag") if c in existing.columns],
     )
     return kept.unionByName(created, allowMissingColumns=True)

@@ -78,7 +78,9 @@ def resolve(proposals: DataFrame, candidates: DataFrame, categories: DataFrame)
 def clamp_confidence(value: Column | str) -> Column:
     """Into [0, 1] with three decimals; 0 for what is not a number."""
     number = (F.col(value) if isinstance(value, str) else value).try_cast("double")
-    return F.coalesce(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), 3), F.lit(0.0))
+    # least and greatest skip nulls, so the missing number is handled on its own
+    clamped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)), 3)
+    return F.when(number.isNull(), F.lit(0.0)).otherwise(clamped)
 
 
 def drop_reasons(resolved: DataFrame) -> DataFrame:

@@ -781,3 +781,148 @@ register(
     FROM runs ORDER BY runs.started_at DESC, id DESC LIMIT 10""",
     "runs",
 )
+
+# --- statement files --------------------------------------------------------------------------
+
+view(
+    "file_rows",
+    """SELECT s.id AS source_id, s.account_ref, s.format, s.r_name, c_nationkey AS nation, year(o_orderdate) AS y, year(o_orderdate) || '.csv' AS doc,
+      o_orderkey * 2 AS row_no, CAST(o_orderdate AS DATE) AS booking_date, o_orderstatus AS status, o_orderpriority AS kind,
+      CAST(round(o_totalprice * 100) AS BIGINT) AS value, o_orderkey, c_name, c_custkey,
+      s.format = 'generic-csv' AND year(o_orderdate) % 2 = 1 AS unreadable
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN sources s ON s.id = 'src' || c_nationkey""",
+    "sources",
+)
+view(
+    "file_docs",
+    """SELECT source_id, doc, format, r_name, nation, y, unreadable, nation * 100000 + y AS stated, count(*) AS n,
+      count(*) FILTER (status = 'P') AS pending, max(booking_date) FILTER (status <> 'P') AS last_booking
+    FROM file_rows GROUP BY ALL""",
+    "file_rows",
+)
+register(
+    "profile_resolve",
+    """SELECT id AS source_id, format, CASE WHEN format = 'postbank-csv' THEN 'Buchungstag' ELSE 'booking_date' END AS marker,
+      CASE WHEN r_name = 'ASIA' THEN 'Buchungstext' WHEN format = 'postbank-csv' THEN 'Verwendungszweck' ELSE 'purpose' END AS purpose_header,
+      CASE WHEN format = 'postbank-csv' THEN 11 ELSE 9 END AS fields, format = 'postbank-csv' AS decimal_comma, CAST(NULL AS VARCHAR) AS config_error
+    FROM sources""",
+    "sources",
+)
+register(
+    "doc_encoding",
+    """SELECT source_id, doc, CASE WHEN unreadable THEN NULL WHEN y % 2 = 1 THEN 'cp1252' ELSE 'utf-8-sig' END AS encoding,
+      CASE WHEN unreadable THEN 'no encoding reads the file' END AS error FROM file_docs""",
+    "file_docs",
+)
+register(
+    "header_discovery",
+    """SELECT source_id, doc, CASE WHEN format = 'postbank-csv' THEN 5 ELSE 1 END AS header_line,
+      CASE WHEN format = 'postbank-csv' THEN 12 ELSE 9 END AS columns, CASE WHEN format = 'postbank-csv' THEN 4 ELSE 6 END AS purpose_at
+    FROM file_docs WHERE NOT unreadable""",
+    "file_docs",
+)
+view(
+    "file_balances",
+    """SELECT source_id, doc, stated + CASE WHEN format = 'postbank-csv' AND nation % 2 = 0 THEN 100 ELSE 0 END AS balance_cents,
+      'EUR' AS balance_currency, CASE WHEN format = 'postbank-csv' AND nation % 2 = 0 THEN make_date(y, 12, 31) END AS balance_date
+    FROM file_docs WHERE NOT unreadable""",
+    "file_docs",
+)
+register("statement_balance_parse", "SELECT *, false AS balance_error FROM file_balances", "file_balances")
+view(
+    "file_canonical",
+    """SELECT source_id, account_ref, doc, row_no, booking_date,
+      CASE status WHEN 'O' THEN booking_date + 1 WHEN 'F' THEN booking_date + 2 END AS value_date,
+      CASE WHEN kind IN ('1-URGENT', '4-NOT SPECIFIED') THEN value ELSE -value END AS amount_cents,
+      CASE WHEN status = 'P' THEN 'USD' ELSE 'EUR' END AS currency,
+      CASE WHEN status <> 'F' THEN 'Käufer ' || c_name END AS counterpart_name,
+      CASE WHEN status <> 'O' THEN 'DE001111' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') END AS counterpart_iban,
+      CASE kind WHEN '1-URGENT' THEN 'Auftrag ' || o_orderkey || ' "eilig"; sofort' WHEN '2-HIGH' THEN 'Auftrag ' || o_orderkey
+        WHEN '3-MEDIUM' THEN 'Auftrag ' || o_orderkey || ' 24" Monitor' WHEN '5-LOW' THEN 'Auftrag ' || o_orderkey || chr(10) || 'später' ELSE '' END AS purpose,
+      CASE status WHEN 'P' THEN 'Vorgemerkt Kartenzahlung' WHEN 'F' THEN 'SEPA-Lastschrift' END AS posting_text,
+      CASE WHEN status = 'O' AND format = 'generic-csv' THEN 'R-' || o_orderkey END AS bank_reference,
+      CASE WHEN status = 'O' AND format <> 'generic-csv' THEN 'E2E-' || o_orderkey END AS end_to_end_id,
+      status = 'P' AS pending
+    FROM file_rows WHERE NOT unreadable""",
+    "file_rows",
+)
+register("canonical_rows", "SELECT * FROM file_canonical", "file_canonical")
+register(
+    "doc_stats",
+    """SELECT source_id, doc, CASE WHEN unreadable THEN NULL WHEN y % 2 = 1 THEN 'cp1252' ELSE 'utf-8-sig' END AS encoding,
+      CASE WHEN unreadable THEN 0 ELSE n END AS rows, CASE WHEN unreadable THEN 0 ELSE pending END AS pending_rows,
+      CASE WHEN unreadable THEN 0 ELSE 2 END AS skipped_rows, CASE WHEN NOT unreadable THEN last_booking END AS last_booking,
+      CASE WHEN unreadable THEN 'no encoding reads the file' END AS error FROM file_docs""",
+    "file_docs",
+)
+register(
+    "newest_statement_balance",
+    """SELECT source_id, doc AS statement_doc, balance_cents AS statement_balance_cents,
+      coalesce(balance_date, make_date(y + 1, 1, 5)) AS statement_balance_date
+    FROM file_balances JOIN file_docs USING (source_id, doc) WHERE last_booking IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY last_booking DESC, y DESC, doc) = 1""",
+    "file_balances",
+    "file_docs",
+)
+register(
+    "statement_inspect",
+    """SELECT source_id, doc, row_no, booking_date, amount_cents, currency, left(coalesce(counterpart_name, posting_text, ''), 12) AS payee,
+      CASE WHEN counterpart_iban IS NULL THEN '' ELSE left(counterpart_iban, 4) || '…' || right(counterpart_iban, 4) END AS iban,
+      length(purpose) AS purpose_length, end_to_end_id IS NOT NULL AS has_reference
+    FROM file_canonical QUALIFY row_number() OVER (PARTITION BY source_id, doc ORDER BY row_no) <= 3""",
+    "file_canonical",
+)
+
+# --- scalars ----------------------------------------------------------------------------------
+
+register(
+    "parse_amount",
+    """SELECT l_orderkey, l_linenumber, v AS german, v AS dotted,
+      CAST(l_quantity AS BIGINT) * 100 + CASE WHEN l_linestatus = 'F' THEN 12 ELSE 14 END AS tie, CAST(NULL AS BIGINT) AS empty, true AS broken
+    FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem)""",
+)
+register(
+    "parse_date",
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS german, CAST(o_orderdate AS DATE) AS iso,
+      CASE WHEN day(last_day(o_orderdate)) = 31 THEN last_day(o_orderdate) END AS day31, CAST(NULL AS DATE) AS text FROM orders""",
+)
+register(
+    "signed_amount",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN v WHEN l_returnflag = 'R' OR l_linestatus = 'O' THEN -v END AS amount_cents
+    FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem)""",
+)
+_NORMED = f"sha256({norm('replace(text, chr(223), chr(83) || chr(83))')})"
+register(
+    "norm_text",
+    f"SELECT doc_id, {_NORMED} AS normed FROM documents UNION ALL SELECT conv_id * 1000 + turn, {_NORMED} FROM conversations",
+)
+register("loose_key", f"SELECT doc_id, sha256({loose('text')}) AS loose FROM documents")
+register(
+    "mask_text",
+    r"""SELECT doc_id, sha256(regexp_replace('an ' || iban || ' von ' || text || ' und ' || iban,
+      '\b([A-Z]{2}\d{2})[A-Z0-9 ]{11,30}?([A-Z0-9]{4})\b', '\1…\2', 'g')) AS masked
+    FROM (SELECT *, 'DE' || lpad(CAST(doc_id AS VARCHAR), 20, '0') AS iban FROM documents)""",
+)
+register(
+    "mask_iban",
+    """SELECT source_id, doc, row_no, left(i, 4) || '…' || right(i, 4) AS masked, '****' AS short,
+      CASE WHEN end_to_end_id IS NULL THEN '' WHEN length(end_to_end_id) < 8 THEN '****'
+        ELSE left(end_to_end_id, 4) || '…' || right(end_to_end_id, 4) END AS reference
+    FROM (SELECT *, replace(counterpart_iban, ' ', '') AS i FROM stmt)""",
+    "stmt",
+)
+_SNIP = r"left(trim(regexp_replace(regexp_replace(text, '\d{3,}', '#', 'g'), '\s+', ' ', 'g')), 60)"
+register(
+    "mask_snippet",
+    f"SELECT doc_id, {_SNIP} AS snippet FROM documents UNION ALL SELECT conv_id * 1000 + turn, {_SNIP} FROM conversations",
+)
+register(
+    "confidence",
+    "SELECT event_id, greatest(0.0, least(1.0, round(CAST(round(value * 100) AS BIGINT) / 1000, 3)))::DOUBLE AS confidence, 0::DOUBLE AS word FROM events",
+)
+register(
+    "amount_direction",
+    """SELECT s_suppkey, CASE WHEN v > 0 THEN 'income' ELSE 'expense' END AS direction,
+      CAST(CAST(round_even(abs(v) / 100, 0) AS BIGINT) AS VARCHAR) AS whole
+    FROM (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS v FROM supplier)""",
+)

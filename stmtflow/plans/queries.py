@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.functions import identity
+from stmtflow.functions import identity, masking, parsing, text
 from stmtflow.operators import (
     balances,
     candidates,
@@ -23,7 +23,8 @@ from stmtflow.operators import (
     runs,
 )
 from stmtflow.plans import staging as st
-from stmtflow.sources import registry
+from stmtflow.session import cut_lineage
+from stmtflow.sources import profiles, registry, statements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,6 +213,11 @@ def source_lookup(t):
 # --- matching and import ----------------------------------------------------------------------
 
 
+def _store(t):
+    """The budget transactions as a stored table, which matching reads several times."""
+    return cut_lineage(st.budget_transactions(t))
+
+
 def _resolved(t):
     return importing.resolve_accounts(st.sources(t), st.accounts(t))
 
@@ -234,29 +240,28 @@ def match_exact(t):
 
 @register
 def match_candidates(t):
-    free = matching.adoptable(st.budget_transactions(t))
-    return matching.match_candidates(_importable(t), free).select(
+    free = matching.adoptable(_store(t))
+    return matching.match_candidates(cut_lineage(_importable(t)), free).select(
         "source_id", "source_key", "candidates", "best_id", "best_same_payee"
     )
 
 
 @register
 def match_assign(t):
-    free = matching.adoptable(st.budget_transactions(t))
-    return matching.match_assign(_importable(t), free)
+    return matching.match_assign(cut_lineage(_importable(t)), matching.adoptable(_store(t)))
 
 
 @register
 def import_plan(t):
-    return importing.import_plan(_importable(t), st.budget_transactions(t)).select(
+    return importing.import_plan(_importable(t), _store(t)).select(
         "source_id", "source_key", "action", "matched_id", "booking_date", "amount_cents", "payee", "notes"
     )
 
 
 @register
 def import_counts(t):
-    parted = _partitioned(t)
-    plan = importing.import_plan(importing.importable(parted, _resolved(t)), st.budget_transactions(t))
+    parted = cut_lineage(_partitioned(t))
+    plan = importing.import_plan(importing.importable(parted, _resolved(t)), _store(t))
     return importing.import_counts(plan, parted)
 
 
@@ -520,3 +525,167 @@ def summary_proposals(t):
 @register
 def summary_runs(t):
     return _summary(t, "recent_runs")
+
+
+# --- statement files --------------------------------------------------------------------------
+
+
+def _parsed(t):
+    formats = profiles.resolve_profiles(st.sources(t), profiles.profiles_frame(t.spark))
+    # the lines are read several times, as files would be
+    return statements.ParsedStatements(cut_lineage(st.statement_lines(t)), formats)
+
+
+@register
+def profile_resolve(t):
+    resolved = profiles.resolve_profiles(st.sources(t), profiles.profiles_frame(t.spark))
+    return resolved.select(
+        "source_id", "format", "marker", F.element_at("columns", F.lit("purpose")).alias("purpose_header"),
+        F.size("columns").alias("fields"), "decimal_comma", "config_error",
+    )
+
+
+@register
+def doc_encoding(t):
+    return _parsed(t).documents.select("source_id", "doc", "encoding", "error")
+
+
+@register
+def header_discovery(t):
+    return _parsed(t).documents.where("header is not null").select(
+        "source_id", "doc", F.col("header_at.line_no").alias("header_line"), F.size("header").alias("columns"),
+        F.col("positions.purpose").alias("purpose_at"),
+    )
+
+
+@register
+def statement_balance_parse(t):
+    return _parsed(t).balances
+
+
+@register
+def canonical_rows(t):
+    return _parsed(t).rows.drop("block")
+
+
+@register
+def doc_stats(t):
+    return _parsed(t).stats.select(
+        "source_id", "doc", "encoding", "rows", "pending_rows", "skipped_rows", "last_booking", "error"
+    )
+
+
+@register
+def newest_statement_balance(t):
+    return fetch.newest_statement_balance(_parsed(t).stats)
+
+
+@register
+def statement_inspect(t):
+    return statements.inspect_rows(_parsed(t).rows)
+
+
+# --- scalars ----------------------------------------------------------------------------------
+
+
+@register
+def parse_amount(t):
+    value = st.cents(F.col("l_extendedprice"))
+    signed = F.when(F.col("l_returnflag") == "R", -value).otherwise(value)
+    german, dotted = st._german(st._money(signed)), F.format_number(st._money(signed), 2)
+    third = F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linestatus") == "F", ",125").otherwise(",135"))
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber",
+        parsing.parse_amount(F.concat(german, F.lit(" EUR ")), True).alias("german"),
+        parsing.parse_amount(F.concat(F.lit(" € "), dotted), False).alias("dotted"),
+        parsing.parse_amount(third, True).alias("tie"),
+        parsing.parse_amount(F.concat(F.lit("EUR "), F.repeat(F.lit(" "), 3)), True).alias("empty"),
+        parsing.amount_error(F.concat(german, F.lit("?")), True).alias("broken"),
+    )
+
+
+@register
+def parse_date(t):
+    day = F.to_date("o_orderdate")
+    both = ["%d.%m.%Y", "%Y-%m-%d"]
+    return t.orders.select(
+        "o_orderkey",
+        parsing.parse_date(F.concat(F.lit(" "), F.date_format(day, "d.M.yyyy")), both).alias("german"),
+        parsing.parse_date(day.cast("string"), both).alias("iso"),
+        parsing.parse_date(F.concat(F.lit("31."), F.date_format(day, "MM.yyyy")), both).alias("day31"),
+        parsing.parse_date("o_orderpriority", both).alias("text"),
+    )
+
+
+@register
+def signed_amount(t):
+    value = st.cents(F.col("l_extendedprice"))
+    kind = F.col("l_returnflag")
+    credit = F.when(kind == "A", value).when(kind == "R", F.lit(0))
+    debit = F.when(kind == "R", value)
+    other = F.when((kind == "N") & (F.col("l_linestatus") == "O"), -value)
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", parsing.signed_amount(credit, debit, other).alias("amount_cents")
+    )
+
+
+@register
+def norm_text(t):
+    return t.documents.select("doc_id", F.sha2(text.norm("text"), 256).alias("normed")).unionByName(
+        t.conversations.select(
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.sha2(text.norm("text"), 256).alias("normed")
+        )
+    )
+
+
+@register
+def loose_key(t):
+    return t.documents.select("doc_id", F.sha2(text.loose_key("text"), 256).alias("loose"))
+
+
+def _with_iban(t):
+    iban = F.concat(F.lit("DE"), F.lpad(st.text("doc_id"), 20, "0"))
+    return t.documents.withColumn("iban", iban).withColumn(
+        "full", F.concat(F.lit("an "), "iban", F.lit(" von "), "text", F.lit(" und "), "iban")
+    )
+
+
+@register
+def mask_text(t):
+    return _with_iban(t).select("doc_id", F.sha2(masking.mask_text("full"), 256).alias("masked"))
+
+
+@register
+def mask_iban(t):
+    grouped = F.regexp_replace("counterpart_iban", "(.{4})", "$1 ")
+    short = F.substring("counterpart_iban", 1, 5)
+    return st.statement_rows(t).select(
+        "source_id", "doc", "row_no", masking.mask_iban(grouped).alias("masked"),
+        masking.mask_iban(short).alias("short"), masking.mask_iban("end_to_end_id").alias("reference"),
+    )
+
+
+@register
+def mask_snippet(t):
+    return t.documents.select("doc_id", masking.mask_snippet("text").alias("snippet")).unionByName(
+        t.conversations.select(
+            (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), masking.mask_snippet("text").alias("snippet")
+        )
+    )
+
+
+@register
+def confidence(t):
+    return t.events.select(
+        "event_id",
+        proposals.clamp_confidence(st.cents(F.col("value")) / 1000).alias("confidence"),
+        proposals.clamp_confidence("event_type").alias("word"),
+    )
+
+
+@register
+def amount_direction(t):
+    signed = st.cents(F.col("s_acctbal"))
+    return t.supplier.select(
+        "s_suppkey", prompts.direction(signed).alias("direction"), prompts.whole_amount(signed).alias("whole")
+    )

@@ -396,3 +396,131 @@ def raw_proposals(t: Tables) -> DataFrame:
         F.lpad(text("s_suppkey"), 12, "0").alias("doc"),
         F.to_json(F.struct(answers.alias("proposals"))).alias("json"),
     )
+
+
+# --- statement files from orders and customer --------------------------------------------------
+
+# order of the columns in a file of each format; BIC is a column no profile reads
+BANK_FILE = [
+    "booking_date", "value_date", "posting_text", "counterpart_name", "purpose", "counterpart_iban",
+    None, "end_to_end_id", "amount", "debit", "credit", "currency",
+]
+GENERIC_FILE = [
+    "booking_date", "value_date", "amount", "currency", "counterpart_name", "counterpart_iban",
+    "purpose", "posting_text", "bank_reference",
+]
+LAST_BLOCK = 1 << 40
+
+
+def _german(amount: Column) -> Column:
+    return F.translate(F.format_number(amount, 2), ",.", ".,")
+
+
+def _money(value: Column) -> Column:
+    return (value.cast("decimal(18,2)") / 100).cast("decimal(18,2)")
+
+
+def statement_cells(t: Tables) -> DataFrame:
+    """Orders as the text cells a bank would write; one document per source and year."""
+    day = F.to_date("o_orderdate")
+    kind, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    order = F.concat(F.lit("Auftrag "), text("o_orderkey"))
+    value = cents(F.col("o_totalprice"))
+    up = kind.isin("1-URGENT", "4-NOT SPECIFIED")
+    signed = F.when(up, value).otherwise(-value)
+    bank = F.col("format") == "postbank-csv"
+    empty = F.lit("")
+    german = _german(_money(signed))
+    purpose = (
+        F.when(kind == "1-URGENT", F.concat(F.lit('"'), order, F.lit(' ""eilig""; sofort"')))
+        .when(kind == "2-HIGH", F.concat(F.lit("  "), order, F.lit("  ")))
+        .when(kind == "3-MEDIUM", F.concat(order, F.lit(' 24" Monitor')))
+        .when(kind == "5-LOW", F.concat(F.lit('"'), order, F.lit('\nspäter"')))
+        .otherwise(empty)
+    )
+    cells = {
+        "booking_date": F.when(bank, F.date_format(day, "d.M.yyyy")).otherwise(day.cast("string")),
+        "value_date": F.when(status == "O", F.date_add(day, 1).cast("string"))
+        .when(status == "F", F.date_format(F.date_add(day, 2), "d.M.yyyy"))
+        .otherwise("n/a"),
+        "posting_text": F.when(status == "P", "Vorgemerkt Kartenzahlung").when(status == "F", "SEPA-Lastschrift").otherwise(empty),
+        "counterpart_name": F.when(status == "F", empty).otherwise(F.concat(F.lit("Käufer "), "c_name")),
+        "purpose": purpose,
+        "counterpart_iban": F.when(status == "O", empty).otherwise(F.concat(F.lit("DE00 1111 "), F.lpad(text("c_custkey"), 10, "0"))),
+        "end_to_end_id": F.when(status == "O", F.concat(F.lit("E2E-"), text("o_orderkey"))).otherwise(empty),
+        "bank_reference": F.when(status == "O", F.concat(F.lit("R-"), text("o_orderkey"))).otherwise(empty),
+        "amount": F.when(~bank, F.format_number(_money(signed), 2))
+        .when(kind == "4-NOT SPECIFIED", F.concat(german, F.lit(" EUR")))
+        .when(kind == "5-LOW", german)
+        .otherwise(empty),
+        "debit": F.when(kind.isin("2-HIGH", "3-MEDIUM"), german).otherwise(empty),
+        "credit": F.when(kind == "1-URGENT", german).otherwise(empty),
+        "currency": F.when(status == "O", "EUR").when(status == "F", empty).otherwise("usd "),
+    }
+
+    def row(layout: list[str | None]) -> Column:
+        return F.concat_ws(";", *[cells[c] if c else empty for c in layout])
+
+    formats = sources(t).select(F.col("id").alias("source_id"), "format")
+    return (
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+        .withColumn("source_id", F.concat(F.lit("src"), text("c_nationkey")))
+        .join(formats, "source_id")
+        .select(
+            "source_id",
+            F.year(day).alias("year"),
+            F.col("o_orderkey").alias("row_no"),
+            F.when(bank, row(BANK_FILE)).otherwise(row(GENERIC_FILE)).alias("text"),
+        )
+    )
+
+
+def statement_lines(t: Tables) -> DataFrame:
+    """The physical lines of those documents, with preamble, header, footer and encoding."""
+    from stmtflow.sources.profiles import profiles_frame, resolve_profiles
+
+    rows = statement_cells(t)
+    body = rows.select(
+        "source_id", "year",
+        F.expr(f"row_no div {BLOCK_ROWS}").alias("block"),
+        (F.col("row_no") * 2).alias("_first"),
+        F.posexplode(F.split("text", "\n")).alias("_i", "text"),
+    ).select("source_id", "year", "block", (F.col("_first") + F.col("_i")).alias("line_no"), "text")
+
+    formats = resolve_profiles(sources(t), profiles_frame(t.spark))
+    documents = rows.select("source_id", "year").distinct().join(formats, "source_id")
+    header = F.when(
+        F.col("format") == "postbank-csv",
+        F.concat_ws(";", *[F.col("columns")[c] if c else F.lit("BIC") for c in BANK_FILE]),
+    ).otherwise(F.concat_ws(";", *[F.col("columns")[c] for c in GENERIC_FILE]))
+    nation = F.regexp_extract("source_id", r"\d+", 0).cast("bigint")
+    stated = nation * 100_000 + F.col("year")
+    closing = F.concat(F.lit("Kontostand am 31.12."), text("year"))
+    bank_lines = F.array(
+        F.lit("Umsätze;;;"),
+        F.lit('"Kontoinhaber";"Max ""M."" Mustermann"'),
+        F.lit(""),
+        F.concat(F.lit("Letzter Kontostand;;;;"), _german(_money(stated)), F.lit(";EUR")),
+        F.when(nation % 2 == 0, F.concat(closing, F.lit(";;"), _german(_money(stated + 100)), F.lit(";;"))).otherwise("Hinweis;;"),
+        header,
+    )
+    generic_lines = F.array(F.concat(F.lit("Balance;"), _money(stated).cast("string")), header)
+    above = F.when(F.col("format") == "postbank-csv", bank_lines).otherwise(generic_lines)
+    preamble = documents.select(
+        "source_id", "year", F.lit(-1).cast("bigint").alias("block"), F.posexplode(above).alias("line_no", "text")
+    )
+    footer = documents.select(
+        "source_id", "year", F.lit(LAST_BLOCK).alias("block"),
+        F.posexplode(F.array(F.concat(closing, F.lit(";;;1,00;EUR")), F.lit(""))).alias("line_no", "text"),
+    )
+    lines = body.unionByName(preamble).unionByName(footer)
+    # odd years were exported in a one-byte encoding
+    latin = F.encode("text", "ISO-8859-1").cast("string")
+    return lines.select(
+        "source_id",
+        F.concat(text("year"), F.lit(".csv")).alias("doc"),
+        "block",
+        F.col("line_no").cast("bigint").alias("line_no"),
+        F.concat(F.when(F.col("year") % 2 == 1, latin).otherwise(F.col("text")), F.lit("\r")).alias("raw"),
+        F.make_timestamp(F.col("year") + 1, F.lit(1), F.lit(5), F.lit(0), F.lit(0), F.lit(0)).alias("modified_at"),
+    )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,7 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -40,11 +40,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives the loss of any executor."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows as a table written to the shared folder.
+
+    It survives the loss of any executor, and its size is known to the planner afterwards. (A
+    checkpointed frame keeps the size estimate of the plan behind it, which grows with every join
+    of a loop.)
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

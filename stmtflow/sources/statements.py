@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 from stmtflow.functions.masking import mask_iban
 from stmtflow.functions.parsing import (
     AMOUNT_CELL,
+    AMOUNT_TYPE,
     DATE_INSIDE_CELL,
     amount_error,
+    amount_text,
     compact_iban,
     currency_code,
     is_pending,
     parse_amount,
     parse_date,
     signed_amount,
+    to_cents,
 )
 from stmtflow.functions.ranking import first_in_group
 from stmtflow.functions.text import blank_to_null, strip
+from stmtflow.session import cut_lineage
 from stmtflow.sources.profiles import CANONICAL_FIELDS, CP1252, UTF8
 
 # bytes that Windows-1252 defines and ISO-8859-1 does not, by rule from the codec itself
@@ -54,42 +58,43 @@ def _text(encoding: Column) -> Column:
     return F.regexp_replace(plain, "\r$", "")
 
 
-def _delimiter_class(delimiter: Column) -> Column:
-    # as a hex escape the character means itself inside and outside of a character class
-    return F.format_string("\\x{%x}", F.ascii(delimiter))
+def cell_patterns(delimiter: Column) -> list[Column]:
+    """Patterns for one delimiter: ``separator``, one ``cell`` with its separator, and ``open_end``.
 
+    Quotes only count at the start of a cell; a doubled quote inside stands for one. They are
+    computed per document, so that lines only carry a reference to the same text.
+    """
+    d = F.concat(F.lit("\\"), delimiter)
 
-def split_cells(text: Column, delimiter: Column) -> Column:
-    """Cells of one record, trimmed. Quotes only count at the start of a cell."""
-    d = _delimiter_class(delimiter)
-    plain = F.split(text, d)
-    token = F.concat(
-        F.lit(r'(?s)("[^"]*+(?:""[^"]*+)*+(?:"[^'), d, F.lit(r"]*+)?|[^"), d, F.lit("]*+)"), d
-    )
+    def pattern(template: str) -> Column:
+        return F.replace(F.lit(template), F.lit("<d>"), d)
+
+    cell = r'(?s)("[^"]*+(?:""[^"]*+)*+(?:"[^<d>]*+)?|[^<d>]*+)<d>'
+    complete = r'(?:"[^"]*+(?:""[^"]*+)*+"(?:[^"<d>][^<d>]*+)?|[^"<d>][^<d>]*+)?+<d>'
+    open_end = r'(?s)^(?:' + complete + r')*+"[^"]*+(?:""[^"]*+)*+$'
+    return [d.alias("separator"), pattern(cell).alias("cell"), pattern(open_end).alias("open_end")]
+
+
+def split_cells(text: Column, separator: Column, cell: Column, open_end: Column, delimiter: Column) -> Column:
+    """Cells of one record, trimmed."""
     # a quote that is never closed runs to the end of the file
-    closed = F.when(ends_open(text, delimiter), F.concat(text, F.lit('"'))).otherwise(text)
-    tokens = F.regexp_extract_all(F.concat(closed, delimiter), token, F.lit(1))
+    closed = F.when(ends_open(text, open_end), F.concat(text, F.lit('"'))).otherwise(text)
+    tokens = F.regexp_extract_all(F.concat(closed, delimiter), cell, F.lit(1))
 
-    def unquote(cell: Column) -> Column:
-        inside = F.regexp_extract(cell, "(?s)^" + QUOTED, 1)
-        rest = F.regexp_extract(cell, "(?s)^" + QUOTED + "(.*)$", 2)
+    def unquote(token: Column) -> Column:
+        inside = F.regexp_extract(token, "(?s)^" + QUOTED, 1)
+        rest = F.regexp_extract(token, "(?s)^" + QUOTED + "(.*)$", 2)
         return F.when(
-            F.startswith(cell, F.lit('"')), F.concat(F.replace(inside, F.lit('""'), F.lit('"')), rest)
-        ).otherwise(cell)
+            F.startswith(token, F.lit('"')), F.concat(F.replace(inside, F.lit('""'), F.lit('"')), rest)
+        ).otherwise(token)
 
-    cells = F.when(F.contains(text, F.lit('"')), F.transform(tokens, unquote)).otherwise(plain)
+    cells = F.when(F.contains(text, F.lit('"')), F.transform(tokens, unquote)).otherwise(F.split(text, separator))
     return F.transform(cells, strip)
 
 
-def ends_open(text: Column, delimiter: Column) -> Column:
+def ends_open(text: Column, open_end: Column) -> Column:
     """True when a line that starts outside of quotes ends inside a quoted cell."""
-    d = _delimiter_class(delimiter)
-    closed = F.concat(
-        F.lit(r'(?s)^(?:(?:"[^"]*+(?:""[^"]*+)*+"(?:[^"'), d, F.lit(r"][^"), d,
-        F.lit(r']*+)?|[^"'), d, F.lit(r"][^"), d, F.lit(r"]*+)?+"), d,
-        F.lit(r')*+"[^"]*+(?:""[^"]*+)*+$'),
-    )
-    return F.contains(text, F.lit('"')) & F.regexp_like(text, closed)
+    return F.contains(text, F.lit('"')) & F.regexp_substr(text, open_end).isNotNull()
 
 
 # --- records: join the lines of a quoted cell -----------------------------------------------
@@ -127,16 +132,18 @@ def assemble_records(lines: DataFrame) -> DataFrame:
     Two levels: states inside each block under both assumptions, then across the blocks of a
     document, so a large file is never sorted in one task.
     """
-    flagged = lines.withColumn("_o0", ends_open(F.col("text"), F.col("delimiter")).cast("int")).withColumn(
-        "_o1",
-        F.when(~F.contains("text", F.lit('"')), F.lit(1)).otherwise(
-            ends_open(F.concat(F.lit('"'), F.col("text")), F.col("delimiter")).cast("int")
-        ),
-    )
     doc = ["source_id", "doc"]
-    local = _quote_state(flagged, [*doc, "block"], ["line_no"], "_o0", "_o1")
-    local = local.withColumn("_a0", F.when(F.col("in0") == 0, F.col("_o0")).otherwise(F.col("_o1")))
-    local = local.withColumn("_a1", F.when(F.col("in1") == 0, F.col("_o0")).otherwise(F.col("_o1")))
+    text, open_end = F.col("text"), F.col("open_end")
+    quote = F.contains(text, F.lit('"'))
+    flagged = lines.withColumn("_o0", ends_open(text, open_end).cast("int")).withColumn(
+        "_o1", F.when(quote, ends_open(F.concat(F.lit('"'), text), open_end).cast("int")).otherwise(1)
+    )
+    states = _quote_state(flagged, [*doc, "block"], ["line_no"], "_o0", "_o1")
+
+    def after(state: str) -> Column:
+        return F.when(F.col(state) == 0, F.col("_o0")).otherwise(F.col("_o1"))
+
+    local = cut_lineage(states.withColumn("_a0", after("in0")).withColumn("_a1", after("in1")))
     ends = local.groupBy(*doc, "block").agg(
         F.max_by("_a0", "line_no").alias("_b0"), F.max_by("_a1", "line_no").alias("_b1")
     )
@@ -144,45 +151,33 @@ def assemble_records(lines: DataFrame) -> DataFrame:
         *doc, "block", F.col("in0").alias("_start")
     )
     stated = local.join(starts, [*doc, "block"]).withColumn(
-        "_inside", F.when(F.col("_start") == 0, F.col("in0")).otherwise(F.col("in1"))
-    )
-    # a record starts at every line that begins outside of quotes; number the starts per block
-    inside_block = Window.partitionBy(*doc, "block").orderBy("line_no")
-    begun = stated.withColumn(
-        "_first", F.last(F.when(F.col("_inside") == 0, F.col("line_no")), True).over(inside_block)
-    )
-    last_in_block = begun.groupBy(*doc, "block").agg(F.max("_first").alias("_last"))
-    carry = last_in_block.withColumn(
-        "_carry",
-        F.last(F.when(F.col("_last").isNotNull(), F.struct("block", F.col("_last").alias("line_no"))), True).over(
-            Window.partitionBy(*doc).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    ).select(*doc, "block", "_carry")
-    placed = begun.join(carry, [*doc, "block"]).withColumn(
-        "_start_at",
-        F.when(F.col("_first").isNotNull(), F.struct("block", F.col("_first").alias("line_no"))).otherwise(
-            F.col("_carry")
-        ),
-    )
-    size = placed.groupBy(*doc, "_start_at").agg(F.sum(F.length("text") + 1).alias("_chars"))
-    pieces = placed.join(size, [*doc, "_start_at"])
-    kept = [c for c in lines.columns if c not in {*doc, "block", "line_no", "text"}]
+        "_begins", F.when(F.col("_start") == 0, F.col("in0")).otherwise(F.col("in1")) == 0
+    )
+    # a record starts at every line that begins outside of quotes, maybe in an earlier block
+    start_here = F.when(F.col("_begins"), F.struct("block", "line_no"))
+    earlier = Window.partitionBy(*doc).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        stated.groupBy(*doc, "block").agg(F.max(start_here).alias("_last"))
+        .select(*doc, "block", F.last("_last", True).over(earlier).alias("_carried"))
+    )
+    inside = Window.partitionBy(*doc, "block").orderBy("line_no")
+    placed = stated.withColumn("_here", F.last(start_here, True).over(inside)).join(
+        carried, [*doc, "block"]
+    ).withColumn("_at", F.coalesce("_here", "_carried"))
     # a record longer than a cell may be is an error of the document, not something to collect
-    parts = F.sort_array(
-        F.collect_list(
-            F.when(F.col("_chars") <= MAX_FIELD, F.struct("block", "line_no", F.col("text").alias("t")))
-        )
-    )
+    size = placed.groupBy(*doc, "_at").agg(F.sum(F.length("text") + 1).alias("_chars"))
+    piece = F.struct("block", "line_no", F.col("text").alias("t"))
+    same = [c for c in lines.columns if c not in {*doc, "block", "line_no", "text", "too_long"}]
     return (
-        pieces.groupBy(*doc, "_start_at")
+        placed.join(size, [*doc, "_at"])
+        .groupBy(*doc, "_at")
         .agg(
-            F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("text"),
+            F.sort_array(F.collect_list(F.when(F.col("_chars") <= MAX_FIELD, piece))).alias("_pieces"),
             (F.max("_chars") > MAX_FIELD).alias("too_long"),
-            *[F.first(c).alias(c) for c in kept if c != "too_long"],
+            *[F.first(c).alias(c) for c in same],
         )
-        .withColumn("block", F.col("_start_at.block"))
-        .withColumn("line_no", F.col("_start_at.line_no"))
-        .drop("_start_at")
+        .withColumn("text", F.array_join(F.transform("_pieces", lambda p: p["t"]), "\n"))
+        .select("*", "_at.*")
         .select(*lines.columns)
     )
 
@@ -191,12 +186,20 @@ def assemble_records(lines: DataFrame) -> DataFrame:
 
 
 def decode_documents(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Encoding per document: the first of the profile's encodings that reads every byte."""
-    per_doc = lines.groupBy("source_id", "doc").agg(
-        F.bool_and(F.is_valid_utf8("raw")).alias("utf8"),
+    """Encoding per document: the first of the profile's encodings that reads every byte.
+
+    ``broken`` marks documents in which some line ends inside a quoted cell. Quotes, delimiters
+    and line ends are the same bytes in every encoding, so this shows before decoding.
+    """
+    formats = formats.select("*", *cell_patterns(F.col("delimiter")))
+    tested = lines.join(formats.select("source_id", "open_end"), "source_id")
+    valid = F.is_valid_utf8("raw")
+    open_line = F.contains("raw", F.lit('"')) & ends_open(_latin1(), F.col("open_end"))
+    per_doc = tested.groupBy("source_id", "doc").agg(
+        F.bool_and(valid).alias("utf8"),
         F.bool_or(_latin1().rlike(CP1252_HOLES)).alias("_holes"),
         F.max("modified_at").alias("modified_at"),
-        F.bool_or(F.contains(_latin1(), F.lit('"'))).alias("quoted"),
+        F.bool_or(open_line).alias("broken"),
     )
     works = F.filter(
         F.col("encodings"),
@@ -212,7 +215,8 @@ def decode_documents(lines: DataFrame, formats: DataFrame) -> DataFrame:
 def decoded_records(lines: DataFrame, documents: DataFrame) -> DataFrame:
     """Logical records with their cells, for documents that could be decoded."""
     readable = documents.where("encoding is not null").select(
-        "source_id", "doc", "encoding", "delimiter", "marker", "balance_label", "quoted"
+        "source_id", "doc", "encoding", "delimiter", "marker", "balance_label", "broken",
+        "separator", "cell", "open_end",
     )
     text = (
         lines.select("source_id", "doc", "block", "line_no", "raw")
@@ -221,10 +225,10 @@ def decoded_records(lines: DataFrame, documents: DataFrame) -> DataFrame:
         .withColumn("too_long", F.lit(False))
         .drop("raw", "encoding")
     )
-    records = text.where(~F.col("quoted")).unionByName(assemble_records(text.where("quoted")))
+    records = text.where(~F.col("broken")).unionByName(assemble_records(text.where("broken")))
     first_cell = F.lower(F.get("cells", F.lit(0)))
     return (
-        records.withColumn("cells", split_cells(F.col("text"), F.col("delimiter")))
+        records.withColumn("cells", split_cells(*map(F.col, ("text", "separator", "cell", "open_end", "delimiter"))))
         .withColumn("at", F.struct("block", "line_no"))
         .withColumn("is_header", F.array_contains("cells", F.col("marker")))
         .withColumn("is_balance", F.contains(first_cell, F.lower("balance_label")))
@@ -333,34 +337,41 @@ def canonical_rows(documents: DataFrame, records: DataFrame) -> DataFrame:
     )
     body = records.join(known, ["source_id", "doc"]).where(F.col("at") > F.col("header_at"))
 
-    def cell(name: str) -> Column:
-        return F.get("cells", F.col(f"positions.{name}"))
-
+    # step by step, so that no expression is repeated inside another one
     comma = F.col("decimal_comma")
-    credit, debit, amount = (parse_amount(cell(n), comma) for n in ("credit", "debit", "amount"))
-    moved = (F.coalesce(credit, F.lit(0)) != 0) | (F.coalesce(debit, F.lit(0)) != 0)
-    bad = (
-        F.coalesce(amount_error(cell("credit"), comma), F.lit(False))
-        | F.coalesce(amount_error(cell("debit"), comma), F.lit(False))
-        | (~moved & F.coalesce(amount_error(cell("amount"), comma), F.lit(False)))
-    )
-    rows = body.select(
+    named = body.select(
+        "source_id", "account_ref", "doc", "at", "too_long", "decimal_comma", "date_formats", "default_currency",
+        *[F.get("cells", F.col(f"positions.{name}")).alias(f"c_{name}") for name in CANONICAL_FIELDS],
+    )
+    amounts = ("credit", "debit", "amount")
+    numbers = named.withColumns({f"t_{n}": amount_text(f"c_{n}", comma) for n in amounts})
+    numbers = numbers.withColumns({f"d_{n}": F.col(f"t_{n}").try_cast(AMOUNT_TYPE) for n in amounts})
+    values = numbers.withColumns(
+        {
+            **{n: to_cents(F.col(f"d_{n}")) for n in amounts},
+            **{f"bad_{n}": F.col(f"t_{n}").isNotNull() & F.col(f"d_{n}").isNull() for n in amounts},
+            "booking_date": parse_date("c_booking_date", F.col("date_formats")),
+        }
+    )
+    # the amount column is only read where credit and debit say nothing
+    moved = (F.coalesce("credit", F.lit(0)) != 0) | (F.coalesce("debit", F.lit(0)) != 0)
+    rows = values.select(
         "source_id",
         "account_ref",
         "doc",
         F.col("at.block").alias("block"),
         F.col("at.line_no").alias("row_no"),
-        parse_date(cell("booking_date"), F.col("date_formats")).alias("booking_date"),
-        parse_date(cell("value_date"), F.col("date_formats")).alias("value_date"),
-        signed_amount(credit, debit, amount).alias("amount_cents"),
-        currency_code(cell("currency"), F.col("default_currency")).alias("currency"),
-        blank_to_null(cell("counterpart_name")).alias("counterpart_name"),
-        compact_iban(cell("counterpart_iban")).alias("counterpart_iban"),
-        F.coalesce(strip(cell("purpose")), F.lit("")).alias("purpose"),
-        blank_to_null(cell("posting_text")).alias("posting_text"),
-        blank_to_null(cell("bank_reference")).alias("bank_reference"),
-        blank_to_null(cell("end_to_end_id")).alias("end_to_end_id"),
-        bad.alias("_bad"),
+        "booking_date",
+        parse_date("c_value_date", F.col("date_formats")).alias("value_date"),
+        signed_amount("credit", "debit", "amount").alias("amount_cents"),
+        currency_code("c_currency", F.col("default_currency")).alias("currency"),
+        blank_to_null("c_counterpart_name").alias("counterpart_name"),
+        compact_iban("c_counterpart_iban").alias("counterpart_iban"),
+        F.coalesce(strip("c_purpose"), F.lit("")).alias("purpose"),
+        blank_to_null("c_posting_text").alias("posting_text"),
+        blank_to_null("c_bank_reference").alias("bank_reference"),
+        blank_to_null("c_end_to_end_id").alias("end_to_end_id"),
+        (F.col("bad_credit") | F.col("bad_debit") | (~moved & F.col("bad_amount"))).alias("_bad"),
         "too_long",
     )
     dated = F.col("booking_date").isNotNull()
@@ -400,14 +411,19 @@ def document_stats(documents: DataFrame, rows: DataFrame, balances: DataFrame) -
 
 
 class ParsedStatements:
-    """The frames that one pass over the lines yields; all lazy."""
+    """What the lines of many statement files say.
+
+    Records and document facts are written once to the shared folder, since header, balances and
+    rows all read them; the lines themselves are read twice, for the facts and for the records.
+    """
 
     def __init__(self, lines: DataFrame, formats: DataFrame):
-        decoded = decode_documents(lines, formats)
-        self.records = decoded_records(lines, decoded)
-        self.documents = with_headers(decoded, self.records)
-        self.balances = statement_balances(self.documents, self.records)
-        self.body = canonical_rows(self.documents, self.records)
+        decoded = cut_lineage(decode_documents(lines, formats))
+        records = cut_lineage(decoded_records(lines, decoded))
+        self.documents = cut_lineage(with_headers(decoded, records))
+        self.records = records
+        self.balances = statement_balances(self.documents, records)
+        self.body = canonical_rows(self.documents, records)
         self.rows = self.body.where("is_row").drop("is_row", "bad_amount", "too_long")
         self.stats = document_stats(self.documents, self.body, self.balances)
 
