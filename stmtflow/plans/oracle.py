@@ -926,3 +926,40 @@ register(
       CAST(CAST(round_even(abs(v) / 100, 0) AS BIGINT) AS VARCHAR) AS whole
     FROM (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS v FROM supplier)""",
 )
+
+# --- files, whole jobs, streams ---------------------------------------------------------------
+
+register("inbox_scan", "SELECT source_id, doc FROM file_docs", "file_docs")
+register("unprocessed_files", "SELECT source_id, doc FROM file_docs WHERE y >= 2000", "file_docs")
+register(
+    "summary_inbox",
+    "SELECT s.id AS source_id, count(d.doc) AS files FROM sources s LEFT JOIN file_docs d ON d.source_id = s.id GROUP BY 1",
+    "sources",
+    "file_docs",
+)
+view(
+    "import_result",
+    """SELECT source_id, account, status, error, files, CASE WHEN bad THEN 0 ELSE n END AS fetched,
+      CASE WHEN bad THEN 0 ELSE pending END AS pending_rows, CASE WHEN bad THEN 0 ELSE n END AS new_rows,
+      0::BIGINT AS changed_rows, 0::BIGINT AS unchanged_rows, CASE WHEN bad THEN 0 ELSE n END AS added, 0::BIGINT AS updated, 0::BIGINT AS unchanged,
+      CASE WHEN NOT bad THEN lo END AS window_from, CASE WHEN NOT bad THEN hi END AS window_to,
+      CASE WHEN NOT bad THEN b.balance_cents END AS statement_balance_cents, CASE WHEN NOT bad AND NOT closed THEN total END AS actual_balance_cents
+    FROM (SELECT source_id, bool_or(unreadable) AS bad, count(DISTINCT doc) AS files, count(*) FILTER (NOT r.pending) AS n,
+        count(*) FILTER (r.pending) AS pending, min(booking_date) FILTER (NOT r.pending) AS lo, max(booking_date) FILTER (NOT r.pending) AS hi,
+        CAST(sum(CASE WHEN kind IN ('1-URGENT', '4-NOT SPECIFIED') THEN value ELSE -value END) FILTER (NOT r.pending) AS BIGINT) AS total,
+        CASE WHEN bool_or(unreadable) THEN 'error' ELSE 'ok' END AS status,
+        CASE WHEN bool_or(unreadable) THEN 'no encoding reads the file' END AS error
+      FROM (SELECT *, status = 'P' AS pending FROM file_rows) r GROUP BY source_id)
+    JOIN (SELECT id AS source_id, actual_account AS account FROM sources) USING (source_id)
+    JOIN (SELECT name AS account, closed FROM accounts) USING (account)
+    LEFT JOIN (SELECT source_id, balance_cents FROM file_balances JOIN file_docs USING (source_id, doc) WHERE last_booking IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY last_booking DESC) = 1) b USING (source_id)""",
+    "file_rows",
+    "file_balances",
+    "sources",
+    "accounts",
+)
+register("full_import", "SELECT * FROM import_result", "import_result")
+register("stream_import", "SELECT source_id, added AS ledger_rows FROM import_result WHERE status = 'ok'", "import_result")
+register("stream_distinct_events", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
+QUERIES["categorization_round"] = QUERIES["approve_decide"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +25,13 @@ from stmtflow.operators import (
     runs,
 )
 from stmtflow.plans import staging as st
-from stmtflow.session import cut_lineage
-from stmtflow.sources import profiles, registry, statements
+from stmtflow.plans.importer import ImportJob
+from stmtflow.plans.review import ReviewRound
+from stmtflow.schemas import TABLES
+from stmtflow.session import cut_lineage, shared_folder
+from stmtflow.sources import inbox, profiles, registry, statements
+from stmtflow.sources.store import SnapshotStore
+from stmtflow.streaming import inbox_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -213,11 +220,6 @@ def source_lookup(t):
 # --- matching and import ----------------------------------------------------------------------
 
 
-def _store(t):
-    """The budget transactions as a stored table, which matching reads several times."""
-    return cut_lineage(st.budget_transactions(t))
-
-
 def _resolved(t):
     return importing.resolve_accounts(st.sources(t), st.accounts(t))
 
@@ -240,7 +242,7 @@ def match_exact(t):
 
 @register
 def match_candidates(t):
-    free = matching.adoptable(_store(t))
+    free = matching.adoptable(st.budget_transactions(t))
     return matching.match_candidates(cut_lineage(_importable(t)), free).select(
         "source_id", "source_key", "candidates", "best_id", "best_same_payee"
     )
@@ -248,12 +250,12 @@ def match_candidates(t):
 
 @register
 def match_assign(t):
-    return matching.match_assign(cut_lineage(_importable(t)), matching.adoptable(_store(t)))
+    return matching.match_assign(cut_lineage(_importable(t)), matching.adoptable(st.budget_transactions(t)))
 
 
 @register
 def import_plan(t):
-    return importing.import_plan(_importable(t), _store(t)).select(
+    return importing.import_plan(_importable(t), st.budget_transactions(t)).select(
         "source_id", "source_key", "action", "matched_id", "booking_date", "amount_cents", "payee", "notes"
     )
 
@@ -261,7 +263,7 @@ def import_plan(t):
 @register
 def import_counts(t):
     parted = cut_lineage(_partitioned(t))
-    plan = importing.import_plan(importing.importable(parted, _resolved(t)), _store(t))
+    plan = importing.import_plan(importing.importable(parted, _resolved(t)), st.budget_transactions(t))
     return importing.import_counts(plan, parted)
 
 
@@ -532,8 +534,7 @@ def summary_runs(t):
 
 def _parsed(t):
     formats = profiles.resolve_profiles(st.sources(t), profiles.profiles_frame(t.spark))
-    # the lines are read several times, as files would be
-    return statements.ParsedStatements(cut_lineage(st.statement_lines(t)), formats)
+    return statements.ParsedStatements(st.statement_lines(t), formats)
 
 
 @register
@@ -689,3 +690,100 @@ def amount_direction(t):
     return t.supplier.select(
         "s_suppkey", prompts.direction(signed).alias("direction"), prompts.whole_amount(signed).alias("whole")
     )
+
+
+# --- files, whole jobs, streams ---------------------------------------------------------------
+
+
+def _document_folder(df):
+    # the files are named by the writer; their folder carries the document's name
+    return df.withColumn("doc", F.regexp_extract("doc", "/doc=([^/]+)/", 1))
+
+
+def _formats(t):
+    return profiles.resolve_profiles(st.sources(t), profiles.profiles_frame(t.spark))
+
+
+def _inbox_files(t):
+    return inbox.source_files(inbox.inbox_files(t.spark, st.statement_inbox(t)), _formats(t))
+
+
+@register
+def inbox_scan(t):
+    return _document_folder(_inbox_files(t)).select("source_id", "doc")
+
+
+@register
+def unprocessed_files(t):
+    files = _inbox_files(t)
+    done = files.where("doc rlike '/doc=199'")
+    return _document_folder(inbox.unprocessed(files, done)).select("source_id", "doc")
+
+
+@register
+def summary_inbox(t):
+    return reports.inbox_section(_formats(t), _inbox_files(t))
+
+
+def _new_store(t, **tables):
+    store = SnapshotStore(t.spark, f"{shared_folder(t.spark)}/state-{uuid.uuid4().hex}")
+    filled = {
+        name: df.unionByName(t.spark.createDataFrame([], TABLES[name]), allowMissingColumns=True)
+        for name, df in tables.items()
+    }
+    store.write("start", filled)
+    return store
+
+
+def _import_job(t):
+    store = _new_store(t, account=st.accounts(t), payee=st.payees(t).drop("position"), rule=st.rules(t))
+    return ImportJob(t.spark, st.statement_inbox(t), st.sources(t), store)
+
+
+@register
+def full_import(t):
+    """Files to budget store and ledger, for all sources."""
+    return _import_job(t).run("run1", st.THIS_IMPORT).select(
+        "source_id", "account", "status", "error", "files", "fetched", "pending_rows", "new_rows", "changed_rows",
+        "unchanged_rows", "added", "updated", "unchanged", "window_from", "window_to", "statement_balance_cents",
+        "actual_balance_cents",
+    )
+
+
+@register
+def stream_import(t):
+    """The same by the stream, some files per micro-batch; the ledger that results."""
+    job = _import_job(t)
+    query = inbox_stream.start(job, f"{job.store.root}/checkpoint", lambda batch: st.THIS_IMPORT)
+    query.awaitTermination()
+    return ledger.ledger_size(job.store.read("import_ledger"))
+
+
+@register
+def stream_distinct_events(t):
+    """First delivery per user, kind and day."""
+    folder = f"{shared_folder(t.spark)}/events-{uuid.uuid4().hex}"
+    events = (
+        t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
+    )
+    keyed = events.select("user_id", "event_type", F.to_date("ts").alias("day"))
+    query = (
+        inbox_stream.distinct_events(keyed, ["user_id", "event_type", "day"])
+        .writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return t.spark.read.schema(keyed.schema).parquet(f"{folder}/rows")
+
+
+@register
+def categorization_round(t):
+    """Answers stored, the best approved: the review queue afterwards."""
+    store = _new_store(
+        t, account=st.accounts(t), payee=st.payees(t).drop("position"), rule=st.rules(t), category=st.categories(t),
+        category_group=st.category_groups(t), budget_txn=st.booked_transactions(t), category_proposal=st.proposals_before(t),
+    )
+    at = datetime(2024, 1, 20)
+    ReviewRound(store, "run1", at, "m1").store_answers(st.raw_proposals(t))
+    ReviewRound(store, "run2", at).approve(["a", "3f"], min_confidence=0.9)
+    return store.read("category_proposal").select("id", "payee", "status", "rule_id")

@@ -5,6 +5,9 @@ Only renames, string building and calendar splits happen here; all rows of the t
 
 from __future__ import annotations
 
+import functools
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 
 from stmtflow.operators import fetch, keys
 from stmtflow.schemas import TXN_CONTENT
+from stmtflow.session import cut_lineage, shared_folder
+from stmtflow.sources.profiles import profiles_frame, resolve_profiles
 
 BLOCK_ROWS = 1_000_000  # rows per block of a document that comes from a table
 FIRST_IMPORT = datetime(2000, 1, 2)
@@ -28,6 +33,22 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Derived inputs that stand for stored tables are written once per application and folder."""
+
+    @functools.wraps(build)
+    def read(t: Tables) -> DataFrame:
+        key = (t.spark.sparkContext.applicationId, t.folder, build.__name__)
+        if key not in _STORED:
+            _STORED[key] = cut_lineage(build(t))
+        return _STORED[key]
+
+    return read
+
+
 def text(value: str | Column) -> Column:
     return (F.col(value) if isinstance(value, str) else value).cast("string")
 
@@ -86,6 +107,7 @@ def fetched(t: Tables) -> DataFrame:
     return fetch.fetch_transactions(statement_rows(t))
 
 
+@stored
 def ledger_before(t: Tables) -> DataFrame:
     """State after an earlier import of the first export, when the bank wrote some rows in capitals."""
     earlier = (
@@ -200,6 +222,7 @@ def run_events(t: Tables) -> DataFrame:
 # --- budget store -----------------------------------------------------------------------------
 
 
+@stored
 def budget_transactions(t: Tables) -> DataFrame:
     """Store before the import: rows imported earlier, manual entries and rows of other imports.
 
@@ -475,10 +498,9 @@ def statement_cells(t: Tables) -> DataFrame:
     )
 
 
+@stored
 def statement_lines(t: Tables) -> DataFrame:
     """The physical lines of those documents, with preamble, header, footer and encoding."""
-    from stmtflow.sources.profiles import profiles_frame, resolve_profiles
-
     rows = statement_cells(t)
     body = rows.select(
         "source_id", "year",
@@ -524,3 +546,23 @@ def statement_lines(t: Tables) -> DataFrame:
         F.concat(F.when(F.col("year") % 2 == 1, latin).otherwise(F.col("text")), F.lit("\r")).alias("raw"),
         F.make_timestamp(F.col("year") + 1, F.lit(1), F.lit(5), F.lit(0), F.lit(0), F.lit(0)).alias("modified_at"),
     )
+
+
+_INBOXES: dict[tuple[str, str], str] = {}
+
+
+def statement_inbox(t: Tables) -> str:
+    """Folder with those documents as files, one file per source and year."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _INBOXES:
+        folder = f"{shared_folder(t.spark)}/inbox-{uuid.uuid4().hex}"
+        (
+            statement_lines(t)
+            .repartition("source_id", "doc")
+            .sortWithinPartitions("source_id", "doc", "block", "line_no")
+            .select("source_id", "doc", "raw")
+            .write.partitionBy("source_id", "doc")
+            .text(folder)
+        )
+        _INBOXES[key] = folder
+    return _INBOXES[key]

