@@ -18,17 +18,15 @@ def number_in_blocks(
     block: str,
     order: Sequence[str | Column],
     name: str,
-    several_blocks: DataFrame | None = None,
+    spanning: DataFrame | None = None,
 ) -> DataFrame:
     """Position (from 0) inside each ``keys`` group in (``block``, ``order``) order.
 
-    ``several_blocks`` may hold the key combinations (any subset of ``keys``) that span more than
+    ``spanning`` may hold the rows (``keys`` and ``block``) of which a group can lie in more than
     one block; only those are counted, so the usual small group pays for one shuffle only.
     """
     inside = Window.partitionBy(*keys, block).orderBy(*order)
-    counted = df
-    if several_blocks is not None:
-        counted = df.join(several_blocks, several_blocks.columns, "left_semi")
+    counted = df if spanning is None else spanning
     earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counted.groupBy(*keys, block)

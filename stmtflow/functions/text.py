@@ -51,10 +51,14 @@ def squeeze(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, WHITESPACE_RUN, " "))
 
 
+# what the plain form of a text never holds: two blanks in a row, or anything but printable ASCII
+NEEDS_CARE = "  |[^ -~]"
+
+
 def norm(value: Column | str) -> Column:
     """Comparison form of a statement text: NFKC, one blank between words, upper case."""
     c = F.coalesce(as_column(value), F.lit(""))
-    return F.upper(squeeze(nfkc(c)))
+    return F.upper(F.when(c.rlike(NEEDS_CARE), squeeze(nfkc(c))).otherwise(F.trim(c)))
 
 
 def loose_key(value: Column | str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stmtflow.functions.identity import payee_name
 from stmtflow.functions.ranking import first_in_group
+from stmtflow.operators.keys import KEY
 from stmtflow.operators.ledger import NEW, UNCHANGED
 from stmtflow.operators.matching import SMALL_GROUP, adoptable, match_assign, match_exact
 from stmtflow.operators.rules import rule_outcomes
@@ -59,7 +60,7 @@ def import_plan(rows: DataFrame, existing: DataFrame, small_group: int = SMALL_G
     )
     missing = exact.where("matched_id is null").drop("matched_id")
     adopted = match_assign(missing, adoptable(existing), small_group).withColumnRenamed("id", "matched_id")
-    other = missing.join(adopted, ["source_id", "source_key"], "left").withColumn(
+    other = missing.join(adopted, KEY, "left").withColumn(
         "action", F.when(F.col("matched_id").isNotNull(), ADOPTED).otherwise(CREATED)
     )
     return found.unionByName(other).drop("differs")

@@ -10,24 +10,34 @@ from stmtflow.functions.ranking import first_in_group, number_in_blocks
 from stmtflow.schemas import TXN_CONTENT
 
 
+KEY = ["source_key", "source_id"]
+# the digest first: it tells rows apart in the first bytes a sort compares
+GROUP = ["canon", "source_id", "doc"]
+
+
+def _canonical(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("canon", F.sha2(canonical_text(), 256))
+
+
 def assign_keys(rows: DataFrame) -> DataFrame:
     """Key every booked row of every document.
 
     Rows of one document that say the same are told apart by their position among themselves.
-    The canonical text is hashed first, so the shuffle carries 64 characters instead of ten
-    fields, and the numbering is done per block of a document (see ``number_in_blocks``).
+    The numbering is done per block of a document (see ``number_in_blocks``), so the copies of one
+    row in a document are spread over tasks however many they are.
     """
-    group = ["source_id", "doc", "_canon"]
-    canonical = rows.withColumn("_text", canonical_text())
-    hashed = canonical.withColumn("_canon", F.sha2("_text", 256))
-    # only documents of several blocks can have a group that spans blocks
-    long_documents = (
-        rows.groupBy("source_id", "doc").agg(F.max("block").alias("_b"), F.min("block").alias("_a"))
-        .where("_b > _a").select("source_id", "doc")
-    )
+    # Only documents of several blocks can have a group that spans blocks. Their number is at
+    # most the input size over the block size, so the list of them is small enough to broadcast.
+    documents = rows.groupBy("source_id", "doc").agg(F.min("block").alias("_a"), F.max("block").alias("_b"))
+    long_documents = F.broadcast(documents.where("_a < _b").select("source_id", "doc"))
+    spanning = _canonical(rows.join(long_documents, ["source_id", "doc"], "left_semi")).select(*GROUP, "block")
     # an explicit exchange on the full key: a partitioning by document alone could be skewed
-    spread = hashed.repartition(*group, "block")
-    numbered = number_in_blocks(spread, group, "block", ["row_no"], "ordinal", long_documents)
+    spread = (
+        rows.withColumn("_text", canonical_text())
+        .withColumn("canon", F.sha2("_text", 256))
+        .repartition(*GROUP, "block")
+    )
+    numbered = number_in_blocks(spread, GROUP, "block", ["row_no"], "ordinal", spanning)
     return (
         numbered.withColumn("source_key", source_key("_text", "ordinal"))
         .withColumn("imported_id", imported_id("source_id", "source_key"))
@@ -46,7 +56,7 @@ def merge_documents(keyed: DataFrame) -> DataFrame:
     Spark keeps one row per key and task before the shuffle, so copies in many documents
     do not travel.
     """
-    return first_in_group(keyed, ["source_id", "source_key"], ["doc"])
+    return first_in_group(keyed, KEY, ["doc"])
 
 
 def statement_order(merged: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = ["source_id", "source_key"]
+from stmtflow.operators.keys import KEY
+
 NEW, CHANGED, UNCHANGED = "new", "changed", "unchanged"
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtflow.functions.ranking import first_in_group, number_in_blocks
+from stmtflow.operators.keys import KEY
 from stmtflow.session import cut_lineage
 
 DAYS = 7
@@ -234,7 +235,7 @@ def match_assign(rows: DataFrame, free: DataFrame, small_group: int = SMALL_GROU
         .join(lonely_rows.drop("payee", "seats"), [*GROUP, "booking_date"])
         .select("source_id", "source_key", "id")
     )
-    rest = wanted.join(settled, ["source_id", "source_key"], "left_anti")
+    rest = wanted.join(settled, KEY, "left_anti")
     seats = offered.join(settled, "id", "left_anti")
     size = (
         rest.select(*GROUP).unionByName(seats.select(*GROUP))

@@ -6,6 +6,9 @@ from __future__ import annotations
 _VIEWS: dict[str, tuple[str, list[str]]] = {}
 
 
+RECURSIVE = {"walk"}
+
+
 def view(name: str, sql: str, *needs: str) -> None:
     _VIEWS[name] = (sql.strip(), list(needs))
 
@@ -24,7 +27,7 @@ def query(sql: str, *needs: str) -> str:
         visit(need)
     if not order:
         return sql.strip()
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_VIEWS[n][0]})" for n in order) + "\n" + sql.strip()
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if n in RECURSIVE else 'MATERIALIZED '}({_VIEWS[n][0]})" for n in order) + "\n" + sql.strip()
 
 
 def norm(x: str) -> str:
@@ -367,6 +370,55 @@ register(
     "pairs",
 )
 
+view(
+    "exact",
+    """SELECT i.*, b.id AS matched_id, b.id IS NOT NULL AND (b.booking_date <> i.booking_date OR NOT b.cleared) AS differs
+    FROM importable i LEFT JOIN budget b ON b.account_id = i.account_id AND b.imported_id = i.imported_id""",
+    "importable",
+    "budget",
+)
+# rows of each account and amount in the order of choice, with the ids they would take, best first
+view(
+    "choosers",
+    """SELECT e.account_id, e.amount_cents, e.source_id, e.source_key, coalesce(prefs, []) AS prefs,
+      row_number() OVER (PARTITION BY e.account_id, e.amount_cents ORDER BY e.source_id, e.booking_date, e.source_key) AS i
+    FROM exact e LEFT JOIN (SELECT source_id, source_key, list(id ORDER BY same DESC, days, day, id) AS prefs FROM pairs GROUP BY ALL) p
+      ON p.source_id = e.source_id AND p.source_key = e.source_key WHERE matched_id IS NULL""",
+    "exact",
+    "pairs",
+)
+view(
+    "walk",
+    """SELECT DISTINCT account_id, amount_cents, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS source_id,
+      CAST(NULL AS VARCHAR) AS source_key, CAST(NULL AS VARCHAR) AS id FROM choosers
+    UNION ALL
+    SELECT account_id, amount_cents, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, source_id, source_key, pick
+    FROM (SELECT c.account_id, c.amount_cents, c.i, w.used, c.source_id, c.source_key,
+        list_filter(c.prefs, lambda x: NOT list_contains(w.used, x))[1] AS pick
+      FROM walk w JOIN choosers c ON c.account_id = w.account_id AND c.amount_cents = w.amount_cents AND c.i = w.i + 1)""",
+    "choosers",
+)
+register("match_assign", "SELECT source_id, source_key, id FROM walk WHERE id IS NOT NULL", "walk")
+view(
+    "plan",
+    """SELECT e.source_id, e.source_key, e.booking_date, e.amount_cents, e.payee, e.notes, coalesce(e.matched_id, w.id) AS matched_id,
+      CASE WHEN e.matched_id IS NOT NULL THEN CASE WHEN differs THEN 'updated' ELSE 'unchanged' END
+        WHEN w.id IS NOT NULL THEN 'adopted' ELSE 'created' END AS action
+    FROM exact e LEFT JOIN (SELECT * FROM walk WHERE id IS NOT NULL) w ON w.source_id = e.source_id AND w.source_key = e.source_key""",
+    "exact",
+    "walk",
+)
+register("import_plan", "SELECT source_id, source_key, action, matched_id, booking_date, amount_cents, payee, notes FROM plan", "plan")
+register(
+    "import_counts",
+    """SELECT k.source_id, coalesce(added, 0) AS added, coalesce(updated, 0) AS updated, known + coalesce(kept, 0) AS unchanged
+    FROM (SELECT source_id, count(*) FILTER (dedup_status = 'unchanged') AS known FROM parted GROUP BY 1) k
+    LEFT JOIN (SELECT source_id, count(*) FILTER (action = 'created') AS added, count(*) FILTER (action IN ('adopted', 'updated')) AS updated,
+      count(*) FILTER (action = 'unchanged') AS kept FROM plan GROUP BY 1) p USING (source_id)""",
+    "parted",
+    "plan",
+)
+
 # --- budget store -----------------------------------------------------------------------------
 
 view(
@@ -922,7 +974,7 @@ register(
 )
 register(
     "amount_direction",
-    """SELECT s_suppkey, CASE WHEN v > 0 THEN 'income' ELSE 'expense' END AS direction,
+    """SELECT s_suppkey, CAST(CAST(v / 100 AS DECIMAL(20,2)) AS VARCHAR) AS amount, v AS back, CASE WHEN v > 0 THEN 'income' ELSE 'expense' END AS direction,
       CAST(CAST(round_even(abs(v) / 100, 0) AS BIGINT) AS VARCHAR) AS whole
     FROM (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS v FROM supplier)""",
 )

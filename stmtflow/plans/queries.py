@@ -250,7 +250,8 @@ def match_candidates(t):
 
 @register
 def match_assign(t):
-    return matching.match_assign(cut_lineage(_importable(t)), matching.adoptable(st.budget_transactions(t)))
+    exact = cut_lineage(matching.match_exact(_importable(t), st.budget_transactions(t)))
+    return matching.match_assign(exact.where("matched_id is null"), matching.adoptable(st.budget_transactions(t)))
 
 
 @register
@@ -687,8 +688,10 @@ def confidence(t):
 @register
 def amount_direction(t):
     signed = st.cents(F.col("s_acctbal"))
+    amount = parsing.cents_to_amount(signed)
     return t.supplier.select(
-        "s_suppkey", prompts.direction(signed).alias("direction"), prompts.whole_amount(signed).alias("whole")
+        "s_suppkey", amount.cast("string").alias("amount"), parsing.to_cents(amount).alias("back"),
+        prompts.direction(signed).alias("direction"), prompts.whole_amount(signed).alias("whole")
     )
 
 
