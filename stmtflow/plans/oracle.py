@@ -680,8 +680,8 @@ def loose(x: str) -> str:
 
 view(
     "raw",
-    """SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS doc, 0 AS pos, NULL AS ref, '  SHOP-' || (s_suppkey // 2) || '!' AS payee,
-      NULL AS category_ref, 'brand ' || (s_nationkey + 1) || '  large' AS category,
+    """SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS doc, 0 AS pos, CAST(NULL AS VARCHAR) AS ref, '  SHOP-' || (s_suppkey // 2) || '!' AS payee,
+      CAST(NULL AS VARCHAR) AS category_ref, 'brand ' || (s_nationkey + 1) || '  large' AS category,
       round(s_acctbal / 5000, 2) AS confidence, repeat('because ', 50) AS reason FROM supplier
     UNION ALL SELECT lpad(CAST(s_suppkey AS VARCHAR), 12, '0'), 1, NULL, 'Nobody ' || s_name, NULL,
       'brand ' || (s_nationkey + 1) || '  large', 0, NULL FROM supplier
