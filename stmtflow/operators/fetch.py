@@ -21,8 +21,8 @@ def pending_split(rows: DataFrame) -> DataFrame:
     )
 
 
-def fetch_transactions(rows: DataFrame) -> DataFrame:
-    return merge_documents(assign_keys(booked(rows)))
+def fetch_transactions(rows: DataFrame, long_documents: DataFrame | None = None) -> DataFrame:
+    return merge_documents(assign_keys(booked(rows), long_documents))
 
 
 def fetch_stats(merged: DataFrame, document_counts: DataFrame) -> DataFrame:

@@ -19,17 +19,25 @@ def _canonical(rows: DataFrame) -> DataFrame:
     return rows.withColumn("canon", F.sha2(canonical_text(), 256))
 
 
-def assign_keys(rows: DataFrame) -> DataFrame:
+def spanning_documents(rows: DataFrame, block: str = "block") -> DataFrame:
+    """Documents that lie in more than one block."""
+    blocks = rows.groupBy("source_id", "doc").agg(F.min(block).alias("_a"), F.max(block).alias("_b"))
+    return blocks.where("_a < _b").select("source_id", "doc")
+
+
+def assign_keys(rows: DataFrame, long_documents: DataFrame | None = None) -> DataFrame:
     """Key every booked row of every document.
 
     Rows of one document that say the same are told apart by their position among themselves.
     The numbering is done per block of a document (see ``number_in_blocks``), so the copies of one
-    row in a document are spread over tasks however many they are.
+    row in a document are spread over tasks however many they are. ``long_documents`` may name
+    the documents of several blocks if they are known already.
     """
-    # Only documents of several blocks can have a group that spans blocks. Their number is at
-    # most the input size over the block size, so the list of them is small enough to broadcast.
-    documents = rows.groupBy("source_id", "doc").agg(F.min("block").alias("_a"), F.max("block").alias("_b"))
-    long_documents = F.broadcast(documents.where("_a < _b").select("source_id", "doc"))
+    # Only these documents can have a group that spans blocks. Their number is at most the input
+    # size over the block size, so the list of them is small enough to broadcast.
+    if long_documents is None:
+        long_documents = spanning_documents(rows)
+    long_documents = F.broadcast(long_documents)
     spanning = _canonical(rows.join(long_documents, ["source_id", "doc"], "left_semi")).select(*GROUP, "block")
     # an explicit exchange on the full key: a partitioning by document alone could be skewed
     spread = (

@@ -6,9 +6,10 @@ takes its best transaction that is still free: same payee first, then nearest da
 day, then id.
 
 No step emits pairs. Reach is counted between (account, amount, day) classes, fifteen days per
-class. Rows and transactions that have only each other are settled by a join. What is contested is
-walked per (account, amount) group if the group is small (its size is counted first); larger groups
-are settled in rounds of joins, which give the same result (see ``settle_in_rounds``).
+class. Rows and transactions that have only each other are settled by a join. What is contested
+falls into segments of an (account, amount) group that lie more than seven days apart. A segment is
+walked in one task if it is small (its size is counted first); larger ones are settled in rounds
+of joins, which give the same result (see ``settle_in_rounds``).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtflow.functions.ranking import first_in_group, number_in_blocks
@@ -25,7 +26,8 @@ from stmtflow.session import cut_lineage
 
 DAYS = 7
 GROUP = ["account_id", "amount_cents"]
-SMALL_GROUP = 100_000  # rows plus transactions of a group that one task may walk
+SEGMENT = [*GROUP, "segment"]
+SMALL_GROUP = 500_000  # rows plus transactions of a segment that one task may walk
 PRIORITY = ["source_id", "booking_date", "source_key"]
 
 
@@ -108,44 +110,58 @@ def match_candidates(rows: DataFrame, free: DataFrame) -> DataFrame:
     )
 
 
-def _walk(rows: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
-    """One (account, amount) group: rows choose in order. Days are day numbers."""
-    by_day, by_payee = defaultdict(list), defaultdict(list)
-    for day, payee, ident in (
-        free.sort_values("id", ascending=False)[["day", "payee", "id"]].itertuples(index=False)
-    ):
-        by_day[day].append(ident)
-        by_payee[day, payee].append(ident)
-    offsets = sorted(range(-DAYS, DAYS + 1), key=lambda n: (abs(n), n))
-    used: set[str] = set()
-
-    def take(stack: list[str]) -> str | None:
-        while stack and stack[-1] in used:
-            stack.pop()
-        return stack[-1] if stack else None
-
-    taken = []
-    ordered = rows.sort_values(["source_id", "day", "source_key"])
-    for day, payee, key in ordered[["day", "payee", "source_key"]].itertuples(index=False):
-        stacks = [by_payee[day + n, payee] for n in offsets if (day + n, payee) in by_payee]
-        stacks += [by_day[day + n] for n in offsets if day + n in by_day]
-        ident = next((i for i in map(take, stacks) if i is not None), None)
-        if ident is not None:
-            used.add(ident)
-        taken.append(ident)
-    out = ordered.assign(id=taken)
-    return out.loc[out["id"].notna(), ["source_id", "source_key", "id"]]
+def _walker(reach: int):
+    """The walk of one segment: rows choose in order. Days are day numbers.
+
+    An inner function travels to the workers by value, so they need not have this package.
+    """
+
+    def walk(rows: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        by_day, by_payee = defaultdict(list), defaultdict(list)
+        last_first = free.sort_values("id", ascending=False)
+        for day, payee, ident in last_first[["day", "payee", "id"]].itertuples(index=False):
+            by_day[day].append(ident)
+            by_payee[day, payee].append(ident)
+        offsets = sorted(range(-reach, reach + 1), key=lambda n: (abs(n), n))
+        used = set()
+
+        def first_free(stack):
+            while stack and stack[-1] in used:
+                stack.pop()
+            return stack[-1] if stack else None
+
+        taken = []
+        ordered = rows.sort_values(["source_id", "day", "source_key"])
+        for day, payee, _ in ordered[["day", "payee", "source_key"]].itertuples(index=False):
+            choices = (
+                first_free(stacks[key])
+                for stacks, keys in (
+                    (by_payee, [(day + n, payee) for n in offsets]),
+                    (by_day, [day + n for n in offsets]),
+                )
+                for key in keys
+                if key in stacks
+            )
+            ident = next((i for i in choices if i is not None), None)
+            if ident is not None:
+                used.add(ident)
+            taken.append(ident)
+        out = ordered.assign(id=taken)
+        return out.loc[out["id"].notna(), ["source_id", "source_key", "id"]]
+
+    return walk
 
 
 def settle_by_walk(rows: DataFrame, free: DataFrame) -> DataFrame:
     """Contested groups of bounded size, each walked by one task."""
 
     def numbered(df: DataFrame, day: str, *columns: str) -> DataFrame:
-        return df.select(*GROUP, F.unix_date(day).alias("day"), F.coalesce("payee", F.lit("\0")).alias("payee"), *columns)
+        segment = F.col("segment").alias("segment")  # both sides got theirs from one frame
+        return df.select(*GROUP, segment, F.unix_date(day).alias("day"), F.coalesce("payee", F.lit("\0")).alias("payee"), *columns)
 
-    left = numbered(rows, "booking_date", "source_id", "source_key").groupBy(*GROUP)
-    right = numbered(free.withColumn("payee", F.coalesce("payee", F.lit("\1"))), "day", "id").groupBy(*GROUP)
-    return left.cogroup(right).applyInPandas(_walk, "source_id string, source_key string, id string")
+    left = numbered(rows, "booking_date", "source_id", "source_key").groupBy(*SEGMENT)
+    right = numbered(free.withColumn("payee", F.coalesce("payee", F.lit("\1"))), "day", "id").groupBy(*SEGMENT)
+    return left.cogroup(right).applyInPandas(_walker(DAYS), "source_id string, source_key string, id string")
 
 
 def settle_in_rounds(rows: DataFrame, free: DataFrame) -> DataFrame:
@@ -222,6 +238,20 @@ def settle_in_rounds(rows: DataFrame, free: DataFrame) -> DataFrame:
     )
 
 
+def _segments(rows: DataFrame, seats: DataFrame) -> DataFrame:
+    """Segment number of every day of a group on which a row or a transaction lies."""
+    days = (
+        rows.select(*GROUP, F.col("booking_date").alias("day"))
+        .unionByName(seats.select(*GROUP, "day"))
+        .distinct()
+    )
+    in_order = Window.partitionBy(*GROUP).orderBy("day")
+    apart = F.date_diff("day", F.lag("day").over(in_order)) > DAYS
+    return days.withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("int")).select(
+        *GROUP, "day", F.sum("_apart").over(in_order).alias("segment")
+    )
+
+
 def match_assign(rows: DataFrame, free: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """``source_id, source_key, id`` for every row that adopts a transaction."""
     wanted = _reach(rows, "booking_date", free, "day", "seats").where("seats > 0")
@@ -237,16 +267,19 @@ def match_assign(rows: DataFrame, free: DataFrame, small_group: int = SMALL_GROU
     )
     rest = wanted.join(settled, KEY, "left_anti")
     seats = offered.join(settled, "id", "left_anti")
+    segments = cut_lineage(_segments(rest, seats))
+    rest = rest.join(segments.withColumnRenamed("day", "booking_date"), [*GROUP, "booking_date"])
+    seats = seats.join(segments, [*GROUP, "day"])
     size = (
-        rest.select(*GROUP).unionByName(seats.select(*GROUP))
-        .groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_size"))
+        rest.select(*SEGMENT).unionByName(seats.select(*SEGMENT))
+        .groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_size"))
     )
-    large = cut_lineage(size.where(F.col("_size") > small_group).select(*GROUP))
-    walked = settle_by_walk(
-        rest.join(large, GROUP, "left_anti"), seats.join(large, GROUP, "left_anti")
-    )
-    result = settled.unionByName(walked)
+    large = cut_lineage(size.where(F.col("_size") > small_group).select(*SEGMENT))
     if large.isEmpty():
-        return result
-    rounds = settle_in_rounds(rest.join(large, GROUP, "left_semi"), seats.join(large, GROUP, "left_semi"))
-    return result.unionByName(rounds)
+        return settled.unionByName(settle_by_walk(rest, seats))
+    small_rows, small_seats = (df.join(large, SEGMENT, "left_anti") for df in (rest, seats))
+    large_rows, large_seats = (df.join(large, SEGMENT, "left_semi") for df in (rest, seats))
+    return (
+        settled.unionByName(settle_by_walk(small_rows, small_seats))
+        .unionByName(settle_in_rounds(large_rows, large_seats))
+    )

@@ -157,13 +157,13 @@ def live(transactions: DataFrame) -> DataFrame:
 
 
 def apply_stats(applied: DataFrame, rules: DataFrame) -> DataFrame:
-    counted = applied.agg(
-        F.count(F.lit(1)).alias("considered"),
-        F.count_if(~F.equal_null("new_category_id", "category_id")).alias("categorized"),
+    changed = ~F.equal_null("new_category_id", "category_id")
+    one, none = F.lit(1), F.lit(0)
+    rows = applied.select(one.alias("considered"), changed.cast("int").alias("categorized"), none.alias("rules"))
+    live_rules = rules.where("not tombstone").select(none.alias("considered"), none.alias("categorized"), one.alias("rules"))
+    return rows.unionByName(live_rules).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("considered", "categorized", "rules")]
     )
-    total = rules.where("not tombstone").agg(F.count(F.lit(1)).alias("rules"))
-    # two one-row aggregates side by side
-    return counted.withColumn("_", F.lit(1)).join(total.withColumn("_", F.lit(1)), "_").drop("_")
 
 
 def new_rules(approved: DataFrame, payees: DataFrame, categories: DataFrame) -> DataFrame:

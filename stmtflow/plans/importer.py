@@ -40,9 +40,7 @@ class ImportJob:
     def run_lines(
         self, lines: DataFrame, files: DataFrame, run_id: str, now: datetime, *, dry_run: bool, trigger: str
     ) -> DataFrame:
-        def state(name: str) -> DataFrame:
-            return self.store.read(name, before=run_id)
-
+        state = self.store.state(before=run_id)
         at = F.lit(now).cast("timestamp")
         formats = self.formats()
         waiting = cut_lineage(box.unprocessed(files, state("processed_files")))
@@ -63,7 +61,7 @@ class ImportJob:
         )
         usable = status.where("error is null")
         rows = parsed.rows.join(usable.select("source_id"), "source_id", "left_semi")
-        parted = cut_lineage(ledger.partition(fetch.fetch_transactions(rows), state("import_ledger")))
+        parted = cut_lineage(ledger.partition(fetch.fetch_transactions(rows, parsed.long_documents()), state("import_ledger")))
 
         people = state("payee")
         names = people.select(F.col("id").alias("payee_id"), F.col("name").alias("payee"))

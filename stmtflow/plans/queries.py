@@ -409,7 +409,7 @@ def _offered(t):
 
 def _context(t):
     others = candidates.candidates(_uncategorised(t), _excluded(t).limit(0), limit=None)
-    return proposals.with_others(candidates.candidate_refs(_shortlist(t)), others)
+    return cut_lineage(proposals.with_others(candidates.candidate_refs(_shortlist(t)), others))
 
 
 def _proposals(t):
@@ -430,6 +430,12 @@ def drop_reasons(t):
     return proposals.drop_reasons(proposals.resolve(_offered(t), _context(t), _category_refs(t)))
 
 
+@st.stored
+def _queue(t):
+    """The review queue as a stored table."""
+    return _stored(t)
+
+
 def _stored(t):
     return proposals.store(st.proposals_before(t), _proposals(t), "run1", _restart())
 
@@ -445,13 +451,13 @@ def proposal_upsert(t):
 
 @register
 def proposal_list(t):
-    return proposals.listing(_stored(t)).select(
+    return proposals.listing(_queue(t)).select(
         "short_id", "payee", "category", F.col("confidence").cast("string").alias("confidence"), "tx_count", "status"
     )
 
 
 def _approved(t):
-    chosen = proposals.select_proposals(_stored(t), ["a", "3f"], min_confidence=0.9)
+    chosen = proposals.select_proposals(_queue(t), ["a", "3f"], min_confidence=0.9)
     return rules.new_rules(chosen.select("id", "payee", "category"), st.payees(t), st.categories(t))
 
 
@@ -468,14 +474,14 @@ def rule_backfill(t):
 @register
 def approve_decide(t):
     made = _approved(t).where("error is null").select("id", "rule_id")
-    return proposals.decide(_stored(t), made, proposals.APPROVED, _restart()).select("id", "payee", "status", "rule_id")
+    return proposals.decide(_queue(t), made, proposals.APPROVED, _restart()).select("id", "payee", "status", "rule_id")
 
 
 @register
 def reject_selection(t):
-    chosen = proposals.select_proposals(_stored(t), ["0", "c"])
+    chosen = proposals.select_proposals(_queue(t), ["0", "c"])
     made = chosen.select("id", F.lit(None).cast("string").alias("rule_id"))
-    return proposals.decide(_stored(t), made, proposals.REJECTED, _restart()).select("id", "payee", "status", "rule_id")
+    return proposals.decide(_queue(t), made, proposals.REJECTED, _restart()).select("id", "payee", "status", "rule_id")
 
 
 @register

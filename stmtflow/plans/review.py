@@ -18,9 +18,7 @@ class ReviewRound:
     def __init__(self, store: SnapshotStore, run_id: str, now: datetime, model: str = ""):
         self.store, self.run_id, self.model = store, run_id, model
         self.at = F.lit(now).cast("timestamp")
-
-    def _state(self, name: str) -> DataFrame:
-        return self.store.read(name, before=self.run_id)
+        self._state = store.state(before=run_id)
 
     def uncategorised(self) -> DataFrame:
         return rules.uncategorized(self._state("budget_txn"), self._state("payee"), self._state("account"))
@@ -66,9 +64,9 @@ class ReviewRound:
         )
         good = made.where("error is null")
         known = self._state("rule")
-        last = known.agg(F.coalesce(F.max("rule_order"), F.lit(0)).alias("_last")).withColumn("_", F.lit(1))
-        added = good.withColumn("_", F.lit(1)).join(last, "_").select(
-            F.col("rule_id").alias("id"), (F.col("_last") + 1).alias("rule_order"), "conditions", "actions",
+        last = known.agg(F.coalesce(F.max("rule_order"), F.lit(0))).first()[0]
+        added = good.select(
+            F.col("rule_id").alias("id"), F.lit(last + 1).alias("rule_order"), "conditions", "actions",
             F.lit(False).alias("tombstone"),
         )
         tables = {

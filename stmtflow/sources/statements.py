@@ -28,6 +28,7 @@ from stmtflow.functions.parsing import (
 )
 from stmtflow.functions.ranking import first_in_group
 from stmtflow.functions.text import blank_to_null, strip
+from stmtflow.operators.keys import spanning_documents
 from stmtflow.session import cut_lineage
 from stmtflow.sources.profiles import CANONICAL_FIELDS, CP1252, UTF8
 
@@ -225,7 +226,10 @@ def decoded_records(lines: DataFrame, documents: DataFrame) -> DataFrame:
         .withColumn("too_long", F.lit(False))
         .drop("raw", "encoding")
     )
-    records = text.where(~F.col("broken")).unionByName(assemble_records(text.where("broken")))
+    records = text.where(~F.col("broken"))
+    # documents are a small written table: only build the assembly if some need it
+    if not documents.where("broken and encoding is not null").isEmpty():
+        records = records.unionByName(assemble_records(text.where("broken")))
     first_cell = F.lower(F.get("cells", F.lit(0)))
     return (
         records.withColumn("cells", split_cells(*map(F.col, ("text", "separator", "cell", "open_end", "delimiter"))))
@@ -427,6 +431,9 @@ class ParsedStatements:
         self.rows = self.body.where("is_row").drop("is_row", "bad_amount", "too_long")
         self.stats = document_stats(self.documents, self.body, self.balances)
 
+    def long_documents(self) -> DataFrame:
+        return spanning_documents(self.records, "at.block")
+
 
 def inspect_rows(rows: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` rows of each document with identifiers hidden."""

@@ -7,6 +7,8 @@ old state current, and a run that is repeated starts from the state before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +21,11 @@ PARTITIONED = {"import_ledger": "source_id"}
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _commits(self) -> DataFrame:
-        folder = f"{self.root}/_commits"
-        # the folder exists from the first commit on
-        self.spark.createDataFrame([], COMMITS).write.mode("append").parquet(folder)
-        return self.spark.read.schema(COMMITS).parquet(folder)
+        self._list = f"{self.root}/_commits"
+        spark.createDataFrame([], COMMITS).write.mode("ignore").parquet(self._list)
 
     def _current(self, before: str | None) -> tuple[dict[str, str], int]:
-        commits = self._commits()
+        commits = self.spark.read.schema(COMMITS).parquet(self._list)
         if before is not None:
             mine = commits.where(F.col("run_id") == before).agg(F.min("seq").alias("s")).first().s
             if mine is not None:
@@ -36,12 +34,19 @@ class SnapshotStore:
         rows = latest.collect()  # one row per state table
         return {r.name: r.path for r in rows}, max((r.seq for r in rows), default=0)
 
-    def read(self, name: str, before: str | None = None) -> DataFrame:
-        """Current snapshot, or the one a run started from if that run is being repeated."""
+    def state(self, before: str | None = None) -> Callable[[str], DataFrame]:
+        """Reader of the current snapshots, or of those a run started from if it is repeated."""
         paths, _ = self._current(before)
-        if name not in paths:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(paths[name])
+
+        def read(name: str) -> DataFrame:
+            if name not in paths:
+                return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.read.schema(TABLES[name]).parquet(paths[name])
+
+        return read
+
+    def read(self, name: str) -> DataFrame:
+        return self.state()(name)
 
     def write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
         paths = {}
@@ -57,4 +62,4 @@ class SnapshotStore:
             paths[name] = path
         _, seq = self._current(run_id)
         rows = [(run_id, name, path, seq + 1) for name, path in paths.items()]
-        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
+        self.spark.createDataFrame(rows, COMMITS).coalesce(1).write.mode("append").parquet(self._list)
