@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.llm import mixing, quality_rules, sharding, url_filters
+from stmtflow.llm import language_model, mixing, neighbours, packing, personal_data, quality_classifier, quality_rules, sharding, url_filters
 from stmtflow.llm.common import table
 
 
@@ -27,6 +27,42 @@ def op2_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of each document: counts and digest of the pattern spans, and all spans."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = personal_data.fit(docs)
+    found = docs.select("doc_id", personal_data.finder(model, F.col("text"), with_text=False).alias("f"))
+    return found.select("doc_id", *[f"f.n_{k}" for k in personal_data.KINDS], "f.base_sha256", "f.spans")
+
+
+def op5_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, folder, "documents")).drop("row")
+
+
+def _fold(doc_id: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram and maximum-entropy score of each document."""
+    docs = table(spark, folder, "documents")
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    return language_model.score(docs, fold == 2)
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of each document, learnt from positives of the training fold and unlabelled text."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality_classifier.classify(docs, labels, _fold("doc_id", 3) == 1)
+
+
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest found of every hundredth vector among all others."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on each page's url by rule, or by the trust of its host."""
     return url_filters.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -38,5 +74,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_shuffle_shards, op8_url_filters, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_shuffle_shards, op4_personal_data, op5_pack, op6_language_model, op7_quality_classifier, op8_url_filters, op9_quality_rules, op10_neighbours,
+    )
 }
