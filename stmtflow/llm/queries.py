@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.llm import language_model, mixing, neighbours, packing, personal_data, quality_classifier, quality_rules, sharding, url_filters
+from stmtflow.llm import jaccard_join, language_model, mixing, neighbours, packing, personal_data, quality_classifier, quality_rules, sharding, url_filters
 from stmtflow.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op2_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of each document under links of 5-word shingles with Jaccard similarity 0.8 or more."""
+    return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("place")
+
+
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of each document: counts and digest of the pattern spans, and all spans."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -76,6 +81,6 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_mix_sources, op2_shuffle_shards, op4_personal_data, op5_pack, op6_language_model, op7_quality_classifier, op8_url_filters, op9_quality_rules, op10_neighbours,
+        op1_mix_sources, op2_shuffle_shards, op3_jaccard_join, op4_personal_data, op5_pack, op6_language_model, op7_quality_classifier, op8_url_filters, op9_quality_rules, op10_neighbours,
     )
 }
