@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.llm import quality_rules
-from stmtflow.llm.common import table
+from stmtflow.llm import jaccard_join, mixing, packing, personal_data, quality_rules
+from stmtflow.llm.common import column_of, fenced, table
 from stmtflow.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +20,39 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group of near copies stays."""
+    return jaccard_join.one_of_each_group(docs)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data: spans found become their kind in brackets, and ``n_chars`` follows the text."""
+    model = personal_data.fit(docs)
+    inner, back = fenced(docs)
+    found = inner.withColumn("_found", personal_data.finder(model, F.col(column_of(docs, "text"))))
+    changed = found.withColumn("_text", F.col("_found.redacted"))
+    size = F.when(F.col("_found.spans") != "", F.length("_text").cast("bigint")).otherwise(F.col(column_of(docs, "n_chars")))
+    done = back(changed.withColumn("_size", size), {"text": "_text", "n_chars": "_size"})
+    return done.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: the rows in the order of the mix, which packing keeps."""
+    return mixing.mix(docs, ordered=True).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of all documents in sequences of at most 1024 tokens, in the order of the files."""
+    return packing.pack(docs).drop("row")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("jaccard_join", distinct),
+    ("personal_data", without_personal_data),
+    ("mix_sources", mixed),
+    ("pack", packed),
+]
 
 #: SQL cannot express the later stages; they are tested against brute force.
 ORACLE_SQL = None

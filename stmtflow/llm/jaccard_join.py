@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtflow.llm.common import with_row_identity
+from stmtflow.llm.common import column_of, fenced, with_row_identity
 from stmtflow.session import cut_lineage
 
 WORDS, PERCENT = 5, 80
@@ -378,23 +378,37 @@ def links_between_sets(
     return links.unionByName(_linked(_measured(last.select("key", "n", "pkey", "pn").distinct(), texts, words), percent))
 
 
+def _grouped(placed: DataFrame, words: int, percent: int, small: int, rounds: int) -> DataFrame:
+    """(doc_id, place, n, group, component_id) of (doc_id, place, text); ``group`` is null without shingles."""
+    sets = cut_lineage(_sets(placed, words, percent, small))
+    links = cut_lineage(links_between_sets(sets, placed, words, percent, small, rounds))
+    own = F.struct(F.col("key"), F.col("n"))
+    classes = sets.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
+    grouped = classes.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
+    groups = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    known = grouped.drop("least").join(groups, "group")
+    return sets.join(known, ["key", "n"], "left").select("doc_id", "place", "n", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
     small: int = SMALL, rounds: int = ROUNDS,
 ) -> DataFrame:
-    """(doc_id, place, n_shingles, component_id) of every row of ``docs``.
-
-    ``component_id`` is the smallest doc_id reachable by links. ``place`` is the row's identity of
-    :func:`with_row_identity`.
-    """
+    """(doc_id, n_shingles, component_id) of every row of ``docs``; ``component_id`` is the smallest id reachable by links."""
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    placed = with_row_identity(named, "place")
-    sets = cut_lineage(_sets(placed, words, percent, small))
-    links = cut_lineage(links_between_sets(sets, placed, words, percent, small, rounds))
-    classes = sets.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
-    grouped = classes.join(components(links), ["key", "n"], "left")
-    groups = grouped.where("group is not null").groupBy("group").agg(F.min("least").alias("of_group"))
-    known = grouped.join(groups, "group", "left").select("key", "n", F.coalesce("of_group", "least").alias("component_id"))
-    return sets.join(known, ["key", "n"], "left").select(
-        "doc_id", "place", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    found = _grouped(with_row_identity(named, "place"), words, percent, small, rounds)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each_group(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT,
+    small: int = SMALL, rounds: int = ROUNDS,
+) -> DataFrame:
+    """``docs`` with one row of each group, that of the smallest id; rows without shingles all stay."""
+    inner, back = fenced(docs)
+    rows = with_row_identity(inner, "place")
+    placed = rows.select(F.col(column_of(docs, doc_id)).cast("bigint").alias("doc_id"), "place", F.col(column_of(docs, text)).alias("text"))
+    found = _grouped(placed, words, percent, small, rounds)
+    first = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "place")).alias("m"))
+    stay = first.select("m.place").union(found.where("group is null").select("place"))
+    return back(rows.join(stay, "place", "left_semi"), {})

@@ -29,7 +29,7 @@ def op2_shuffle_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Group of each document under links of 5-word shingles with Jaccard similarity 0.8 or more."""
-    return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("place")
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
 
 
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
