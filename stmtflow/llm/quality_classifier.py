@@ -8,7 +8,7 @@ text, whose own labels are never looked at as classes. With the class prior pi,
 and with the logistic loss of a linear score its unbiased part is convex, with gradient mean_U(p * x) - pi * mean_P(x).
 Newton steps minimise it; each step is one Spark job over the features that adds up gradient and Hessian, so all
 documents of the fold take part. When the estimated risk on negatives would turn negative (the sign of
-overfitting that the non-negative risk guards against), the last step before is kept. The prior is estimated as
+overfitting that the non-negative risk guards against), the step is halved, and then dropped. The prior is estimated as
 the share of good ones among the labelled rows of the training fold.
 
 Features are measures of the text alone: lengths, repetition, capitals, symbols, compressibility.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stmtflow.session import cut_lineage
 
-STEPS, RIDGE = 12, 1e-3
+STEPS, RIDGE = 16, 1e-2
 #: A step of Newton's method moves the score of no document by more than this on average.
 LONGEST = 4.0
 _SYMBOLS = frozenset("#*$%&|<>!?@^~_=+{}[]\\/")
@@ -144,18 +144,22 @@ def train(rows: DataFrame, prior: float, steps: int = STEPS, ridge: float = RIDG
         hessian = (x * (p * (1 - p))[:, None]).T @ x
         return np.concatenate([[loss.sum(), loss[y].sum()], p @ x, x[y].sum(axis=0), hessian.ravel()])
 
-    kept = model.weights
+    kept, step = model.weights, None
     for _ in range(steps):
         s = _added_up(rows, pieces)
-        if s[0] / n - prior * s[1] / positives < 0:
-            break  # the estimated risk on negatives is below zero: the fit has gone too far
+        if s[0] / n - prior * s[1] / positives < 0 and step is not None:
+            # the estimated risk on negatives is below zero: the step has gone too far
+            step = step / 2
+            if np.abs(step).max() < 1e-2:
+                break
+            model = Model(mean, scale, kept - step)
+            continue
         kept = model.weights
         gradient = s[2 : 2 + d] / n - prior * s[2 + d : 2 + 2 * d] / positives + ridge * kept
         step = np.linalg.solve(s[2 + 2 * d :].reshape(d, d) / n + ridge * np.eye(d), gradient)
         step *= min(1.0, LONGEST / (np.linalg.norm(step) + 1e-12))
         model = Model(mean, scale, kept - step)
-        if np.abs(step).max() < 1e-4:
-            kept = model.weights
+        if np.abs(step).max() < 1e-3:
             break
     return Model(mean, scale, kept)
 
