@@ -33,7 +33,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Slots of the feature table; longest digit run that a unit key keeps.
 TABLE, SUFFIX = 1 << 13, 7
-ROUNDS, DAMPING, CERTAIN, STRONGEST = 20, 0.5, 0.9, 6.0
+ROUNDS, DAMPING, CERTAIN, STRONGEST = 20, 0.5, 0.8, 6.0
 #: Similar units counted as disagreeing and as agreeing before any are seen.
 ALIKE = (1.0, 400.0)
 
@@ -219,11 +219,16 @@ def added_spans(text: str, base: list[Span], model: Potentials) -> list[Span]:
         else:
             node[i] = model.prior + model.table[_features(text, a, b)].mean(axis=0)
     edges = [(i, i + 1, model.follow) for i in range(len(found) - 1)]
+    # similar units hang together in text order, and each on the base span they are similar to
     last: dict[str, int] = {}
+    given = {u[3]: i for i, u in enumerate(found) if u[0]}
     for i, u in enumerate(found):
-        if u[3] in last:
-            edges.append((last[u[3]], i, model.similar))
-        last[u[3]] = i
+        key = u[3]
+        if key in last:
+            edges.append((last[key], i, model.similar))
+        if u[0] == 0 and key in given and given[key] != last.get(key):
+            edges.append((given[key], i, model.similar))
+        last[key] = i
     chance = marginals(node, edges)
     return [(LABELS[int(chance[i].argmax())], found[i][1], found[i][2]) for i in asked if chance[i, 1:].max() >= CERTAIN]
 
