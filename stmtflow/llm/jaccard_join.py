@@ -6,6 +6,9 @@ therefore the smallest sets there are: one shingle each. A text is closer than 1
 Voronoi cell is that of the first of them in a common order, and the window that replicates it across the boundary
 holds its first n - ceil(0.8 n) + 1 shingles: a text within EPS lacks too few of them to have none in common.
 
+The common order puts shingles that many texts share last, as far as a list of fixed size can say; then comes the hash.
+Any order gives the same links, this one smaller regions.
+
 Regions are then joined recursively and exactly:
 
 * A region of at most ``SMALL`` texts compares all its pairs whose sizes allow a link.
@@ -41,6 +44,8 @@ from stmtflow.session import cut_lineage
 WORDS, PERCENT = 5, 80
 #: Texts in a region that compares all pairs; rounds of pivot texts; members that meet a pivot in one task.
 SMALL, ROUNDS, MEMBERS = 32, 6, 4096
+#: Shingles that come last in the order, at most; texts of one batch that must share a shingle to propose it.
+LAST, SHARED = 1 << 18, 4
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -78,7 +83,9 @@ def word_hashes(text: str) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     power, inverse = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[raw] * power[:-1], out=sums[1:])
+    weighted = _BYTES.take(raw)
+    weighted *= power[:-1]
+    np.cumsum(weighted, out=sums[1:])
     return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -89,10 +96,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     if not size:
         return h
     n = len(h) - size + 1
-    s = np.full(n, size, dtype=np.uint64)
-    for i in range(size):
-        s = _mix(s * _BASE + h[i : i + n])
-    return np.unique(s)
+    s = h[:n] + _U(size)
+    for i in range(1, size):
+        s *= _BASE
+        s ^= s >> _U(29)
+        s += h[i : i + n]
+    s = np.sort(_mix(s))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
@@ -100,12 +110,42 @@ def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _last(docs: DataFrame, words: int) -> np.ndarray:
+    """The most widely shared shingles, sorted; all texts are read, and at most ``LAST`` shingles are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).unique()  # copies say nothing about passages
+            flat = np.sort(np.concatenate([np.empty(0, np.uint64), *(shingles(value.as_py(), words) for value in texts)]))
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, int)
+            n = np.diff(np.append(first, len(flat)))
+            many = n >= SHARED
+            yield pa.RecordBatch.from_arrays([pa.array(flat[first[many]].view(np.int64)), pa.array(n[many])], ["cell", "n"])
+
+    proposed = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = proposed.orderBy(F.desc("n"), "cell").limit(LAST).select("cell").toArrow().column("cell").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _window(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, in the common order, that a linked set cannot all lack."""
+    length = prefix_length(len(s), percent)
+    if not len(last):
+        return s[:length]
+    at = np.searchsorted(last, s)
+    at[at == len(last)] = 0
+    late = last[at] == s
+    early = s[~late]
+    return early[:length] if len(early) >= length else np.concatenate([early, s[late]])[:length]
+
+
 def _sets(docs: DataFrame, words: int, percent: int, small: int) -> DataFrame:
     """(doc_id, place, key, n, hot, cells): the set's identity and the pivots whose windows it lies in.
 
     A pivot that more than ``small`` sets of a batch share is large for sure: its sets are marked hot, and only so many
     of them name it as the others need to see that it is large.
     """
+    last = docs.sparkSession.sparkContext.broadcast(_last(docs, words))  # at most ``LAST`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +155,7 @@ def _sets(docs: DataFrame, words: int, percent: int, small: int) -> DataFrame:
                 s = shingles(value.as_py(), words)
                 key = (int(_mix(np.array([_mix(s).sum(dtype=np.uint64)], dtype=np.uint64)).view(np.int64)[0]), len(s))
                 # a copy of a set of this batch says nothing new
-                cells.append(s[: prefix_length(len(s), percent)] if len(s) and key not in known else s[:0])
+                cells.append(_window(s, last.value, percent) if len(s) and key not in known else s[:0])
                 known.add(key)
                 keys.append(key[0])
                 sizes.append(key[1])
