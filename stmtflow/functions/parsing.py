@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -17,13 +18,20 @@ AMOUNT_CELL = (
 )
 DATE_INSIDE_CELL = r"\d{1,2}\.\d{1,2}\.\d{4}|\d{4}-\d{2}-\d{2}"
 AMOUNT_TYPE = "decimal(36,10)"
-# date format of a profile -> (Spark pattern, shape the text must have)
+_SPARK_FIELD = {"%d": "d", "%m": "M", "%Y": "yyyy"}
+_SHAPE = {"%d": r"\d{1,2}", "%m": r"\d{1,2}", "%Y": r"\d{4}"}
+# date format of a profile -> (Spark pattern, shape the text must have): every order of day, month and four-digit year
+# with the usual separators
 DATE_FORMATS = {
-    "%d.%m.%Y": ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
-    "%Y-%m-%d": ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    mark.join(order): (mark.join(_SPARK_FIELD[f] for f in order), "^" + re.escape(mark).join(_SHAPE[f] for f in order) + "$")
+    for order in (("%d", "%m", "%Y"), ("%Y", "%m", "%d"), ("%m", "%d", "%Y"))
+    for mark in (".", "-", "/", " ")
 }
 
 
+USUAL_FORMATS = ["%d.%m.%Y", "%Y-%m-%d"]
+
+
 def amount_text(value: Column | str, decimal_comma: Column | bool) -> Column:
     """The number inside an amount cell with '.' as decimal mark; null when the cell is empty."""
     comma = decimal_comma if isinstance(decimal_comma, Column) else F.lit(decimal_comma)
@@ -33,8 +41,8 @@ def amount_text(value: Column | str, decimal_comma: Column | bool) -> Column:
 
 
 def to_cents(number: Column) -> Column:
-    """Decimal to minor units, ties to the even cent."""
-    return F.bround(number * F.lit(100)).cast("bigint")
+    """Decimal to minor units, ties to the even cent; null beyond what minor units can hold."""
+    return F.bround(F.try_multiply(number, F.lit(100))).try_cast("bigint")
 
 
 def parse_amount(value: Column | str, decimal_comma: Column | bool) -> Column:
@@ -43,9 +51,9 @@ def parse_amount(value: Column | str, decimal_comma: Column | bool) -> Column:
 
 
 def amount_error(value: Column | str, decimal_comma: Column | bool) -> Column:
-    """True when the cell holds something that is not an amount."""
+    """True when the cell holds something that is not an amount, or one too large for minor units."""
     text = amount_text(value, decimal_comma)
-    return text.isNotNull() & text.try_cast(AMOUNT_TYPE).isNull()
+    return text.isNotNull() & to_cents(text.try_cast(AMOUNT_TYPE)).isNull()
 
 
 def _date_in(text: Column, fmt: str) -> Column:
@@ -56,15 +64,16 @@ def _date_in(text: Column, fmt: str) -> Column:
 def parse_date(value: Column | str, formats: Sequence[str] | Column) -> Column:
     """First format that reads the cell. ``formats`` is a fixed list or an array column."""
     text = strip(value)
-    if isinstance(formats, Column):
-        tries = [
-            F.when(F.get(formats, F.lit(i)) == fmt, _date_in(text, fmt))
-            for i in range(len(DATE_FORMATS))
-            for fmt in DATE_FORMATS
-        ]
-    else:
-        tries = [_date_in(text, fmt) for fmt in formats]
-    return F.coalesce(*tries)
+    if not isinstance(formats, Column):
+        return F.coalesce(*[_date_in(text, fmt) for fmt in formats])
+
+    def read(wanted: Column) -> Column:
+        return F.coalesce(*[F.when(wanted == fmt, _date_in(text, fmt)) for fmt in DATE_FORMATS])
+
+    # most profiles name the same two; any other list is tried in its order, however long
+    usual = F.coalesce(*[_date_in(text, fmt) for fmt in USUAL_FORMATS])
+    tried = F.get(F.filter(F.transform(formats, read), lambda d: d.isNotNull()), F.lit(0))
+    return F.when(formats == F.array(*map(F.lit, USUAL_FORMATS)), usual).otherwise(tried)
 
 
 def is_pending(posting_text: Column | str) -> Column:

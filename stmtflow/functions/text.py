@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # every character that counts as whitespace in Unicode, plus the four ASCII separators
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -23,27 +28,34 @@ def blank_to_null(value: Column | str) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
 
-def is_ascii(value: Column) -> Column:
-    return F.octet_length(value) == F.char_length(value)
+# texts whose characters all lie here keep them under NFKC, and both engines change their case alike
+EASTERN = "[^\t-\r\x1c-\x1f -~À-ÖØ-öø-ÿ]"
+# what the plain form of a text never holds: two blanks in a row, or anything but printable ASCII
+NEEDS_CARE = "  |[^ -~]"
+
+
+@F.arrow_udf(StringType())
+def _norm_any(texts: pa.Array) -> pa.Array:
+    """The rule as Unicode states it, by the interpreter's tables (the JVM's may be of another version)."""
+    values = texts.to_pylist()
+    return pa.array([None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).upper() for v in values], type=pa.string())
 
 
-def _icu(method: str, cls: str, value: Column) -> Column:
-    # the JVM evaluates this branch only for the rows that reach it
-    return F.java_method(F.lit(cls), F.lit(method), F.coalesce(value, F.lit("")), F.lit(True))
+@F.arrow_udf(StringType())
+def _casefold_any(texts: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else v.casefold() for v in texts.to_pylist()], type=pa.string())
 
 
-def nfkc(value: Column | str) -> Column:
-    """NFKC; plain ASCII is already in that form."""
-    c = as_column(value)
-    return F.when(is_ascii(c), c).otherwise(_icu("compose", "com.ibm.icu.text.Normalizer", c))
+def _by_script(c: Column, simple: Column, general: Callable[[Column], Column]) -> Column:
+    """``simple`` on the JVM, and ``general`` for texts with other characters; those alone reach the workers."""
+    other = c.rlike(EASTERN)
+    return F.when(other, general(F.when(other, c))).otherwise(simple)
 
 
 def casefold(value: Column | str) -> Column:
     """Full Unicode case folding; for ASCII that is ``lower``."""
     c = as_column(value)
-    return F.when(is_ascii(c), F.lower(c)).otherwise(
-        _icu("foldCase", "com.ibm.icu.lang.UCharacter", c)
-    )
+    return _by_script(c, F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _casefold_any)
 
 
 def squeeze(value: Column) -> Column:
@@ -51,14 +63,15 @@ def squeeze(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, WHITESPACE_RUN, " "))
 
 
-# what the plain form of a text never holds: two blanks in a row, or anything but printable ASCII
-NEEDS_CARE = "  |[^ -~]"
-
-
 def norm(value: Column | str) -> Column:
-    """Comparison form of a statement text: NFKC, one blank between words, upper case."""
+    """Comparison form of a statement text: NFKC, one blank between words, upper case.
+
+    Deterministic, so filters pass it. What it gives is stored in keys: it follows the Unicode version of the
+    workers' Python, and an upgrade of that is an upgrade of the stored keys.
+    """
     c = F.coalesce(as_column(value), F.lit(""))
-    return F.upper(F.when(c.rlike(NEEDS_CARE), squeeze(nfkc(c))).otherwise(F.trim(c)))
+    careful = F.when(c.rlike(NEEDS_CARE), squeeze(c)).otherwise(F.trim(c))
+    return _by_script(c, F.upper(careful), _norm_any)
 
 
 def loose_key(value: Column | str) -> Column:

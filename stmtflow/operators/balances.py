@@ -40,8 +40,11 @@ def net_worth(balances: DataFrame) -> DataFrame:
 
 
 def reconciliation(sources: DataFrame, latest: DataFrame, balances: DataFrame) -> DataFrame:
-    """Sources with both a stated and a budget balance, their difference and whether it is zero."""
-    named = balances.select(
+    """Sources with both a stated and a budget balance, their difference and whether it is zero.
+
+    Of accounts that share a name the one that :func:`importing.resolve_accounts` takes counts.
+    """
+    named = first_in_group(balances, ["name"], ["account_id"]).select(
         F.col("name").alias("actual_account"), F.col("balance_cents").alias("actual_balance_cents")
     )
     delta = F.col("actual_balance_cents") - F.col("statement_balance_cents")

@@ -18,8 +18,11 @@ NOTES_LENGTH = 500  # fixed value of the budget store
 
 
 def resolve_accounts(sources: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Sources with their budget account by name; ``error`` where there is none."""
-    named = accounts.select(
+    """Sources with their budget account by name; ``error`` where there is none.
+
+    Of accounts that share a name the open one counts, then the smallest id.
+    """
+    named = first_in_group(accounts, ["name"], [F.coalesce("closed", F.lit(False)), "id"]).select(
         F.col("name").alias("actual_account"), F.col("id").alias("account_id"), "off_budget"
     )
     return (

@@ -65,8 +65,3 @@ def merge_documents(keyed: DataFrame) -> DataFrame:
     do not travel.
     """
     return first_in_group(keyed, KEY, ["doc"])
-
-
-def statement_order(merged: DataFrame) -> DataFrame:
-    """The order in which rows are imported; for sinks only."""
-    return merged.orderBy("source_id", "booking_date", "source_key")

@@ -13,7 +13,6 @@ PENDING, APPROVED, REJECTED = "pending", "approved", "rejected"
 REASON_LENGTH = 300
 SHORT_ID_LENGTH = 8
 LISTED = 200
-SELECTABLE = 1000  # pending proposals one selection looks at
 
 
 def read_proposals(raw: DataFrame) -> DataFrame:
@@ -146,13 +145,13 @@ def listing(state: DataFrame, status: str | None = PENDING, limit: int = LISTED)
 
 
 def select_proposals(state: DataFrame, ids: list[str], min_confidence: float | None = None) -> DataFrame:
-    """Pending proposals picked by id prefix or by confidence."""
+    """Pending proposals picked by id prefix or by confidence, from the whole queue."""
     chosen = F.lit(False)
     for prefix in ids:
         chosen = chosen | F.startswith("id", F.lit(prefix))
     if min_confidence is not None:
         chosen = chosen | (F.col("confidence") >= F.lit(min_confidence))
-    return listing(state, PENDING, SELECTABLE).where(chosen)
+    return state.where((F.col("status") == PENDING) & chosen).withColumn("short_id", F.left("id", F.lit(SHORT_ID_LENGTH)))
 
 
 def decide(state: DataFrame, decisions: DataFrame, status: str, now: Column) -> DataFrame:

@@ -11,22 +11,11 @@ from stmtflow.functions.ranking import first_in_group
 
 FETCHED, OK, ERROR, ABANDONED = "fetched", "ok", "error", "abandoned"
 DEFAULT_TTL = timedelta(seconds=3600)
+# The reasons as the run log holds them.
 RESTARTED = "pipeline restarted before import"
 EXPIRED = "batch expired before import"
 
 
-def start_runs(sources: DataFrame, run: Column, trigger: str, now: Column) -> DataFrame:
-    """One 'fetched' event per source. ``sources``: source_id."""
-    return sources.select(
-        F.concat_ws(":", run, "source_id").alias("id"),
-        "source_id",
-        now.alias("started_at"),
-        F.lit(None).cast("timestamp").alias("finished_at"),
-        F.lit(FETCHED).alias("status"),
-        F.lit(trigger).alias("trigger_source"),
-    )
-
-
 def current_runs(events: DataFrame) -> DataFrame:
     """Newest event per run; ``seq`` orders the events of a run."""
     return first_in_group(events, ["id"], [F.desc("seq")]).drop("seq")
@@ -69,14 +58,13 @@ def recent_runs(runs: DataFrame, limit: int = 10) -> DataFrame:
     return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)
 
 
-def source_status(sources: DataFrame, ledger_sizes: DataFrame, runs: DataFrame, limit: int = 200) -> DataFrame:
-    """Configured sources with their ledger size and last run among the newest ``limit`` runs."""
-    last = first_in_group(
-        recent_runs(runs, limit), ["source_id"], [F.desc("started_at"), F.desc("id")]
-    ).select(
+def source_status(sources: DataFrame, ledger_sizes: DataFrame, runs: DataFrame) -> DataFrame:
+    """Configured sources with their ledger size and their last run, however long ago it was."""
+    newest = F.max_by(F.struct("started_at", "status"), F.struct("started_at", "id")).alias("r")
+    last = runs.groupBy("source_id").agg(newest).select(
         "source_id",
-        F.date_format("started_at", "yyyy-MM-dd'T'HH:mm").alias("last_run_at"),
-        F.col("status").alias("last_run_status"),
+        F.date_format("r.started_at", "yyyy-MM-dd'T'HH:mm").alias("last_run_at"),
+        F.col("r.status").alias("last_run_status"),
     )
     return (
         sources.withColumnRenamed("id", "source_id")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtflow.operators import balances, fetch, importing, ledger, runs
-from stmtflow.session import cut_lineage
+from stmtflow.session import cut_lineage, scratch
 from stmtflow.sources import inbox as box
 from stmtflow.sources.profiles import profiles_frame, resolve_profiles
 from stmtflow.sources.registry import registry
@@ -32,19 +32,38 @@ class ImportJob:
 
     def run(self, run_id: str, now: datetime, *, dry_run: bool = False, trigger: str = "batch") -> DataFrame:
         """Import everything the inbox holds. Returns one row of counters per source."""
-        files = box.source_files(box.inbox_files(self.spark, self.inbox), self.formats())
-        return self.run_lines(
-            box.read_lines(self.spark, self.inbox), files, run_id, now, dry_run=dry_run, trigger=trigger
-        )
+        with scratch(self.spark):
+            listed = box.source_files(box.inbox_files(self.spark, self.inbox), self.formats())
+            return self._run(listed, None, run_id, now, dry_run, trigger)
+
+    def run_arrived(self, lines: DataFrame, files: DataFrame, run_id: str, now: datetime, trigger: str = "stream") -> DataFrame:
+        """Import files that have just arrived (``lines`` holds theirs) and those that wait for their source.
+
+        A file that no longer exists has nothing to wait for.
+        """
+        with scratch(self.spark):
+            late = self.store.state(before=run_id)("waiting_files").select("source_id", "doc")
+            there = box.inbox_files(self.spark, self.inbox).join(late, "doc").select("source_id", "doc", "modified_at")
+            every = files.unionByName(there).groupBy("source_id", "doc").agg(F.max("modified_at").alias("modified_at"))
+            return self._run(every, lines, run_id, now, False, trigger)
+
+    def _lines(self, waiting: DataFrame, arrived: DataFrame | None) -> DataFrame:
+        docs = waiting.select("doc").distinct()
+        if arrived is not None:
+            here = arrived.select("doc").distinct()
+            docs = docs.join(here, "doc", "left_anti")
+        names = sorted(r.doc for r in docs.collect())  # file names, as a scan's listing
+        read = box.read_lines(self.spark, self.inbox, names)
+        return read if arrived is None else arrived.unionByName(read)
 
-    def run_lines(
-        self, lines: DataFrame, files: DataFrame, run_id: str, now: datetime, *, dry_run: bool, trigger: str
+    def _run(
+        self, files: DataFrame, arrived: DataFrame | None, run_id: str, now: datetime, dry_run: bool, trigger: str
     ) -> DataFrame:
         state = self.store.state(before=run_id)
         at = F.lit(now).cast("timestamp")
         formats = self.formats()
         waiting = cut_lineage(box.unprocessed(files, state("processed_files")))
-        parsed = ParsedStatements(box.lines_of(lines, waiting), formats)
+        parsed = ParsedStatements(box.lines_of(self._lines(waiting, arrived), waiting), formats)
         stats = cut_lineage(parsed.stats)
 
         # one document that cannot be read stops its source, and only that source
@@ -73,18 +92,27 @@ class ImportJob:
         plan, people = importing.with_payees(plan, people)
         plan = cut_lineage(importing.with_categories(plan, state("rule")))
         counters = self._counters(status, parted, plan, stats)
+        log = self._open_log(state("import_run"), at)
         if dry_run:
-            return counters.withColumn("actual_balance_cents", F.lit(None).cast("bigint"))
+            result = self._kept(counters.withColumn("actual_balance_cents", F.lit(None).cast("bigint")))
+            # what a dry run has fetched can still be imported, until it expires
+            ok = F.col("status") == runs.OK
+            fetched = self._run_rows(result, run_id, at, trigger).withColumns(
+                {"finished_at": F.when(~ok, F.col("finished_at")), "status": F.when(ok, runs.FETCHED).otherwise(F.col("status"))}
+            )
+            self.store.write(run_id, {"import_run": log.unionByName(fetched)})
+            return result
 
         after = cut_lineage(importing.apply_plan(existing, plan))
         worth = balances.account_balance(after, state("account"))
-        result = cut_lineage(
+        result = self._kept(
             counters.join(worth.select("account_id", F.col("balance_cents").alias("_b")), "account_id", "left")
             .withColumn("actual_balance_cents", F.when(F.col("status") == runs.OK, F.col("_b")))
             .drop("_b")
         )
         owners = usable.select("source_id", F.col("account_id").alias("actual_account_id"))
         consumed = waiting.join(usable.select("source_id"), "source_id", "left_semi")
+        left = waiting.join(usable.select("source_id"), "source_id", "left_anti")
         self.store.write(
             run_id,
             {
@@ -94,11 +122,21 @@ class ImportJob:
                 "processed_files": state("processed_files").unionByName(
                     consumed.withColumn("run_id", F.lit(run_id))
                 ),
-                "import_run": state("import_run").unionByName(self._run_rows(result, run_id, at, trigger)),
+                "waiting_files": left.select("source_id", "doc", "modified_at"),
+                "import_run": log.unionByName(self._run_rows(result, run_id, at, trigger)),
             },
         )
         return result
 
+    def _kept(self, result: DataFrame) -> DataFrame:
+        """The counters, one row per source, without the tables they were computed from."""
+        return self.spark.createDataFrame(result.collect(), result.schema)
+
+    @staticmethod
+    def _open_log(log: DataFrame, at: Column) -> DataFrame:
+        """The run log when a run starts: what was fetched too long ago has expired, the rest belongs to a run before."""
+        return runs.abandon_stale(runs.expire(log, at), at)
+
     @staticmethod
     def _counters(status: DataFrame, parted: DataFrame, plan: DataFrame, stats: DataFrame) -> DataFrame:
         fetched = fetch.fetch_stats(parted, stats.select("source_id", "doc", "pending_rows"))

@@ -290,7 +290,7 @@ register(
     """SELECT s.id AS source_id, connector, format, actual_account, coalesce(n, 0) AS ledger_rows, last_run_at, r.status AS last_run_status
     FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n FROM ledger0 GROUP BY source_id) l ON l.source_id = s.id
     LEFT JOIN (SELECT source_id, strftime(started_at, '%Y-%m-%dT%H:%M') AS last_run_at, status
-      FROM (SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 200)
+      FROM runs
       QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, id DESC) = 1) r ON r.source_id = s.id""",
     "sources",
     "ledger0",
@@ -748,7 +748,7 @@ register(
 )
 view(
     "listed",
-    "SELECT * FROM state1 WHERE status = 'pending' ORDER BY confidence DESC, tx_count DESC NULLS LAST, created_at DESC, id LIMIT 1000",
+    "SELECT * FROM state1 WHERE status = 'pending'",
     "state1",
 )
 view(

@@ -34,6 +34,7 @@ from stmtflow.sources.store import SnapshotStore
 from stmtflow.streaming import inbox_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+STREAM_FILES = 64  # files of a micro-batch: about three of them
 QUERIES: dict[str, Query] = {}
 
 
@@ -763,7 +764,7 @@ def full_import(t):
 def stream_import(t):
     """The same by the stream, some files per micro-batch; the ledger that results."""
     job = _import_job(t)
-    query = inbox_stream.start(job, f"{job.store.root}/checkpoint", lambda batch: st.THIS_IMPORT)
+    query = inbox_stream.start(job, f"{job.store.root}/checkpoint", lambda batch: st.THIS_IMPORT, files_per_batch=STREAM_FILES)
     query.awaitTermination()
     return ledger.ledger_size(job.store.read("import_ledger"))
 

@@ -146,10 +146,14 @@ def ledger_before(t: Tables) -> DataFrame:
 
 def sources(t: Tables) -> DataFrame:
     """Configured sources; one region has been removed from the configuration."""
-    bank = F.col("r_name") != "AFRICA"
+    return every_source(t).where("r_name <> 'MIDDLE EAST'").drop("r_name")
+
+
+def every_source(t: Tables) -> DataFrame:
+    """All sources that files come from, configured or not."""
+    bank = ~F.col("r_name").isin("AFRICA", "MIDDLE EAST")
     return (
         t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .where("r_name <> 'MIDDLE EAST'")
         .select(
             F.concat(F.lit("src"), text("n_nationkey")).alias("id"),
             F.lit("manual_import").alias("connector"),
@@ -162,6 +166,7 @@ def sources(t: Tables) -> DataFrame:
                 F.col("r_name") == "ASIA", F.create_map(F.lit("purpose"), F.lit("Buchungstext"))
             ).alias("format_overrides"),
             F.col("n_nationkey").alias("position"),
+            "r_name",
         )
     )
 
@@ -451,7 +456,7 @@ def _money(value: Column) -> Column:
 
 
 def statement_cells(t: Tables) -> DataFrame:
-    """Orders as the text cells a bank would write; one document per source and year."""
+    """Orders as the text cells a bank would write; one document per source and year, also of sources nobody claims."""
     day = F.to_date("o_orderdate")
     kind, status = F.col("o_orderpriority"), F.col("o_orderstatus")
     order = F.concat(F.lit("Auftrag "), text("o_orderkey"))
@@ -491,7 +496,7 @@ def statement_cells(t: Tables) -> DataFrame:
     def row(layout: list[str | None]) -> Column:
         return F.concat_ws(";", *[cells[c] if c else empty for c in layout])
 
-    formats = sources(t).select(F.col("id").alias("source_id"), "format")
+    formats = every_source(t).select(F.col("id").alias("source_id"), "format")
     return (
         t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("source_id", F.concat(F.lit("src"), text("c_nationkey")))
@@ -516,7 +521,7 @@ def statement_lines(t: Tables) -> DataFrame:
         F.posexplode(F.split("text", "\n")).alias("_i", "text"),
     ).select("source_id", "year", "block", (F.col("_first") + F.col("_i")).alias("line_no"), "text")
 
-    formats = resolve_profiles(sources(t), profiles_frame(t.spark))
+    formats = resolve_profiles(every_source(t).drop("r_name"), profiles_frame(t.spark))
     documents = rows.select("source_id", "year").distinct().join(formats, "source_id")
     header = F.when(
         F.col("format") == "postbank-csv",

@@ -64,6 +64,8 @@ CATEGORY = "id string, name string, group_id string, hidden boolean, tombstone b
 CATEGORY_GROUP = "id string, name string, tombstone boolean"
 RULE = "id string, rule_order bigint, conditions string, actions string, tombstone boolean"
 PROCESSED_FILE = "source_id string, doc string, modified_at timestamp, run_id string"
+# files that arrived while their source could not be imported
+WAITING_FILE = "source_id string, doc string, modified_at timestamp"
 
 TABLES = {
     "import_ledger": LEDGER,
@@ -76,4 +78,5 @@ TABLES = {
     "category_group": CATEGORY_GROUP,
     "rule": RULE,
     "processed_files": PROCESSED_FILE,
+    "waiting_files": WAITING_FILE,
 }

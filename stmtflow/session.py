@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +45,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_OPEN: list[list[str]] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows as a table written to the shared folder.
 
     It survives the loss of any executor, and its size is known to the planner afterwards. (A
     checkpointed frame keeps the size estimate of the plan behind it, which grows with every join
-    of a loop.)
+    of a loop.) Inside :func:`scratch` the table goes when the block ends.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that the block cuts, when it ends or fails.
+
+    For jobs whose results are written or collected inside the block; a frame that is read later must not depend on
+    them.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

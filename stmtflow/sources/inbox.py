@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,10 +80,20 @@ def raw_lines(frame: DataFrame, inbox: str) -> DataFrame:
     ).where(_not_processed(F.col("doc")))
 
 
-def read_lines(spark: SparkSession, inbox: str) -> DataFrame:
-    """Every line below the inbox. Large files are split; bytes are kept as they are."""
+def read_lines(spark: SparkSession, inbox: str, docs: list[str] | None = None) -> DataFrame:
+    """Lines of the given files, or of all below the inbox. Large files are split; bytes are kept as they are.
+
+    Only files that are named are opened, so what has been consumed costs nothing. The names come from a listing, which
+    the driver holds for a scan anyway.
+    """
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
-    return raw_lines(reader.text(inbox), inbox)
+    if docs is None:
+        return raw_lines(reader.text(inbox), inbox)
+    if not docs:
+        return spark.createDataFrame([], "doc string, block bigint, line_no bigint, raw string, modified_at timestamp")
+    # a path is a pattern to the reader: special characters of a name stand for themselves
+    paths = [f"{inbox.rstrip('/')}/" + re.sub(r"([*?\[\]{}\\])", r"\\\1", doc) for doc in docs]
+    return raw_lines(reader.text(paths), inbox)
 
 
 def lines_of(lines: DataFrame, files: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from stmtflow.functions.ranking import first_in_group
 from stmtflow.functions.text import blank_to_null, strip
 from stmtflow.operators.keys import spanning_documents
 from stmtflow.session import cut_lineage
-from stmtflow.sources.profiles import CANONICAL_FIELDS, CP1252, UTF8
+from stmtflow.sources.profiles import CANONICAL_FIELDS, CP1252, LATIN1_NAMES, UTF8_NAMES
 
 # bytes that Windows-1252 defines and ISO-8859-1 does not, by rule from the codec itself
 _HIGH = [bytes([b]) for b in range(0x80, 0xA0)]
@@ -42,7 +42,8 @@ CP1252_HOLES = "[" + "".join(rf"\x{b[0]:02x}" for b in _UNDEFINED) + "]"
 
 # a quoted cell up to its closing quote; a doubled quote stands for one
 QUOTED = r'"([^"]*+(?:""[^"]*+)*+)"?'
-MAX_FIELD = 131_072  # longest cell a CSV reader accepts
+MAX_FIELD = 131_072  # longest cell a CSV reader accepts, in any document
+MAX_RECORD = 64 * MAX_FIELD  # longest record that is put together from lines; a quote that is never closed is longer
 
 
 def _latin1() -> Column:
@@ -55,7 +56,9 @@ def _cp1252_text() -> Column:
 
 def _text(encoding: Column) -> Column:
     # the line reader has already taken a byte order mark off the first line
-    plain = F.when(encoding == CP1252, _cp1252_text()).otherwise(F.col("raw"))
+    plain = (
+        F.when(encoding == CP1252, _cp1252_text()).when(encoding.isin(LATIN1_NAMES), _latin1()).otherwise(F.col("raw"))
+    )
     return F.regexp_replace(plain, "\r$", "")
 
 
@@ -165,7 +168,7 @@ def assemble_records(lines: DataFrame) -> DataFrame:
     placed = stated.withColumn("_here", F.last(start_here, True).over(inside)).join(
         carried, [*doc, "block"]
     ).withColumn("_at", F.coalesce("_here", "_carried"))
-    # a record longer than a cell may be is an error of the document, not something to collect
+    # a record longer than any may be is an error of the document, not something to collect
     size = placed.groupBy(*doc, "_at").agg(F.sum(F.length("text") + 1).alias("_chars"))
     piece = F.struct("block", "line_no", F.col("text").alias("t"))
     same = [c for c in lines.columns if c not in {*doc, "block", "line_no", "text", "too_long"}]
@@ -173,8 +176,8 @@ def assemble_records(lines: DataFrame) -> DataFrame:
         placed.join(size, [*doc, "_at"])
         .groupBy(*doc, "_at")
         .agg(
-            F.sort_array(F.collect_list(F.when(F.col("_chars") <= MAX_FIELD, piece))).alias("_pieces"),
-            (F.max("_chars") > MAX_FIELD).alias("too_long"),
+            F.sort_array(F.collect_list(F.when(F.col("_chars") <= MAX_RECORD, piece))).alias("_pieces"),
+            (F.max("_chars") > MAX_RECORD).alias("too_long"),
             *[F.first(c).alias(c) for c in same],
         )
         .withColumn("text", F.array_join(F.transform("_pieces", lambda p: p["t"]), "\n"))
@@ -204,7 +207,7 @@ def decode_documents(lines: DataFrame, formats: DataFrame) -> DataFrame:
     )
     works = F.filter(
         F.col("encodings"),
-        lambda e: ((e == UTF8) & F.col("utf8")) | ((e == CP1252) & ~F.col("_holes")),
+        lambda e: (e.isin(UTF8_NAMES) & F.col("utf8")) | ((e == CP1252) & ~F.col("_holes")) | e.isin(LATIN1_NAMES),
     )
     return (
         per_doc.join(formats.where("config_error is null"), "source_id")
@@ -233,6 +236,7 @@ def decoded_records(lines: DataFrame, documents: DataFrame) -> DataFrame:
     first_cell = F.lower(F.get("cells", F.lit(0)))
     return (
         records.withColumn("cells", split_cells(*map(F.col, ("text", "separator", "cell", "open_end", "delimiter"))))
+        .withColumn("too_long", F.col("too_long") | F.exists("cells", lambda c: F.char_length(c) > MAX_FIELD))
         .withColumn("at", F.struct("block", "line_no"))
         .withColumn("is_header", F.array_contains("cells", F.col("marker")))
         .withColumn("is_balance", F.contains(first_cell, F.lower("balance_label")))
@@ -353,7 +357,7 @@ def canonical_rows(documents: DataFrame, records: DataFrame) -> DataFrame:
     values = numbers.withColumns(
         {
             **{n: to_cents(F.col(f"d_{n}")) for n in amounts},
-            **{f"bad_{n}": F.col(f"t_{n}").isNotNull() & F.col(f"d_{n}").isNull() for n in amounts},
+            **{f"bad_{n}": F.col(f"t_{n}").isNotNull() & to_cents(F.col(f"d_{n}")).isNull() for n in amounts},
             "booking_date": parse_date("c_booking_date", F.col("date_formats")),
         }
     )

@@ -19,6 +19,8 @@ def start(
 ) -> StreamingQuery:
     """Imports what is in the inbox and stops.
 
+    Files of a source that could not be imported wait in the store, and every later micro-batch tries them again.
+
     The run id follows from the checkpoint and the batch id, so a batch that is delivered again starts from the same
     state and writes the same snapshots. Files may be archived by the source, but neither the
     checkpoint nor the ledger depends on it.
@@ -36,7 +38,7 @@ def start(
         placed = box.raw_lines(lines, job.inbox)
         arrived = placed.groupBy("doc").agg(F.max("modified_at").alias("modified_at"))
         files = box.source_files(arrived, job.formats())
-        job.run_lines(placed, files, f"stream-{stream}-{batch_id}", clock(batch_id), dry_run=False, trigger="stream")
+        job.run_arrived(placed, files, f"stream-{stream}-{batch_id}", clock(batch_id))
 
     # the metadata column only exists directly above the scan, which foreachBatch hands over
     return (

@@ -4,8 +4,6 @@ import unicodedata
 from datetime import date
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stmtflow.functions import identity, masking, parsing, text
@@ -22,14 +20,14 @@ def value(spark, build, *args):
         ("1.234,56", True, 123456), ("-89,00", True, -8900), ("", True, None), (None, True, None), ("12.30", False, 1230),
         ("12.30", True, 123000), ("1e3", True, 1300), ("1e3", False, 1300), ("1,234.56 EUR", False, 123456),
         ("12,345", True, 1234), ("12,355", True, 1236), ("-0,005", True, 0), (" 1 234,5 €", True, 123450), ("EUR", True, None),
-        ("+7", True, 700),
+        ("+7", True, 700), ("92233720368547758,07", True, 2**63 - 1), ("-99999999999999999999,00", True, None), ("1" * 40, True, None),
     ],
 )
 def test_amounts(spark, cell, comma, want):
     assert value(spark, lambda c: parsing.parse_amount(c, comma), cell) == want
 
 
-@pytest.mark.parametrize("cell,bad", [("abc,de", True), ("1-2", True), ("--5", True), ("", False), ("EUR", False), ("5", False)])
+@pytest.mark.parametrize("cell,bad", [("abc,de", True), ("1-2", True), ("--5", True), ("", False), ("EUR", False), ("5", False), ("-99999999999999999999,00", True), ("9" * 40, True)])
 def test_unreadable_amounts(spark, cell, bad):
     assert value(spark, lambda c: F.coalesce(parsing.amount_error(c, True), F.lit(False)), cell) is bad
 
@@ -48,6 +46,19 @@ def test_dates(spark, cell, want):
     assert value(spark, lambda c: parsing.parse_date(c, as_column), cell) == want
 
 
+@pytest.mark.parametrize(
+    "formats,cell,want",
+    [
+        (["%d/%m/%Y"], "3/2/2026", date(2026, 2, 3)), (["%m/%d/%Y", "%d/%m/%Y"], "3/2/2026", date(2026, 3, 2)),
+        (["%m/%d/%Y", "%d/%m/%Y"], "30/2/2026", None), (["%m/%d/%Y", "%d/%m/%Y"], "30/3/2026", date(2026, 3, 30)),
+        (["%Y.%m.%d", "%d-%m-%Y", "%d %m %Y"], "7 12 2026", date(2026, 12, 7)), (["%d.%m.%Y"], "2026-01-02", None), ([], "2.1.2026", None),
+    ],
+)
+def test_any_list_of_date_formats(spark, formats, cell, want):
+    as_column = F.array(*[F.lit(f) for f in formats]).cast("array<string>")
+    assert value(spark, lambda c: parsing.parse_date(c, as_column), cell) == want
+
+
 def test_norm_and_loose_keys(spark):
     assert value(spark, text.norm, "  Muster   Energie\tGmbH ") == "MUSTER ENERGIE GMBH"
     assert value(spark, text.norm, None) == ""
@@ -57,12 +68,22 @@ def test_norm_and_loose_keys(spark):
     assert value(spark, text.loose_key, "?!") == ""
 
 
-@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(words=st.lists(st.text(st.characters(max_codepoint=0x2FF, exclude_categories=["Cs", "Cc"]), max_size=12), min_size=1, max_size=8))
-def test_norm_equals_unicode_rule(spark, words):
-    frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, t string")
-    got = [r.v for r in frame.orderBy("i").select(text.norm("t").alias("v")).collect()]
-    assert got == [" ".join(unicodedata.normalize("NFKC", w).split()).upper() for w in words]
+def test_norm_and_folding_on_every_character(spark):
+    """All code points, each alone and between letters, against the rule in plain Python."""
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    words = ["".join(chars[i : i + 16]) for i in range(0, len(chars), 16)] + [f"a{c} {c}B" for c in chars[:0x3000]]
+    frame = spark.createDataFrame(list(enumerate(words)), "i int, t string").repartition(4)
+    got = frame.select("i", text.norm("t").alias("n"), text.casefold("t").alias("f")).collect()
+    for r in got:
+        assert r.n == " ".join(unicodedata.normalize("NFKC", words[r.i]).split()).upper()
+        assert r.f == words[r.i].casefold()
+
+
+def test_filters_pass_norm(spark, tmp_path):
+    spark.createDataFrame([(i, f"Wört {i}") for i in range(9)], "i int, t string").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t")).select("i", text.norm("t").alias("n"), text.loose_key("t").alias("k")).where("i = 4")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(i,4)" in plan and [tuple(r) for r in frame.collect()] == [(4, "WÖRT 4", "wört 4")]
 
 
 def test_masks(spark):

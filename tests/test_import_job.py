@@ -1,13 +1,15 @@
 """Batch and stream imports over real files and stored state."""
 
 import os
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, timedelta
 
 import pytest
 
+from stmtflow.plans import upkeep
 from stmtflow.plans.importer import ImportJob
 from stmtflow.plans.review import ReviewRound
 from stmtflow.schemas import SOURCE, TABLES
+from stmtflow.sources import inbox
 from stmtflow.sources.store import SnapshotStore
 from stmtflow.streaming import inbox_stream
 from tests import files
@@ -72,7 +74,9 @@ def test_import_is_idempotent(job, spark, tmp_path):
     assert rows["T1"].imported_id is not None and rows["T1"].cleared and rows["T1"].notes == "Kauf 05.02.2026"
     assert {r.category_id for r in rows.values() if r.amount_cents == -7500} == {"C2"}
     assert {r.name for r in job.store.read("payee").collect()} == {"Bäckerei Probe", "Stadtwerke Probe", "Firma Probe AG"}
-    assert {(r.source_id, r.status) for r in job.store.read("import_run").collect()} == {("pb", "ok"), ("bad", "error"), ("lost", "error")}
+    log = {(r.id, r.status, r.error) for r in job.store.read("import_run").where("source_id = 'pb'").collect()}
+    assert log == {("r1:pb", "ok", None), ("dry:pb", "abandoned", "pipeline restarted before import")}
+    assert {r.status for r in job.store.read("import_run").where("id like 'r1:%' and source_id <> 'pb'").collect()} == {"error"}
 
     # the same run again writes the same state; a new run finds nothing
     before = sorted(map(str, job.store.read("budget_txn").collect()))
@@ -103,6 +107,102 @@ def test_stream_equals_batch(job, spark, tmp_path):
     assert sum(by_run) >= 3
 
 
+def test_a_failed_source_loses_no_file(job, tmp_path):
+    """The good file of a source that failed arrives once its bad file is gone."""
+    bad = files.write(tmp_path / "inbox", "pb/bad.csv", "no;header\n")
+
+    def stream():
+        query = inbox_stream.start(job, str(tmp_path / "checkpoint"), lambda batch: NOW)
+        query.awaitTermination(240)
+        assert query.exception() is None
+
+    stream()
+    assert job.store.read("import_ledger").count() == 0
+    assert {r.doc for r in job.store.read("waiting_files").collect()} == {"pb/a.csv", "pb/b.csv", "pb/bad.csv", "bad/a.csv"}
+    bad.unlink()
+    files.write(tmp_path / "inbox", "pb/new.csv", files.bank_text([files.bank_row("21.2.2026", "Kartenzahlung", "Kiosk", "x", debit="-1,00")]))
+    stream()
+    assert job.store.read("import_ledger").count() == 5
+    assert {r.doc for r in job.store.read("waiting_files").collect()} == {"bad/a.csv"}
+
+
+def test_consumed_files_are_not_read(job, spark, tmp_path):
+    job.run("r1", NOW)
+    os.chmod(tmp_path / "inbox/pb/a.csv", 0o644)
+    listed = inbox.source_files(inbox.inbox_files(spark, job.inbox), job.formats())
+    waiting = inbox.unprocessed(listed, job.store.read("processed_files"))
+    assert [r.doc for r in waiting.collect()] == ["bad/a.csv"]
+    lines = job._lines(waiting, None)
+    assert [os.path.basename(f) for f in lines.inputFiles()] == ["a.csv"] and "/bad/" in lines.inputFiles()[0]
+    assert inbox.read_lines(spark, job.inbox, []).count() == 0
+
+
+def test_odd_file_names(spark, tmp_path):
+    names = ["pb/a [1]*{x}.csv", "pb/ä + b%20.csv", "pb/c?.csv"]
+    for name in names:
+        files.write(tmp_path / "inbox", name, "one\ntwo\n", "utf-8")
+    files.write(tmp_path / "inbox", "pb/cx.csv", "other\n", "utf-8")
+    folder = str(tmp_path / "inbox")
+    listed = sorted(r.doc for r in inbox.inbox_files(spark, folder).collect())
+    assert set(names) <= set(listed)
+    got = inbox.read_lines(spark, folder, names).groupBy("doc").count().collect()
+    assert {(r.doc, r["count"]) for r in got} == {(n, 2) for n in names}
+
+
+def test_errors_stay_with_their_source(job, spark, tmp_path):
+    huge = files.bank_row("3.2.2026", "SEPA-Lastschrift", "X", "y", debit="-99999999999999999999,00")
+    files.write(tmp_path / "inbox", "bad/a.csv", files.bank_text([huge, files.ROWS[0]]))
+    twin = spark.createDataFrame([("A0", "Giro", False, True), ("A9", "Giro", False, False)], TABLES["account"])
+    job.store.write("more", {"account": job.store.read("account").unionByName(twin)})
+    got = counters(job.run("r1", NOW))
+    assert (got["bad"].status, got["bad"].error) == ("error", "cannot parse amount")
+    assert (got["pb"].status, got["pb"].fetched, got["pb"].added) == ("ok", 4, 3)
+    assert {r.account_id for r in job.store.read("budget_txn").collect()} == {"A1"}  # open, then the smallest id
+
+
+def test_opening_balances_are_written(job, spark):
+    job.run("r1", NOW)
+    first = {r.source_id: r for r in upkeep.opening_balances(job.store, job.sources, "o1").collect()}
+    assert (first["pb"].action, first["pb"].dated) == ("created", date(2026, 2, 2))
+    assert first["bad"].error == "no statement balance known"
+    rows = job.store.read("budget_txn")
+    opening = rows.where("starting_balance_flag").first()
+    names = {r.id: r.name for t in ("payee", "category", "category_group") for r in job.store.read(t).collect()}
+    assert (names[opening.payee_id], names[opening.category_id], opening.imported_id) == ("Starting Balance", "Starting Balances", "pb:starting-balance")
+    assert {r.name for r in job.store.read("category_group").collect()} == {"Usual", "Income"}
+    assert rows.where("account_id = 'A1'").groupBy().sum("amount_cents").first()[0] == 120456
+    # the same again, and after a change: one row, adjusted; payee and category are not created twice
+    assert upkeep.opening_balances(job.store, job.sources, "o2").where("source_id = 'pb'").first().action == "unchanged"
+    more = spark.createDataFrame([("T9", "A1", date(2026, 2, 9), 1000, "P1", None, None, None, None, False, False, False, False)], TABLES["budget_txn"])
+    job.store.write("manual", {"budget_txn": job.store.read("budget_txn").unionByName(more)})
+    dry = upkeep.opening_balances(job.store, job.sources, "o3", dry_run=True).where("source_id = 'pb'").first()
+    assert (dry.action, dry.starting_balance_cents) == ("updated", opening.amount_cents - 1000)
+    assert job.store.read("budget_txn").where("starting_balance_flag").first().amount_cents == opening.amount_cents
+    upkeep.opening_balances(job.store, job.sources, "o4")
+    assert job.store.read("budget_txn").where("starting_balance_flag").first().amount_cents == opening.amount_cents - 1000
+    assert job.store.read("payee").where("name = 'Starting Balance'").count() == 1
+
+
+def test_rules_are_applied_and_written(job, spark):
+    job.run("r1", NOW)
+    rule = spark.createDataFrame(
+        [("R2", 2, '[{"field":"description","op":"is","value":"P1"}]', '[{"field":"category","op":"set","value":"C1"}]', False)], TABLES["rule"]
+    )
+    job.store.write("rule", {"rule": job.store.read("rule").unionByName(rule)})
+    done = upkeep.apply_rules(job.store, "a1").first()
+    assert (done.categorized, done.rules) == (2, 2) and done.considered >= 2
+    assert job.store.read("budget_txn").where("payee_id = 'P1' and category_id = 'C1'").count() == 2
+    assert upkeep.apply_rules(job.store, "a2", uncategorized_only=False).first().categorized == 0
+
+
+def test_fetched_runs_expire(job, spark):
+    job.run("dry", NOW, dry_run=True)
+    assert {r.status for r in job.store.read("import_run").where("source_id = 'pb'").collect()} == {"fetched"}
+    job.run("dry2", NOW + timedelta(hours=2), dry_run=True)
+    reasons = {r.id: r.error for r in job.store.read("import_run").where("source_id = 'pb'").collect()}
+    assert reasons == {"dry:pb": "batch expired before import", "dry2:pb": None}
+
+
 def test_review_round(job, spark):
     job.run("r1", NOW)
     step = ReviewRound(job.store, "v1", NOW, "m")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stmtflow.functions.parsing import parse_amount
 from stmtflow.sources import inbox
-from stmtflow.sources.profiles import FormatProfile, profiles_frame, resolve_profiles
+from stmtflow.sources.profiles import BUILT_IN_PROFILES, profiles_frame, resolve_profiles
 from stmtflow.sources.statements import ParsedStatements, inspect_rows
 from stmtflow.schemas import SOURCE
 from tests import files
@@ -120,7 +120,7 @@ def test_quoting_equals_a_csv_reader(spark, delimiter, per_block):
     header = delimiter.join(["first", "when", "sum"])
     for ending in ("", "\n", f'\nx{delimiter}"never closed\nto the end'):
         content = header + "\n" + body + ending
-        profile = FormatProfile("p", {"booking_date": "when", "amount": "sum"}, delimiter=delimiter)
+        profile = {**BUILT_IN_PROFILES[0], "id": "p", "columns": {"booking_date": "when", "amount": "sum"}, "delimiter": delimiter, "balance_label": None}
         source = [("s", "manual_import", "A", "a", "EUR", "p", "x", None)]
         formats = resolve_profiles(spark.createDataFrame(source, SOURCE), profiles_frame(spark, [profile]))
         parsed = ParsedStatements(lines_frame(spark, content, per_block), formats)
@@ -132,3 +132,34 @@ def test_quoting_equals_a_csv_reader(spark, delimiter, per_block):
 def test_amount_text_of_profile_column(spark):
     frame = spark.createDataFrame([("1.234,5", True), ("1,234.5", False)], "t string, comma boolean")
     assert [r.v for r in frame.select(parse_amount("t", F.col("comma")).alias("v")).collect()] == [123450, 123450]
+
+
+def parsed_with(spark, text, **changes):
+    profile = {**BUILT_IN_PROFILES[0], "id": "p", **changes}
+    formats = resolve_profiles(spark.createDataFrame([("s", "manual_import", "A", "a", "EUR", "p", "x", None)], SOURCE), profiles_frame(spark, [profile]))
+    return formats, ParsedStatements(lines_frame(spark, text, 3), formats)
+
+
+def test_cells_have_one_limit_in_every_document(spark):
+    header = "Buchungstag;Betrag;Verwendungszweck\n"
+    fine, long = "x" * 70_000, "y" * 140_000
+    quoted = f'3.2.2026;1,00;"{fine}\n{fine[:100]}"\n4.2.2026;"{fine}\n";"{fine}"\n'
+    cases = {
+        header + quoted: None,  # a record may be longer than a cell
+        header + f"3.2.2026;1,00;{long}\n": "cell too long",
+        header + f'3.2.2026;1,00;"{long}"\n5.2.2026;2,00;"a\nb"\n': "cell too long",
+        header + f"3.2.2026;1,00;{fine}\n": None,
+    }
+    for text, error in cases.items():
+        _, parsed = parsed_with(spark, text)
+        assert parsed.stats.first().error == error
+
+
+def test_dates_and_encodings_of_a_profile(spark):
+    text = "Buchungstag;Betrag;Verwendungszweck\n13/2/2026;1,00;a\n2026/02/14;2,00;b\n"
+    formats, parsed = parsed_with(spark, text, date_formats=["%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%Y/%m/%d"], encodings=["latin-1"])
+    assert formats.first().config_error is None
+    assert sorted(str(r.booking_date) for r in parsed.rows.collect()) == ["2026-02-13", "2026-02-14"]
+    for change, error in (({"date_formats": ["%d.%m.%y"]}, "unsupported date format: %d.%m.%y"), ({"encodings": ["utf-16"]}, "unsupported encoding: utf-16")):
+        formats, _ = parsed_with(spark, text, **change)
+        assert formats.first().config_error == error
