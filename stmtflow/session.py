@@ -48,16 +48,17 @@ def shared_folder(spark: SparkSession) -> str:
 _OPEN: list[list[str]] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """The same rows as a table written to the shared folder.
 
     It survives the loss of any executor, and its size is known to the planner afterwards. (A
     checkpointed frame keeps the size estimate of the plan behind it, which grows with every join
-    of a loop.) Inside :func:`scratch` the table goes when the block ends.
+    of a loop.) Inside :func:`scratch` the table goes when the block ends; with ``keep``
+    it is the block's result and goes with the block around it, if there is one.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
