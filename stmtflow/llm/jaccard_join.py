@@ -11,10 +11,13 @@ Any order gives the same links, this one smaller regions.
 
 Regions are then joined recursively and exactly:
 
-* A region of at most ``SMALL`` texts compares all its pairs whose sizes allow a link.
+* A region of at most ``SMALL`` texts offers all its pairs whose sizes allow a link. A pair is compared if it meets in so many
+  regions as a link needs: what two texts share beyond the window of the one whose window ends first is at most what lies
+  beyond it.
 * Texts of larger regions (passages or copies shared by many) are partitioned anew among themselves, with the rarest
   shingles first, counted exactly; a passage then comes last in the order and makes no region.
-* What is still large holds many similar texts. A pivot text is drawn, all distances to it are measured; texts within
+* What is still large holds many similar texts. Its pivot is the text that lies in most regions (the least changed copy); all
+  distances to it are measured; texts within
   EPS of it are linked through it. Of the others (outer), distance d from the pivot, only inner texts at d - EPS or more
   from it can be near (triangle inequality): the next region holds the outer texts and those boundary texts. A region
   whose texts have all become one group is done; one still open after ``ROUNDS`` rounds compares all pairs of different
@@ -35,17 +38,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtflow.llm.common import column_of, fenced, with_row_identity
-from stmtflow.session import cut_lineage
+from stmtflow.session import cut_lineage, scratch
 
 WORDS, PERCENT = 5, 80
 #: Texts in a region that compares all pairs; rounds of pivot texts; members that meet a pivot in one task.
-SMALL, ROUNDS, MEMBERS = 32, 6, 4096
+SMALL, ROUNDS, MEMBERS = 32, 4, 4096
 #: Shingles that come last in the order, at most; texts of one batch that must share a shingle to propose it.
 LAST, SHARED = 1 << 18, 4
+#: Texts that a task holds the shingles of at once.
+HELD = 4096
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -110,11 +115,29 @@ def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
     return n - (percent * n + 99) // 100 + 1
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``HELD``."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, HELD):
+            yield batch.slice(start, HELD)
+
+
+def needed(n: Column, pn: Column, percent: int) -> Column:
+    """How many shingles inside both windows a linked pair of these sizes shares at least.
+
+    With o the least overlap of a link, and the window of the one that ends first followed by at most r shingles, the
+    pair shares o - r or more before that end, and all of these lie in both windows.
+    """
+    overlap = F.ceil(percent * (n + pn) / (100 + percent))
+    beyond = lambda x: F.floor((percent * x + 99) / 100) - 1
+    return F.greatest(F.lit(1), overlap - F.greatest(beyond(n), beyond(pn)))
+
+
 def _last(docs: DataFrame, words: int) -> np.ndarray:
     """The most widely shared shingles, sorted; all texts are read, and at most ``LAST`` shingles are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(0).unique()  # copies say nothing about passages
             flat = np.sort(np.concatenate([np.empty(0, np.uint64), *(shingles(value.as_py(), words) for value in texts)]))
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, int)
@@ -148,7 +171,7 @@ def _sets(docs: DataFrame, words: int, percent: int, small: int) -> DataFrame:
     last = docs.sparkSession.sparkContext.broadcast(_last(docs, words))  # at most ``LAST`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keys, sizes, cells = [], [], []
             known: set[tuple[int, int]] = set()
             for value in batch.column(2):
@@ -183,18 +206,21 @@ def _sets(docs: DataFrame, words: int, percent: int, small: int) -> DataFrame:
 
 
 def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
-    """Of the regions of (cell, key, n): pairs (key, n, pkey, pn) of small ones, and (key, n, null, null) per set of a large one."""
+    """Of the regions of (cell, key, n): pairs (key, n, pkey, pn, regions) of small ones, and (key, n, null, null, ...) per set of a
+    large one; ``regions`` counts the small ones in which they meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3
         large: int | None = None  # the cell at hand, if it is known to be large
 
         def emit(key, n, pkey, pn) -> pa.RecordBatch:
-            rows = np.unique(np.stack([key, n, pkey, pn]), axis=1)
-            gone = pa.array(rows[3] == 0)
-            columns = [pa.array(rows[0]), pa.array(rows[1])]
-            columns += [pa.array(rows[i], mask=gone.to_numpy(zero_copy_only=False)) for i in (2, 3)]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "n", "pkey", "pn"])
+            rows = np.stack([key, n, pkey, pn])[:, np.lexsort((pn, pkey, n, key))]
+            first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])) if rows.size else np.empty(0, int)
+            times = np.diff(np.append(first, rows.shape[1]))
+            rows = rows[:, first]
+            columns = [pa.array(rows[0]), pa.array(rows[1]), *(pa.array(rows[i], mask=rows[3] == 0) for i in (2, 3)), pa.array(times)]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "n", "pkey", "pn", "regions"])
 
         def marked(key, n) -> pa.RecordBatch:
             return emit(key, n, np.zeros_like(key), np.zeros_like(n))
@@ -241,14 +267,15 @@ def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
             yield from regions(*held)
 
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "n", "key")
-    return ordered.select("cell", "key", "n").mapInArrow(run, "key long, n long, pkey long, pn long").distinct()
+    met = ordered.select("cell", "key", "n").mapInArrow(run, "key long, n long, pkey long, pn long, regions long")
+    return met.groupBy("key", "n", "pkey", "pn").agg(F.sum("regions").alias("regions"))
 
 
 def _full_sets(texts: DataFrame, words: int) -> DataFrame:
     """(key, n, cell): every shingle of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(value.as_py(), words) for value in batch.column(2)]
             at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -281,12 +308,11 @@ def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """
     pivots = pairs.groupBy("pkey", "pn").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     parts = pairs.join(pivots, ["pkey", "pn"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    members = parts.join(texts, ["key", "n"]).select("pkey", "pn", "part", F.lit(1).alias("role"), "key", "n", "text")
-    heads = (
-        pivots.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .join(texts.select(F.col("key").alias("pkey"), F.col("n").alias("pn"), "text"), ["pkey", "pn"])
-        .select("pkey", "pn", "part", F.lit(0).alias("role"), F.col("pkey").alias("key"), F.col("pn").alias("n"), "text")
+    heads = pivots.select(
+        "pkey", "pn", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"),
+        F.col("pkey").alias("key"), F.col("pn").alias("n"),
     )
+    asked = parts.select("pkey", "pn", "part", F.lit(1).alias("role"), "key", "n").unionByName(heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.empty(0, np.uint64)
@@ -307,7 +333,8 @@ def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             )
             yield done.filter(member)
 
-    met = members.unionByName(heads).repartition("pkey", "pn", "part").sortWithinPartitions("pkey", "pn", "part", "role")
+    met = asked.join(texts, ["key", "n"]).select("pkey", "pn", "part", "role", "key", "n", "text")
+    met = met.repartition("pkey", "pn", "part").sortWithinPartitions("pkey", "pn", "part", "role")
     return met.mapInArrow(run, "key long, n long, pkey long, pn long, common long")
 
 
@@ -341,12 +368,15 @@ def _pairs_inside(cells: DataFrame, percent: int) -> DataFrame:
     other = cells.select("cell", F.col("key").alias("pkey"), F.col("n").alias("pn"))
     smaller = (F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("key") < F.col("pkey")))
     sizes = 100 * F.col("n") >= percent * F.col("pn")
-    return cells.join(other, "cell").where(smaller & sizes).select("key", "n", "pkey", "pn").distinct()
+    met = cells.join(other, "cell").where(smaller & sizes).groupBy("key", "n", "pkey", "pn").agg(F.count(F.lit(1)).alias("regions"))
+    return met.where(F.col("regions") >= needed(F.col("n"), F.col("pn"), percent)).drop("regions")
 
 
 def _with_pivot(cells: DataFrame) -> DataFrame:
-    """Adds each region's pivot text: a draw by hash, the same in all regions of the same texts."""
-    drawn = cells.groupBy("cell").agg(F.min(F.struct(F.xxhash64("key", F.lit(1)), "key", "n")).alias("p"))
+    """Adds each region's pivot text: that of most regions, so regions of the same texts have the same pivot."""
+    places = cells.groupBy("key", "n").agg(F.count(F.lit(1)).alias("places"))
+    ranked = cells.join(places, ["key", "n"])
+    drawn = ranked.groupBy("cell").agg(F.max(F.struct("places", F.xxhash64("key", F.lit(1)), "key", "n")).alias("p"))
     return cells.join(drawn.select("cell", F.col("p.key").alias("pkey"), F.col("p.n").alias("pn")), "cell")
 
 
@@ -369,7 +399,8 @@ def links_between_sets(
 ) -> DataFrame:
     """(key, n, pkey, pn): links whose groups are those of all links. ``sets`` is the table of :func:`_sets`."""
     met = cut_lineage(_met(sets.select("key", "n", F.explode("cells").alias("cell")), percent, small))
-    pairs = met.where("pn is not null")
+    # a pair that meets too rarely in small regions is no link, or both are hot and meet below
+    pairs = met.where("pn is not null").where(F.col("regions") >= needed(F.col("n"), F.col("pn"), percent)).drop("regions")
     hot = met.where("pn is null").select("key", "n").union(sets.where("hot").select("key", "n")).distinct()
     wanted = hot.withColumn("hot", F.lit(True)).unionByName(
         pairs.select("key", "n").union(pairs.select("pkey", "pn")).withColumn("hot", F.lit(False))
@@ -419,15 +450,20 @@ def links_between_sets(
 
 
 def _grouped(placed: DataFrame, words: int, percent: int, small: int, rounds: int) -> DataFrame:
-    """(doc_id, place, n, group, component_id) of (doc_id, place, text); ``group`` is null without shingles."""
-    sets = cut_lineage(_sets(placed, words, percent, small))
-    links = cut_lineage(links_between_sets(sets, placed, words, percent, small, rounds))
-    own = F.struct(F.col("key"), F.col("n"))
-    classes = sets.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
-    grouped = classes.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
-    groups = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
-    known = grouped.drop("least").join(groups, "group")
-    return sets.join(known, ["key", "n"], "left").select("doc_id", "place", "n", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+    """(doc_id, place, n, group, component_id) of (doc_id, place, text); ``group`` is null without shingles.
+
+    Worked out at once: what lies between is as large as the texts, and goes when this small table is written.
+    """
+    with scratch(placed.sparkSession):
+        sets = cut_lineage(_sets(placed, words, percent, small))
+        links = cut_lineage(links_between_sets(sets, placed, words, percent, small, rounds))
+        own = F.struct(F.col("key"), F.col("n"))
+        classes = sets.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
+        grouped = classes.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
+        groups = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+        known = grouped.drop("least").join(groups, "group")
+        rows = sets.join(known, ["key", "n"], "left")
+        return cut_lineage(rows.select("doc_id", "place", "n", "group", F.coalesce("component_id", "doc_id").alias("component_id")), keep=True)
 
 
 def near_duplicates(
