@@ -128,12 +128,14 @@ def cutoffs(rows: DataFrame, labels: DataFrame, doc_id: str, risk: float = RISK,
         labels.where("quality is not null").groupBy(F.col("doc_id").alias("_label_id"))
         .agg(F.min("quality").alias("_q")).where("_q = 1").select("_label_id")
     )
-    held = rows.where(~F.col("base_failed")).join(good, F.col(doc_id) == F.col("_label_id"), "left_semi")
+    # no filter on a measure here: it would be pushed below and compute the measures twice
+    held = rows.join(good, F.col(doc_id) == F.col("_label_id"), "left_semi")
+    passed = ~F.col("base_failed")
     # one counting pass: a row per document becomes counters per stratum before anything is shuffled
     counts = [
-        F.count_if(F.col(f"_rules.{rule}") > cut).alias(f"{rule}_{i}") for rule, grid in GRID.items() for i, cut in enumerate(grid)
+        F.count_if(passed & (F.col(f"_rules.{rule}") > cut)).alias(f"{rule}_{i}") for rule, grid in GRID.items() for i, cut in enumerate(grid)
     ]
-    per_stratum = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
+    per_stratum = held.groupBy("_stratum").agg(F.count_if(passed).alias("n"), *counts)
     tests = F.array(
         *[
             F.struct(
@@ -172,7 +174,7 @@ def judged(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     for rule in GRID:
         over = over | F.coalesce(F.col(f"_rules.{rule}") > F.col(f"_cut.{rule}"), F.lit(False))
     limits = by_stratum.select("_stratum", F.struct(*GRID).alias("_cut"))
-    return rows.join(limits, "_stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over).drop("_cut")
+    return rows.join(limits, "_stratum", "left").withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~over)).drop("_cut")
 
 
 def apply_rules(
