@@ -14,11 +14,11 @@ Regions are then joined recursively and exactly:
 * A region of at most ``SMALL`` texts offers all its pairs whose sizes allow a link. A pair is compared if it meets in so many
   regions as a link needs: what two texts share beyond the window of the one whose window ends first is at most what lies
   beyond it.
-* Texts of larger regions (passages or copies shared by many) are partitioned anew among themselves, with the rarest
-  shingles first, counted exactly; a passage then comes last in the order and makes no region.
-* What is still large holds many similar texts. Its pivot is the text that lies in most regions (the least changed copy); all
-  distances to it are measured; texts within
-  EPS of it are linked through it. Of the others (outer), distance d from the pivot, only inner texts at d - EPS or more
+* Texts of larger regions (passages or copies shared by many) are partitioned anew among themselves: first with the pivots of
+  those regions last in the order, then, what is still in a large region, with the rarest shingles first, counted exactly. A
+  passage then makes no region.
+* What is still large holds many similar texts. Its pivot is the text that lies in most regions (the least changed copy), and
+  regions of one pivot become one; all distances to it are measured; texts within EPS of it are linked through it. Of the others (outer), distance d from the pivot, only inner texts at d - EPS or more
   from it can be near (triangle inequality): the next region holds the outer texts and those boundary texts. A region
   whose texts have all become one group is done; one still open after ``ROUNDS`` rounds compares all pairs of different
   groups.
@@ -46,11 +46,12 @@ from stmtflow.session import cut_lineage, scratch
 
 WORDS, PERCENT = 5, 80
 #: Texts in a region that compares all pairs; rounds of pivot texts; members that meet a pivot in one task.
-SMALL, ROUNDS, MEMBERS = 32, 4, 4096
+SMALL, ROUNDS, MEMBERS = 128, 3, 4096
 #: Shingles that come last in the order, at most; texts of one batch that must share a shingle to propose it.
 LAST, SHARED = 1 << 18, 4
 #: Texts that a task holds the shingles of at once.
 HELD = 4096
+PAIR = ["key", "n", "pkey", "pn"]
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -162,13 +163,13 @@ def _window(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
     return early[:length] if len(early) >= length else np.concatenate([early, s[late]])[:length]
 
 
-def _sets(docs: DataFrame, words: int, percent: int, small: int) -> DataFrame:
+def _sets(docs: DataFrame, last: np.ndarray, words: int, percent: int, small: int) -> DataFrame:
     """(doc_id, place, key, n, hot, cells): the set's identity and the pivots whose windows it lies in.
 
     A pivot that more than ``small`` sets of a batch share is large for sure: its sets are marked hot, and only so many
     of them name it as the others need to see that it is large.
     """
-    last = docs.sparkSession.sparkContext.broadcast(_last(docs, words))  # at most ``LAST`` numbers
+    late = docs.sparkSession.sparkContext.broadcast(last)  # at most 2 * ``LAST`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -178,7 +179,7 @@ def _sets(docs: DataFrame, words: int, percent: int, small: int) -> DataFrame:
                 s = shingles(value.as_py(), words)
                 key = (int(_mix(np.array([_mix(s).sum(dtype=np.uint64)], dtype=np.uint64)).view(np.int64)[0]), len(s))
                 # a copy of a set of this batch says nothing new
-                cells.append(_window(s, last.value, percent) if len(s) and key not in known else s[:0])
+                cells.append(_window(s, late.value, percent) if len(s) and key not in known else s[:0])
                 known.add(key)
                 keys.append(key[0])
                 sizes.append(key[1])
@@ -206,8 +207,8 @@ def _sets(docs: DataFrame, words: int, percent: int, small: int) -> DataFrame:
 
 
 def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
-    """Of the regions of (cell, key, n): pairs (key, n, pkey, pn, regions) of small ones, and (key, n, null, null, ...) per set of a
-    large one; ``regions`` counts the small ones in which they meet.
+    """Of the regions of (cell, key, n): pairs (key, n, pkey, pn, regions) of small ones, (key, n, null, null, ...) per set of a large
+    one, and (cell, -1, null, null, sets) per large one; ``regions`` counts the small ones in which a pair meets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,8 @@ def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
             columns = [pa.array(rows[0]), pa.array(rows[1]), *(pa.array(rows[i], mask=rows[3] == 0) for i in (2, 3)), pa.array(times)]
             return pa.RecordBatch.from_arrays(columns, names=["key", "n", "pkey", "pn", "regions"])
 
-        def marked(key, n) -> pa.RecordBatch:
+        def marked(cell, key, n) -> pa.RecordBatch:
+            key, n = np.concatenate([key, cell]), np.concatenate([n, np.full_like(n, -1)])
             return emit(key, n, np.zeros_like(key), np.zeros_like(n))
 
         def regions(cell, key, n) -> Iterator[pa.RecordBatch]:
@@ -234,7 +236,7 @@ def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
             size = np.repeat(sizes, sizes)
             big = size > small
             if big.any():
-                yield marked(key[big], n[big])
+                yield marked(cell[big], key[big], n[big])
             keep = (size > 1) & ~big
             cell, key, n = cell[keep], key[keep], n[keep]
             found = []
@@ -251,7 +253,7 @@ def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
             if large is not None:
                 same = int(np.searchsorted(columns[0], large, side="right"))
                 if same:
-                    yield marked(columns[1][:same], columns[2][:same])
+                    yield marked(*[c[:same] for c in columns])
                     columns = [c[same:] for c in columns]
             if not len(columns[0]):
                 held = columns
@@ -261,7 +263,7 @@ def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
                 yield from regions(*[c[:last] for c in columns])
             held, large = [c[last:] for c in columns], None
             if len(np.unique(held[1])) > small:
-                yield marked(held[1], held[2])
+                yield marked(*held)
                 held, large = [np.empty(0, np.int64)] * 3, int(columns[0][-1])
         if len(held[0]):
             yield from regions(*held)
@@ -287,7 +289,7 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _rarest_first(full: DataFrame, percent: int) -> DataFrame:
-    """(cell, key, n): the windows of texts among themselves, rarest shingles first.
+    """(cell, key, n, places): the windows of texts among themselves, rarest shingles first; ``places`` counts a text's regions.
 
     Shingles of a single text come first of all and have no region.
     """
@@ -297,7 +299,8 @@ def _rarest_first(full: DataFrame, percent: int) -> DataFrame:
     first = F.row_number().over(own.orderBy("texts", "cell"))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     left = length - (F.col("n") - F.count(F.lit(1)).over(own))
-    return known.withColumns({"_first": first, "_left": left}).where("_first <= _left").select("cell", "key", "n")
+    held = known.withColumns({"_first": first, "_left": left, "_all": F.count(F.lit(1)).over(own)}).where("_first <= _left")
+    return held.select("cell", "key", "n", F.least("_left", "_all").alias("places"))
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -372,81 +375,111 @@ def _pairs_inside(cells: DataFrame, percent: int) -> DataFrame:
     return met.where(F.col("regions") >= needed(F.col("n"), F.col("pn"), percent)).drop("regions")
 
 
-def _with_pivot(cells: DataFrame) -> DataFrame:
-    """Adds each region's pivot text: that of most regions, so regions of the same texts have the same pivot."""
-    places = cells.groupBy("key", "n").agg(F.count(F.lit(1)).alias("places"))
-    ranked = cells.join(places, ["key", "n"])
-    drawn = ranked.groupBy("cell").agg(F.max(F.struct("places", F.xxhash64("key", F.lit(1)), "key", "n")).alias("p"))
-    return cells.join(drawn.select("cell", F.col("p.key").alias("pkey"), F.col("p.n").alias("pn")), "cell")
+def _merged(rows: DataFrame, region: list[str]) -> DataFrame:
+    """(pkey, pn, key, n, places): regions known by their pivot text; regions with the same pivot become one.
+
+    The pivot is the text of most places; equals are told apart by hash, the same way everywhere.
+    """
+    drawn = rows.groupBy(*region).agg(F.max(F.struct("places", F.xxhash64("key", F.lit(1)), "key", "n")).alias("p"))
+    pivots = drawn.select(*[F.col(c).alias(f"_{c}") for c in region], F.col("p.key").alias("_p"), F.col("p.n").alias("_pn"))
+    same = [F.col(c) == F.col(f"_{c}") for c in region]
+    return rows.join(pivots, same).select(F.col("_p").alias("pkey"), F.col("_pn").alias("pn"), "key", "n", "places").distinct()
 
 
-def _fits(percent: int):
+def _fits(percent: int) -> Column:
     """Whether the sizes of a member and its pivot allow a link."""
     small, large = F.least("n", "pn"), F.greatest("n", "pn")
     return (100 * small >= percent * large) & ~((F.col("key") == F.col("pkey")) & (F.col("n") == F.col("pn")))
 
 
-def _open(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """Regions that hold texts of more than one group; adds ``group``."""
+def _still_open(regions: DataFrame, measured: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """What is left of each region once all distances to its pivot are known: outer texts and the boundary, with ``group``.
+
+    Regions whose texts are all of one group are gone.
+    """
+    # where sizes rule a link out, the distance is at least the bound that the sizes give
+    bound = 1 - F.least("n", "pn") / F.greatest("n", "pn")
+    known = regions.join(measured, PAIR, "left").withColumn(
+        "d", F.coalesce(1 - F.col("common") / (F.col("n") + F.col("pn") - F.col("common")), bound)
+    )
+    far = 100 * F.col("d") > 100 - percent + 1e-7
+    nearest = known.where(far).groupBy("pkey", "pn").agg(F.min("d").alias("outer"))
+    edge = F.col("outer") - (100 - percent) / 100 - 1e-9
+    pivot = (F.col("key") == F.col("pkey")) & (F.col("n") == F.col("pn"))
+    rest = known.join(nearest, ["pkey", "pn"]).where((far | (F.col("d") >= edge)) & ~pivot)
     own = F.struct(F.col("key"), F.col("n"))
-    grouped = cells.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
-    mixed = grouped.groupBy("cell").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    return grouped.join(mixed.select("cell"), "cell", "left_semi")
+    grouped = rest.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
+    mixed = grouped.groupBy("pkey", "pn").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    return grouped.join(mixed.select("pkey", "pn"), ["pkey", "pn"], "left_semi").select(*PAIR, "places", "group")
+
+
+def _often_enough(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of :func:`_met` that meet in as many small regions as a link needs.
+
+    Others are no link, or both texts are hot, and all pairs of hot texts are looked at again.
+    """
+    pairs = met.where("pn is not null")
+    return pairs.where(F.col("regions") >= needed(F.col("n"), F.col("pn"), percent)).select(*PAIR)
+
+
+def _hot(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, n) of the sets that lie in a large region."""
+    return met.where("pn is null and n >= 0").select("key", "n").union(sets.where("hot").select("key", "n")).distinct()
 
 
 def links_between_sets(
-    sets: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, small: int = SMALL, rounds: int = ROUNDS,
+    sets: DataFrame, docs: DataFrame, last: np.ndarray, words: int = WORDS, percent: int = PERCENT, small: int = SMALL,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(key, n, pkey, pn): links whose groups are those of all links. ``sets`` is the table of :func:`_sets`."""
     met = cut_lineage(_met(sets.select("key", "n", F.explode("cells").alias("cell")), percent, small))
-    # a pair that meets too rarely in small regions is no link, or both are hot and meet below
-    pairs = met.where("pn is not null").where(F.col("regions") >= needed(F.col("n"), F.col("pn"), percent)).drop("regions")
-    hot = met.where("pn is null").select("key", "n").union(sets.where("hot").select("key", "n")).distinct()
-    wanted = hot.withColumn("hot", F.lit(True)).unionByName(
-        pairs.select("key", "n").union(pairs.select("pkey", "pn")).withColumn("hot", F.lit(False))
-    ).groupBy("key", "n").agg(F.max("hot").alias("hot"))
+    pairs, hot = _often_enough(met, percent), _hot(met, sets)
+    ends = pairs.select("key", "n").union(pairs.select("pkey", "pn"))
+    wanted = hot.withColumn("hot", F.lit(True)).unionByName(ends.withColumn("hot", F.lit(False)))
+    wanted = wanted.groupBy("key", "n").agg(F.max("hot").alias("hot"))
     # one text for each set that has to be measured
     places = sets.where("n > 0").groupBy("key", "n").agg(F.min("place").alias("place"))
     texts = cut_lineage(
         docs.select("place", "text").join(places.join(wanted, ["key", "n"]), "place").select("key", "n", "hot", "text")
     )
-    again = cut_lineage(_rarest_first(_full_sets(texts.where("hot"), words), percent))
-    texts = texts.drop("hot")
-    sized = again.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
-    few = again.join(sized.where((F.col("size") > 1) & (F.col("size") <= small)), "cell", "left_semi")
-    regions = cut_lineage(again.join(sized.where(F.col("size") > small), "cell", "left_semi"))
 
-    star = _with_pivot(regions).where(_fits(percent)).select("key", "n", "pkey", "pn")
-    first = pairs.unionByName(_pairs_inside(few, percent)).unionByName(star).distinct()
+    # hot texts among themselves, with the pivots of the large regions last
+    large = met.where("n < 0").groupBy(F.col("key").alias("cell")).agg(F.sum("regions").alias("size"))
+    large = large.orderBy(F.desc("size"), "cell").limit(LAST).select("cell").toArrow().column("cell").to_numpy()
+    nowhere = [F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("place")]
+    again = cut_lineage(
+        _sets(texts.where("hot").select(*nowhere, "text"), np.union1d(last, large.view(np.uint64)), words, percent, small)
+    )
+    met_again = cut_lineage(_met(again.select("key", "n", F.explode("cells").alias("cell")), percent, small))
+    still_hot = _hot(met_again, again)
+
+    # what is still hot, with the rarest shingles first
+    left = cut_lineage(_rarest_first(_full_sets(texts.join(still_hot, ["key", "n"], "left_semi"), words), percent))
+    sized = left.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    few = left.join(sized.where((F.col("size") > 1) & (F.col("size") <= small)), "cell", "left_semi")
+    many = left.join(sized.where(F.col("size") > small), "cell", "left_semi")
+    regions = cut_lineage(_merged(many, ["cell"]))
+
+    texts = texts.drop("hot")
+    first = pairs.union(_often_enough(met_again, percent)).union(_pairs_inside(few, percent).select(*PAIR))
+    first = first.union(regions.where(_fits(percent)).select(*PAIR)).distinct()
     measured = cut_lineage(_measured(first, texts, words))
     links = _linked(measured, percent)
-    for turn in range(rounds):
+    for _ in range(rounds):
         if regions.isEmpty():
             return links
-        # distances to the pivot; where sizes rule a link out, the bound that the sizes give
-        bound = 1 - F.least("n", "pn") / F.greatest("n", "pn")
-        known = _with_pivot(regions).join(measured, ["key", "n", "pkey", "pn"], "left").withColumn(
-            "d", F.coalesce(1 - F.col("common") / (F.col("n") + F.col("pn") - F.col("common")), bound)
-        )
-        far = 100 * F.col("d") > 100 - percent + 1e-7
-        nearest = known.where(far).groupBy("cell").agg(F.min("d").alias("outer"))
-        edge = F.col("outer") - (100 - percent) / 100 - 1e-9
-        rest = known.join(nearest, "cell").where(far | (F.col("d") >= edge)).where(
-            ~((F.col("key") == F.col("pkey")) & (F.col("n") == F.col("pn")))
-        )
-        regions = cut_lineage(_open(rest.select("cell", "key", "n"), links).select("cell", "key", "n"))
-        if turn < rounds - 1:
-            asked = _with_pivot(regions).where(_fits(percent)).select("key", "n", "pkey", "pn").distinct()
-            fresh = asked.join(measured.select("key", "n", "pkey", "pn"), ["key", "n", "pkey", "pn"], "left_anti")
-            measured = cut_lineage(measured.unionByName(_measured(fresh, texts, words)))
-            links = _linked(measured, percent)
+        rest = _still_open(regions, measured, links, percent).drop("group").withColumnsRenamed({"pkey": "rkey", "pn": "rn"})
+        regions = cut_lineage(_merged(rest, ["rkey", "rn"]))
+        fresh = regions.where(_fits(percent)).select(*PAIR).join(measured.select(*PAIR), PAIR, "left_anti")
+        measured = cut_lineage(measured.unionByName(_measured(fresh, texts, words)))
+        links = _linked(measured, percent)
     if regions.isEmpty():
         return links
     # what no pivot could part: all pairs of texts of different groups
-    open_cells = cut_lineage(_open(regions, links))
-    other = open_cells.select("cell", F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("group").alias("pgroup"))
-    last = open_cells.join(other, "cell").where(F.col("group") < F.col("pgroup")).where(_fits(percent))
-    return links.unionByName(_linked(_measured(last.select("key", "n", "pkey", "pn").distinct(), texts, words), percent))
+    rest = cut_lineage(_still_open(regions, measured, links, percent).withColumnsRenamed({"pkey": "rkey", "pn": "rn"}))
+    other = rest.select("rkey", "rn", F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("group").alias("pgroup"))
+    last_pairs = rest.join(other, ["rkey", "rn"]).where(F.col("group") < F.col("pgroup")).where(_fits(percent))
+    return links.union(_linked(_measured(last_pairs.select(*PAIR).distinct(), texts, words), percent))
 
 
 def _grouped(placed: DataFrame, words: int, percent: int, small: int, rounds: int) -> DataFrame:
@@ -455,8 +488,9 @@ def _grouped(placed: DataFrame, words: int, percent: int, small: int, rounds: in
     Worked out at once: what lies between is as large as the texts, and goes when this small table is written.
     """
     with scratch(placed.sparkSession):
-        sets = cut_lineage(_sets(placed, words, percent, small))
-        links = cut_lineage(links_between_sets(sets, placed, words, percent, small, rounds))
+        last = _last(placed, words)
+        sets = cut_lineage(_sets(placed, last, words, percent, small))
+        links = cut_lineage(links_between_sets(sets, placed, last, words, percent, small, rounds))
         own = F.struct(F.col("key"), F.col("n"))
         classes = sets.where("n > 0").groupBy("key", "n").agg(F.min("doc_id").alias("least"))
         grouped = classes.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
