@@ -33,11 +33,9 @@ def assign_keys(rows: DataFrame, long_documents: DataFrame | None = None) -> Dat
     row in a document are spread over tasks however many they are. ``long_documents`` may name
     the documents of several blocks if they are known already.
     """
-    # Only these documents can have a group that spans blocks. Their number is at most the input
-    # size over the block size, so the list of them is small enough to broadcast.
+    # Only these documents can have a group that spans blocks.
     if long_documents is None:
         long_documents = spanning_documents(rows)
-    long_documents = F.broadcast(long_documents)
     spanning = _canonical(rows.join(long_documents, ["source_id", "doc"], "left_semi")).select(*GROUP, "block")
     # an explicit exchange on the full key: a partitioning by document alone could be skewed
     spread = (

@@ -423,7 +423,7 @@ register(
 
 view(
     "booked",
-    """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS id, 'acct' || s_nationkey AS account_id,
+    """SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, 'acct' || s_nationkey AS account_id,
       CAST(l_shipdate AS DATE) AS booking_date,
       (CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END) * CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_cents,
       'payee' || l_suppkey AS payee_id, s_name || ' ' || p_type AS imported_payee,
@@ -992,16 +992,20 @@ register(
 view(
     "import_result",
     """SELECT source_id, account, status, error, files, CASE WHEN bad THEN 0 ELSE n END AS fetched,
-      CASE WHEN bad THEN 0 ELSE pending END AS pending_rows, CASE WHEN bad THEN 0 ELSE n END AS new_rows,
-      0::BIGINT AS changed_rows, 0::BIGINT AS unchanged_rows, CASE WHEN bad THEN 0 ELSE n END AS added, 0::BIGINT AS updated, 0::BIGINT AS unchanged,
+      CASE WHEN bad THEN 0 ELSE pending END AS pending_rows, CASE WHEN bad THEN 0 ELSE n - old END AS new_rows,
+      CASE WHEN bad THEN 0 ELSE rewritten END AS changed_rows, CASE WHEN bad THEN 0 ELSE old - rewritten END AS unchanged_rows,
+      CASE WHEN bad THEN 0 ELSE n - old - november - december END AS added, CASE WHEN bad THEN 0 ELSE december END AS updated,
+      CASE WHEN bad THEN 0 ELSE old - rewritten + november END AS unchanged,
       CASE WHEN NOT bad THEN lo END AS window_from, CASE WHEN NOT bad THEN hi END AS window_to,
       CASE WHEN NOT bad THEN b.balance_cents END AS statement_balance_cents, CASE WHEN NOT bad AND NOT closed THEN total END AS actual_balance_cents
     FROM (SELECT source_id, bool_or(unreadable) AS bad, count(DISTINCT doc) AS files, count(*) FILTER (NOT r.pending) AS n,
+        count(*) FILTER (NOT r.pending AND seen) AS old, count(*) FILTER (NOT r.pending AND seen AND m = 1) AS rewritten,
+        count(*) FILTER (NOT r.pending AND NOT seen AND m = 11) AS november, count(*) FILTER (NOT r.pending AND NOT seen AND m = 12) AS december,
         count(*) FILTER (r.pending) AS pending, min(booking_date) FILTER (NOT r.pending) AS lo, max(booking_date) FILTER (NOT r.pending) AS hi,
         CAST(sum(CASE WHEN kind IN ('1-URGENT', '4-NOT SPECIFIED') THEN value ELSE -value END) FILTER (NOT r.pending) AS BIGINT) AS total,
         CASE WHEN bool_or(unreadable) THEN 'error' ELSE 'ok' END AS status,
         CASE WHEN bool_or(unreadable) THEN 'no encoding reads the file' END AS error
-      FROM (SELECT *, status = 'P' AS pending FROM file_rows) r GROUP BY source_id)
+      FROM (SELECT *, status = 'P' AS pending, year(booking_date) < 1997 AS seen, month(booking_date) AS m FROM file_rows) r GROUP BY source_id)
     JOIN (SELECT id AS source_id, actual_account AS account FROM sources) USING (source_id)
     JOIN (SELECT name AS account, closed FROM accounts) USING (account)
     LEFT JOIN (SELECT source_id, balance_cents FROM file_balances JOIN file_docs USING (source_id, doc) WHERE last_booking IS NOT NULL
@@ -1012,6 +1016,6 @@ view(
     "accounts",
 )
 register("full_import", "SELECT * FROM import_result", "import_result")
-register("stream_import", "SELECT source_id, added AS ledger_rows FROM import_result WHERE status = 'ok'", "import_result")
+register("stream_import", "SELECT source_id, fetched AS ledger_rows FROM import_result WHERE status = 'ok'", "import_result")
 register("stream_distinct_events", "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 QUERIES["categorization_round"] = QUERIES["approve_decide"]

@@ -68,12 +68,14 @@ class ReviewRound:
         added = good.select(
             F.col("rule_id").alias("id"), F.lit(last + 1).alias("rule_order"), "conditions", "actions",
             F.lit(False).alias("tombstone"),
-        )
+        ).join(known.select("id"), "id", "left_anti")  # a pair that was approved before has its rule
         tables = {
             "rule": known.unionByName(added),
             "category_proposal": proposals.decide(queue, good.select("id", "rule_id"), proposals.APPROVED, self.at),
         }
-        filled = cut_lineage(rules.rule_backfill(self.uncategorised(), good).select("id", "new_category_id", "payee"))
+        filled = cut_lineage(
+            rules.rule_backfill(self.uncategorised(), good).select("id", "new_category_id", "payee").dropDuplicates(["id"])
+        )
         if apply:
             rows = self._state("budget_txn")
             tables["budget_txn"] = (

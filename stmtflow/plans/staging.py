@@ -273,7 +273,9 @@ def booked_transactions(t: Tables) -> DataFrame:
         t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            F.concat_ws("-", text("l_orderkey"), text("l_linenumber"), text("l_partkey")).alias("id"),
+            F.concat_ws(
+                "-", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey"), text(cents(F.col("l_extendedprice")))
+            ).alias("id"),
             F.concat(F.lit("acct"), text("s_nationkey")).alias("account_id"),
             F.to_date("l_shipdate").alias("booking_date"),
             (
