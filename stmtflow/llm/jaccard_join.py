@@ -11,9 +11,8 @@ Any order gives the same links, this one smaller regions.
 
 Regions are then joined recursively and exactly:
 
-* A region of at most ``SMALL`` texts offers all its pairs whose sizes allow a link. A pair is compared if it meets in so many
-  regions as a link needs: what two texts share beyond the window of the one whose window ends first is at most what lies
-  beyond it.
+* A region of at most ``SMALL`` texts offers all its pairs whose sizes allow a link. A pair is compared if the regions in which it
+  meets, and what both have beyond the last of them in the common order, can make up the overlap of a link.
 * Texts of larger regions (passages or copies shared by many) are partitioned anew among themselves: first with the pivots of
   those regions last in the order, then, what is still in a large region, with the rarest shingles first, counted exactly. A
   passage then makes no region.
@@ -46,7 +45,7 @@ from stmtflow.session import cut_lineage, scratch
 
 WORDS, PERCENT = 5, 80
 #: Texts in a region that compares all pairs; rounds of pivot texts; members that meet a pivot in one task.
-SMALL, ROUNDS, MEMBERS = 128, 3, 4096
+SMALL, ROUNDS, MEMBERS = 128, 1, 4096
 #: Shingles that come last in the order, at most; texts of one batch that must share a shingle to propose it.
 LAST, SHARED = 1 << 18, 4
 #: Texts that a task holds the shingles of at once.
@@ -123,15 +122,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, HELD)
 
 
-def needed(n: Column, pn: Column, percent: int) -> Column:
-    """How many shingles inside both windows a linked pair of these sizes shares at least.
+def least_overlap(percent: int) -> Column:
+    """Shingles that a linked pair of sizes n and pn has in common at least."""
+    return F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent))
 
-    With o the least overlap of a link, and the window of the one that ends first followed by at most r shingles, the
-    pair shares o - r or more before that end, and all of these lie in both windows.
+
+def beyond(size: str, percent: int) -> Column:
+    """Shingles of a set after its window."""
+    return F.floor((percent * F.col(size) + 99) / 100) - 1
+
+
+def possible(percent: int) -> Column:
+    """Whether a pair can be a link that meets in ``regions`` shingles, the last at places ``at`` and ``pat`` of their orders.
+
+    Whatever else it shares comes after both places, and after the end of the window that ends first.
     """
-    overlap = F.ceil(percent * (n + pn) / (100 + percent))
-    beyond = lambda x: F.floor((percent * x + 99) / 100) - 1
-    return F.greatest(F.lit(1), overlap - F.greatest(beyond(n), beyond(pn)))
+    after = F.least(F.col("n") - 1 - F.col("at"), F.col("pn") - 1 - F.col("pat"))
+    return F.col("regions") + F.least(after, F.greatest(beyond("n", percent), beyond("pn", percent))) >= least_overlap(percent)
 
 
 def _last(docs: DataFrame, words: int) -> np.ndarray:
@@ -164,7 +171,7 @@ def _window(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, last: np.ndarray, words: int, percent: int, small: int) -> DataFrame:
-    """(doc_id, place, key, n, hot, cells): the set's identity and the pivots whose windows it lies in.
+    """(doc_id, place, key, n, hot, cells): the set's identity and the pivots whose windows it lies in, with their place in its order.
 
     A pivot that more than ``small`` sets of a batch share is large for sure: its sets are marked hot, and only so many
     of them name it as the others need to see that it is large.
@@ -195,56 +202,64 @@ def _sets(docs: DataFrame, last: np.ndarray, words: int, percent: int, small: in
             hot = np.zeros(len(cells), dtype=bool)
             hot[of[large]] = True
             offsets = np.concatenate([[0], np.cumsum(np.bincount(of[named], minlength=len(cells)))]).astype(np.int32)
+            begins = np.cumsum([0, *(len(c) for c in cells)])[:-1]
+            at = np.arange(len(flat)) - begins[of]
+            points = pa.StructArray.from_arrays([pa.array(flat[named].view(np.int64)), pa.array(at[named].astype(np.int32))], names=["cell", "at"])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array(keys, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(hot),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[named].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(offsets), points),
                 ],
                 ["doc_id", "place", "key", "n", "hot", "cells"],
             )
 
-    return docs.select("doc_id", "place", "text").mapInArrow(run, "doc_id long, place long, key long, n long, hot boolean, cells array<long>")
+    return docs.select("doc_id", "place", "text").mapInArrow(run, "doc_id long, place long, key long, n long, hot boolean, cells array<struct<cell: long, at: int>>")
 
 
-def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
-    """Of the regions of (cell, key, n): pairs (key, n, pkey, pn, regions) of small ones, (key, n, null, null, ...) per set of a large
-    one, and (cell, -1, null, null, sets) per large one; ``regions`` counts the small ones in which a pair meets.
+def _met(sets: DataFrame, percent: int, small: int) -> DataFrame:
+    """Of the regions of ``sets``: pairs (key, n, pkey, pn, regions, at, pat) that meet in small ones, (key, n, null ...) per set of a
+    large one, and (cell, -1, null, null, sets ...) per large one.
+
+    ``regions`` counts the small ones in which a pair meets, ``at`` and ``pat`` are the last places at which it does.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        held = [np.empty(0, np.int64)] * 4
         large: int | None = None  # the cell at hand, if it is known to be large
 
-        def emit(key, n, pkey, pn) -> pa.RecordBatch:
-            rows = np.stack([key, n, pkey, pn])[:, np.lexsort((pn, pkey, n, key))]
-            first = np.flatnonzero(np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])) if rows.size else np.empty(0, int)
+        def emit(key, n, pkey, pn, at, pat) -> pa.RecordBatch:
+            order = np.lexsort((pn, pkey, n, key))
+            rows = np.stack([key, n, pkey, pn, at, pat])[:, order]
+            first = np.flatnonzero(np.concatenate([[True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)])) if rows.size else np.empty(0, int)
             times = np.diff(np.append(first, rows.shape[1]))
+            last = [np.maximum.reduceat(rows[i], first) if len(first) else rows[i] for i in (4, 5)]
             rows = rows[:, first]
             columns = [pa.array(rows[0]), pa.array(rows[1]), *(pa.array(rows[i], mask=rows[3] == 0) for i in (2, 3)), pa.array(times)]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "n", "pkey", "pn", "regions"])
+            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, last)], names=["key", "n", "pkey", "pn", "regions", "at", "pat"])
 
-        def marked(cell, key, n) -> pa.RecordBatch:
+        def marked(cell, key, n, _) -> pa.RecordBatch:
             key, n = np.concatenate([key, cell]), np.concatenate([n, np.full_like(n, -1)])
-            return emit(key, n, np.zeros_like(key), np.zeros_like(n))
+            return emit(key, n, *[np.zeros_like(key)] * 4)
 
-        def regions(cell, key, n) -> Iterator[pa.RecordBatch]:
+        def regions(cell, key, n, at) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(cell), dtype=bool)
             new[1:] = (cell[1:] != cell[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])
-            cell, key, n = cell[new], key[new], n[new]
+            cell, key, n, at = (c[new] for c in (cell, key, n, at))
             first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             sizes = np.diff(np.append(first, len(cell)))
             size = np.repeat(sizes, sizes)
             big = size > small
             if big.any():
-                yield marked(cell[big], key[big], n[big])
+                yield marked(cell[big], key[big], n[big], None)
             keep = (size > 1) & ~big
-            cell, key, n = cell[keep], key[keep], n[keep]
+            cell, key, n, at = (c[keep] for c in (cell, key, n, at))
             found = []
-            for k in range(1, small):
-                i = np.flatnonzero((cell[:-k] == cell[k:]) & (100 * n[:-k] >= percent * n[k:])) if k < len(cell) else []
-                if k >= len(cell) or not (cell[:-k] == cell[k:]).any():
+            for k in range(1, min(small, len(cell))):
+                near = cell[:-k] == cell[k:]
+                if not near.any():
                     break
-                found.append(np.stack([key[i], n[i], key[i + k], n[i + k]]))
+                i = np.flatnonzero(near & (100 * n[:-k] >= percent * n[k:]))
+                found.append(np.stack([key[i], n[i], key[i + k], n[i + k], at[i], at[i + k]]))
             if found:
                 yield emit(*np.concatenate(found, axis=1))
 
@@ -264,13 +279,14 @@ def _met(cells: DataFrame, percent: int, small: int) -> DataFrame:
             held, large = [c[last:] for c in columns], None
             if len(np.unique(held[1])) > small:
                 yield marked(*held)
-                held, large = [np.empty(0, np.int64)] * 3, int(columns[0][-1])
+                held, large = [np.empty(0, np.int64)] * 4, int(columns[0][-1])
         if len(held[0]):
             yield from regions(*held)
 
+    cells = sets.select("key", "n", F.explode("cells").alias("c")).select("c.cell", "key", "n", F.col("c.at").cast("bigint").alias("at"))
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "n", "key")
-    met = ordered.select("cell", "key", "n").mapInArrow(run, "key long, n long, pkey long, pn long, regions long")
-    return met.groupBy("key", "n", "pkey", "pn").agg(F.sum("regions").alias("regions"))
+    met = ordered.mapInArrow(run, "key long, n long, pkey long, pn long, regions long, at long, pat long")
+    return met.groupBy("key", "n", "pkey", "pn").agg(F.sum("regions").alias("regions"), F.max("at").alias("at"), F.max("pat").alias("pat"))
 
 
 def _full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -289,7 +305,8 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _rarest_first(full: DataFrame, percent: int) -> DataFrame:
-    """(cell, key, n, places): the windows of texts among themselves, rarest shingles first; ``places`` counts a text's regions.
+    """(cell, key, n, at, places): the windows of texts among themselves, rarest shingles first; ``at`` is the place in that order,
+    ``places`` counts a text's regions.
 
     Shingles of a single text come first of all and have no region.
     """
@@ -300,7 +317,7 @@ def _rarest_first(full: DataFrame, percent: int) -> DataFrame:
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     left = length - (F.col("n") - F.count(F.lit(1)).over(own))
     held = known.withColumns({"_first": first, "_left": left, "_all": F.count(F.lit(1)).over(own)}).where("_first <= _left")
-    return held.select("cell", "key", "n", F.least("_left", "_all").alias("places"))
+    return held.select("cell", "key", "n", (F.col("n") - F.col("_all") + F.col("_first") - 1).alias("at"), F.least("_left", "_all").alias("places"))
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -367,12 +384,14 @@ def _linked(measured: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_inside(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each region whose sizes allow a link."""
-    other = cells.select("cell", F.col("key").alias("pkey"), F.col("n").alias("pn"))
+    """Pairs of the regions that may be links."""
+    other = cells.select("cell", F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("at").alias("pat"))
     smaller = (F.col("n") < F.col("pn")) | ((F.col("n") == F.col("pn")) & (F.col("key") < F.col("pkey")))
     sizes = 100 * F.col("n") >= percent * F.col("pn")
-    met = cells.join(other, "cell").where(smaller & sizes).groupBy("key", "n", "pkey", "pn").agg(F.count(F.lit(1)).alias("regions"))
-    return met.where(F.col("regions") >= needed(F.col("n"), F.col("pn"), percent)).drop("regions")
+    met = cells.join(other, "cell").where(smaller & sizes).groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("regions"), F.max("at").alias("at"), F.max("pat").alias("pat")
+    )
+    return met.where(possible(percent)).select(*PAIR)
 
 
 def _merged(rows: DataFrame, region: list[str]) -> DataFrame:
@@ -410,16 +429,15 @@ def _still_open(regions: DataFrame, measured: DataFrame, links: DataFrame, perce
     own = F.struct(F.col("key"), F.col("n"))
     grouped = rest.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
     mixed = grouped.groupBy("pkey", "pn").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    return grouped.join(mixed.select("pkey", "pn"), ["pkey", "pn"], "left_semi").select(*PAIR, "places", "group")
+    return grouped.join(mixed.select("pkey", "pn"), ["pkey", "pn"], "left_semi").select(*PAIR, "places", "group", "d")
 
 
 def _often_enough(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of :func:`_met` that meet in as many small regions as a link needs.
+    """Pairs of :func:`_met` that meet in enough small regions to be a link.
 
     Others are no link, or both texts are hot, and all pairs of hot texts are looked at again.
     """
-    pairs = met.where("pn is not null")
-    return pairs.where(F.col("regions") >= needed(F.col("n"), F.col("pn"), percent)).select(*PAIR)
+    return met.where("pn is not null").where(possible(percent)).select(*PAIR)
 
 
 def _hot(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -432,7 +450,7 @@ def links_between_sets(
     rounds: int = ROUNDS,
 ) -> DataFrame:
     """(key, n, pkey, pn): links whose groups are those of all links. ``sets`` is the table of :func:`_sets`."""
-    met = cut_lineage(_met(sets.select("key", "n", F.explode("cells").alias("cell")), percent, small))
+    met = cut_lineage(_met(sets, percent, small))
     pairs, hot = _often_enough(met, percent), _hot(met, sets)
     ends = pairs.select("key", "n").union(pairs.select("pkey", "pn"))
     wanted = hot.withColumn("hot", F.lit(True)).unionByName(ends.withColumn("hot", F.lit(False)))
@@ -450,7 +468,7 @@ def links_between_sets(
     again = cut_lineage(
         _sets(texts.where("hot").select(*nowhere, "text"), np.union1d(last, large.view(np.uint64)), words, percent, small)
     )
-    met_again = cut_lineage(_met(again.select("key", "n", F.explode("cells").alias("cell")), percent, small))
+    met_again = cut_lineage(_met(again, percent, small))
     still_hot = _hot(met_again, again)
 
     # what is still hot, with the rarest shingles first
@@ -468,17 +486,24 @@ def links_between_sets(
     for _ in range(rounds):
         if regions.isEmpty():
             return links
-        rest = _still_open(regions, measured, links, percent).drop("group").withColumnsRenamed({"pkey": "rkey", "pn": "rn"})
+        rest = _still_open(regions, measured, links, percent).drop("group", "d").withColumnsRenamed({"pkey": "rkey", "pn": "rn"})
         regions = cut_lineage(_merged(rest, ["rkey", "rn"]))
         fresh = regions.where(_fits(percent)).select(*PAIR).join(measured.select(*PAIR), PAIR, "left_anti")
         measured = cut_lineage(measured.unionByName(_measured(fresh, texts, words)))
         links = _linked(measured, percent)
     if regions.isEmpty():
         return links
-    # what no pivot could part: all pairs of texts of different groups
+    # what no pivot could part: pairs of texts of different groups. Distances to the pivot must allow a link (triangle
+    # inequality), and the regions both lie in, with what lies beyond their windows, must allow its overlap
     rest = cut_lineage(_still_open(regions, measured, links, percent).withColumnsRenamed({"pkey": "rkey", "pn": "rn"}))
-    other = rest.select("rkey", "rn", F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("group").alias("pgroup"))
-    last_pairs = rest.join(other, ["rkey", "rn"]).where(F.col("group") < F.col("pgroup")).where(_fits(percent))
+    other = rest.select(
+        "rkey", "rn", F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("group").alias("pgroup"), F.col("d").alias("pd"),
+        F.col("places").alias("pplaces"),
+    )
+    enough = F.least("places", "pplaces") + F.greatest(beyond("n", percent), beyond("pn", percent)) >= least_overlap(percent)
+    near = F.abs(F.col("d") - F.col("pd")) <= (100 - percent) / 100 + 1e-9
+    both = ["rkey", "rn"]
+    last_pairs = rest.join(other, both).where((F.col("group") < F.col("pgroup")) & near & enough & _fits(percent))
     return links.union(_linked(_measured(last_pairs.select(*PAIR).distinct(), texts, words), percent))
 
 
