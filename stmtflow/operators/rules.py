@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtflow.functions.ranking import first_in_group
+from stmtflow.session import cut_lineage
 
 CONDITIONS = "array<struct<field:string,op:string,value:string>>"
 LISTED = "array<string>"
@@ -117,7 +118,8 @@ def _contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def rule_outcomes(transactions: DataFrame, rules: DataFrame) -> DataFrame:
     """Category the rules give to each distinct (payee_id, imported_payee) that matches any."""
-    seen = transactions.select("payee_id", "imported_payee").distinct()
+    # far fewer than the transactions, and read by every kind of condition
+    seen = cut_lineage(transactions.select("payee_id", "imported_payee").distinct())
     conditions = rule_conditions(rules)
     carried = ["rule_id", "rule_order", "category_id", "size", "position"]
     by_payee = seen.join(_payee_conditions(conditions).select(*carried, "payee_id").distinct(), "payee_id")

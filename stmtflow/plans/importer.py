@@ -103,8 +103,9 @@ class ImportJob:
             self.store.write(run_id, {"import_run": log.unionByName(fetched)})
             return result
 
-        after = cut_lineage(importing.apply_plan(existing, plan))
-        worth = balances.account_balance(after, state("account"))
+        # written where it will stay; balances are read from it
+        after = self.store.stage(run_id, "budget_txn", importing.apply_plan(existing, plan))
+        worth = balances.account_balance(after.frame, state("account"))
         result = self._kept(
             counters.join(worth.select("account_id", F.col("balance_cents").alias("_b")), "account_id", "left")
             .withColumn("actual_balance_cents", F.when(F.col("status") == runs.OK, F.col("_b")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,13 @@ class StateChanged(Exception):
     """Another run has committed since this run read the state."""
 
 
+class Staged(NamedTuple):
+    """A snapshot that is written and not yet current."""
+
+    path: str
+    frame: DataFrame
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -63,17 +71,22 @@ class SnapshotStore:
     def read(self, name: str) -> DataFrame:
         return self.state()(name)
 
-    def write(self, run_id: str, tables: dict[str, DataFrame]) -> None:
+    def stage(self, run_id: str, name: str, df: DataFrame) -> Staged:
+        """Writes a snapshot that a later ``write`` of the run makes current; until then nobody else sees it."""
+        path = f"{name}/{run_id}-{uuid.uuid4().hex[:12]}"
+        ordered = df.select(*self.spark.createDataFrame([], TABLES[name]).columns)
+        key = PARTITIONED.get(name)
+        # evens out the files: large sources are split, small ones share a task
+        rows = ordered.hint("rebalance", key) if key else ordered.hint("rebalance")
+        writer = rows.write.mode("errorifexists")
+        (writer.partitionBy(key) if key else writer).parquet(f"{self.root}/{path}")
+        return Staged(path, self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{path}"))
+
+    def write(self, run_id: str, tables: dict[str, DataFrame | Staged]) -> None:
+        """Makes new versions of the tables current, all at once."""
         started = self._started.get(run_id)
-        paths = {}
-        for name, df in tables.items():
-            paths[name] = f"{name}/{run_id}-{uuid.uuid4().hex[:12]}"
-            ordered = df.select(*self.spark.createDataFrame([], TABLES[name]).columns)
-            key = PARTITIONED.get(name)
-            # evens out the files: large sources are split, small ones share a task
-            rows = ordered.hint("rebalance", key) if key else ordered.hint("rebalance")
-            writer = rows.write.mode("errorifexists")
-            (writer.partitionBy(key) if key else writer).parquet(f"{self.root}/{paths[name]}")
+        staged = {name: df if isinstance(df, Staged) else self.stage(run_id, name, df) for name, df in tables.items()}
+        paths = {name: s.path for name, s in staged.items()}
         last, base = self._last(), self._base(run_id)
         if started is not None and base["seq"] != started:
             raise StateChanged(f"run {run_id} started from commit {started}, but commit {base['seq']} is another run's")
