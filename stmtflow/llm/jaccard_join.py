@@ -44,8 +44,8 @@ from stmtflow.llm.common import column_of, fenced, with_row_identity
 from stmtflow.session import cut_lineage, scratch
 
 WORDS, PERCENT = 5, 80
-#: Texts in a region that compares all pairs; rounds of pivot texts; members that meet a pivot in one task.
-SMALL, ROUNDS, MEMBERS = 128, 1, 4096
+#: Texts in a region that compares all pairs; further rounds of pivot texts; members that meet a pivot in one task.
+SMALL, ROUNDS, MEMBERS = 128, 0, 4096
 #: Shingles that come last in the order, at most; texts of one batch that must share a shingle to propose it.
 LAST, SHARED = 1 << 18, 4
 #: Texts that a task holds the shingles of at once.
@@ -289,35 +289,47 @@ def _met(sets: DataFrame, percent: int, small: int) -> DataFrame:
     return met.groupBy("key", "n", "pkey", "pn").agg(F.sum("regions").alias("regions"), F.max("at").alias("at"), F.max("pat").alias("pat"))
 
 
-def _full_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(key, n, cell): every shingle of every text."""
+def _counted(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, n, cell, late, named): the shingles that may lie in the windows of an order by counts.
+
+    That order has the lower half of all hashes first, by count, and then the upper half by hash; so the upper half need
+    not be counted, and a text names only as many of it as its window has room for. ``named`` is their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [shingles(value.as_py(), words) for value in batch.column(2)]
-            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            whole = pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat)], ["key", "n", "cell"])
+            lower = [int(np.searchsorted(s, _U(1 << 63))) for s in sets]
+            sizes = [max(k, min(len(s), prefix_length(len(s), percent))) for k, s in zip(lower, sets, strict=True)]
+            of = np.repeat(np.arange(len(sets)), sizes)
+            flat = np.concatenate([np.empty(0, np.uint64), *(s[:k] for s, k in zip(sets, sizes, strict=True))])
+            late = flat >= _U(1 << 63)
+            at, named = pa.array(of), np.array(sizes, dtype=np.int64)[of]
+            whole = pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(flat.view(np.int64)), pa.array(late), pa.array(named)],
+                ["key", "n", "cell", "late", "named"],
+            )
             for start in range(0, whole.num_rows, 1 << 18):
                 yield whole.slice(start, 1 << 18)
 
-    return texts.select("key", "n", "text").mapInArrow(run, "key long, n long, cell long")
+    return texts.select("key", "n", "text").mapInArrow(run, "key long, n long, cell long, late boolean, named long")
 
 
-def _rarest_first(full: DataFrame, percent: int) -> DataFrame:
-    """(cell, key, n, at, places): the windows of texts among themselves, rarest shingles first; ``at`` is the place in that order,
-    ``places`` counts a text's regions.
+def _rarest_first(counted: DataFrame, percent: int) -> DataFrame:
+    """(cell, key, n, at, places): the windows of texts among themselves in the order of :func:`_counted`.
 
-    Shingles of a single text come first of all and have no region.
+    Shingles of a single text come before others of their half and have no region. ``at`` is a place in that order that a
+    shingle has at least, ``places`` counts a text's regions.
     """
-    shared = full.groupBy("cell").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    known = full.join(shared, "cell")
+    shared = counted.groupBy("cell").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    known = counted.join(shared, "cell")
     own = Window.partitionBy("key", "n")
-    first = F.row_number().over(own.orderBy("texts", "cell"))
+    upper_by_hash = F.when(F.col("late"), F.lit(0)).otherwise(F.col("texts"))
+    first = F.row_number().over(own.orderBy("late", upper_by_hash, "cell"))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    left = length - (F.col("n") - F.count(F.lit(1)).over(own))
+    left = length - (F.col("named") - F.count(F.lit(1)).over(own))
     held = known.withColumns({"_first": first, "_left": left, "_all": F.count(F.lit(1)).over(own)}).where("_first <= _left")
-    return held.select("cell", "key", "n", (F.col("n") - F.col("_all") + F.col("_first") - 1).alias("at"), F.least("_left", "_all").alias("places"))
+    return held.select("cell", "key", "n", (F.col("_first") - 1).cast("bigint").alias("at"), F.least("_left", "_all").alias("places"))
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -391,7 +403,7 @@ def _pairs_inside(cells: DataFrame, percent: int) -> DataFrame:
     met = cells.join(other, "cell").where(smaller & sizes).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("regions"), F.max("at").alias("at"), F.max("pat").alias("pat")
     )
-    return met.where(possible(percent)).select(*PAIR)
+    return met.where(possible(percent)).select(*PAIR, "regions")
 
 
 def _merged(rows: DataFrame, region: list[str]) -> DataFrame:
@@ -437,7 +449,7 @@ def _often_enough(met: DataFrame, percent: int) -> DataFrame:
 
     Others are no link, or both texts are hot, and all pairs of hot texts are looked at again.
     """
-    return met.where("pn is not null").where(possible(percent)).select(*PAIR)
+    return met.where("pn is not null").where(possible(percent)).select(*PAIR, "regions")
 
 
 def _hot(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -472,16 +484,28 @@ def links_between_sets(
     still_hot = _hot(met_again, again)
 
     # what is still hot, with the rarest shingles first
-    left = cut_lineage(_rarest_first(_full_sets(texts.join(still_hot, ["key", "n"], "left_semi"), words), percent))
+    left = cut_lineage(_rarest_first(_counted(texts.join(still_hot, ["key", "n"], "left_semi"), words, percent), percent))
     sized = left.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     few = left.join(sized.where((F.col("size") > 1) & (F.col("size") <= small)), "cell", "left_semi")
     many = left.join(sized.where(F.col("size") > small), "cell", "left_semi")
     regions = cut_lineage(_merged(many, ["cell"]))
 
     texts = texts.drop("hot")
-    first = pairs.union(_often_enough(met_again, percent)).union(_pairs_inside(few, percent).select(*PAIR))
-    first = first.union(regions.where(_fits(percent)).select(*PAIR)).distinct()
-    measured = cut_lineage(_measured(first, texts, words))
+    star = regions.where(_fits(percent)).select(*PAIR, F.lit(0).cast("bigint").alias("regions"))
+    offered = pairs.unionByName(_often_enough(met_again, percent)).unionByName(_pairs_inside(few, percent))
+    offered = cut_lineage(offered.groupBy(*PAIR).agg(F.max("regions").alias("regions")))
+    # first each text with the partners that it meets most often, and the members of large regions with their pivot; then only
+    # pairs that these links have not brought into one group
+    up = offered.groupBy("key", "n").agg(F.max(F.struct("regions", "pkey", "pn")).alias("b")).select("key", "n", "b.pkey", "b.pn")
+    down = offered.groupBy("pkey", "pn").agg(F.max(F.struct("regions", "key", "n")).alias("b")).select("b.key", "b.n", "pkey", "pn")
+    measured = cut_lineage(_measured(up.union(down).union(star.select(*PAIR)).distinct(), texts, words))
+    groups = cut_lineage(components(_linked(measured, percent)))
+    mine = groups.withColumnRenamed("group", "_g")
+    theirs = groups.select(F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("group").alias("_h"))
+    apart = ~(F.col("_g").isNotNull() & F.col("_h").isNotNull() & (F.col("_g") == F.col("_h")))
+    others = offered.select(*PAIR).join(mine, ["key", "n"], "left").join(theirs, ["pkey", "pn"], "left").where(apart).select(*PAIR)
+    others = others.join(measured.select(*PAIR), PAIR, "left_anti")
+    measured = cut_lineage(measured.unionByName(_measured(others, texts, words)))
     links = _linked(measured, percent)
     for _ in range(rounds):
         if regions.isEmpty():
