@@ -50,6 +50,8 @@ SMALL, ROUNDS, MEMBERS = 128, 0, 4096
 LAST, SHARED = 1 << 18, 4
 #: Texts that a task holds the shingles of at once.
 HELD = 4096
+#: Hashes below this are counted when shingles of hot texts are put in order; the others come last.
+COUNTED = np.uint64(7 << 61)
 PAIR = ["key", "n", "pkey", "pn"]
 
 _U = np.uint64
@@ -292,18 +294,18 @@ def _met(sets: DataFrame, percent: int, small: int) -> DataFrame:
 def _counted(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, n, cell, late, named): the shingles that may lie in the windows of an order by counts.
 
-    That order has the lower half of all hashes first, by count, and then the upper half by hash; so the upper half need
-    not be counted, and a text names only as many of it as its window has room for. ``named`` is their number.
+    That order has the hashes below ``COUNTED`` first, by count, and then the others by hash; so the others need not be
+    counted, and a text names only as many of them as its window has room for. ``named`` is the number it names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             sets = [shingles(value.as_py(), words) for value in batch.column(2)]
-            lower = [int(np.searchsorted(s, _U(1 << 63))) for s in sets]
+            lower = [int(np.searchsorted(s, COUNTED)) for s in sets]
             sizes = [max(k, min(len(s), prefix_length(len(s), percent))) for k, s in zip(lower, sets, strict=True)]
             of = np.repeat(np.arange(len(sets)), sizes)
             flat = np.concatenate([np.empty(0, np.uint64), *(s[:k] for s, k in zip(sets, sizes, strict=True))])
-            late = flat >= _U(1 << 63)
+            late = flat >= COUNTED
             at, named = pa.array(of), np.array(sizes, dtype=np.int64)[of]
             whole = pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(flat.view(np.int64)), pa.array(late), pa.array(named)],
@@ -318,7 +320,7 @@ def _counted(texts: DataFrame, words: int, percent: int) -> DataFrame:
 def _rarest_first(counted: DataFrame, percent: int) -> DataFrame:
     """(cell, key, n, at, places): the windows of texts among themselves in the order of :func:`_counted`.
 
-    Shingles of a single text come before others of their half and have no region. ``at`` is a place in that order that a
+    Shingles of a single text come before others of their part and have no region. ``at`` is a place in that order that a
     shingle has at least, ``places`` counts a text's regions.
     """
     shared = counted.groupBy("cell").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
