@@ -419,10 +419,15 @@ def _merged(rows: DataFrame, region: list[str]) -> DataFrame:
     return rows.join(pivots, same).select(F.col("_p").alias("pkey"), F.col("_pn").alias("pn"), "key", "n", "places").distinct()
 
 
+def _not_pivot() -> Column:
+    """Whether a member is not the pivot itself."""
+    return ~((F.col("key") == F.col("pkey")) & (F.col("n") == F.col("pn")))
+
+
 def _fits(percent: int) -> Column:
-    """Whether the sizes of a member and its pivot allow a link."""
+    """Whether the sizes of two different sets allow a link."""
     small, large = F.least("n", "pn"), F.greatest("n", "pn")
-    return (100 * small >= percent * large) & ~((F.col("key") == F.col("pkey")) & (F.col("n") == F.col("pn")))
+    return (100 * small >= percent * large) & _not_pivot()
 
 
 def _still_open(regions: DataFrame, measured: DataFrame, links: DataFrame, percent: int) -> DataFrame:
@@ -430,16 +435,13 @@ def _still_open(regions: DataFrame, measured: DataFrame, links: DataFrame, perce
 
     Regions whose texts are all of one group are gone.
     """
-    # where sizes rule a link out, the distance is at least the bound that the sizes give
-    bound = 1 - F.least("n", "pn") / F.greatest("n", "pn")
-    known = regions.join(measured, PAIR, "left").withColumn(
-        "d", F.coalesce(1 - F.col("common") / (F.col("n") + F.col("pn") - F.col("common")), bound)
-    )
+    # every distance is measured, also where sizes rule a link out: a bound would not do for the triangle inequality
+    distance = 1 - F.col("common") / (F.col("n") + F.col("pn") - F.col("common"))
+    known = regions.where(_not_pivot()).join(measured, PAIR).withColumn("d", distance)
     far = 100 * F.col("d") > 100 - percent + 1e-7
     nearest = known.where(far).groupBy("pkey", "pn").agg(F.min("d").alias("outer"))
     edge = F.col("outer") - (100 - percent) / 100 - 1e-9
-    pivot = (F.col("key") == F.col("pkey")) & (F.col("n") == F.col("pn"))
-    rest = known.join(nearest, ["pkey", "pn"]).where((far | (F.col("d") >= edge)) & ~pivot)
+    rest = known.join(nearest, ["pkey", "pn"]).where(far | (F.col("d") >= edge))
     own = F.struct(F.col("key"), F.col("n"))
     grouped = rest.join(components(links), ["key", "n"], "left").withColumn("group", F.coalesce("group", own))
     mixed = grouped.groupBy("pkey", "pn").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
@@ -493,7 +495,7 @@ def links_between_sets(
     regions = cut_lineage(_merged(many, ["cell"]))
 
     texts = texts.drop("hot")
-    star = regions.where(_fits(percent)).select(*PAIR, F.lit(0).cast("bigint").alias("regions"))
+    star = regions.where(_not_pivot()).select(*PAIR, F.lit(0).cast("bigint").alias("regions"))
     offered = pairs.unionByName(_often_enough(met_again, percent)).unionByName(_pairs_inside(few, percent))
     offered = cut_lineage(offered.groupBy(*PAIR).agg(F.max("regions").alias("regions")))
     # first each text with the partners that it meets most often, and the members of large regions with their pivot; then only
@@ -514,7 +516,7 @@ def links_between_sets(
             return links
         rest = _still_open(regions, measured, links, percent).drop("group", "d").withColumnsRenamed({"pkey": "rkey", "pn": "rn"})
         regions = cut_lineage(_merged(rest, ["rkey", "rn"]))
-        fresh = regions.where(_fits(percent)).select(*PAIR).join(measured.select(*PAIR), PAIR, "left_anti")
+        fresh = regions.where(_not_pivot()).select(*PAIR).join(measured.select(*PAIR), PAIR, "left_anti")
         measured = cut_lineage(measured.unionByName(_measured(fresh, texts, words)))
         links = _linked(measured, percent)
     if regions.isEmpty():

@@ -67,6 +67,24 @@ def test_groups_equal_all_pairs(spark, tmp_path, small, rounds):
     assert Counter(map(tuple, got)) == expected(rows)
 
 
+def test_links_of_texts_whose_sizes_do_not_fit_the_pivot(spark, tmp_path):
+    """Pairs that meet only in the passages of two families, one of them too short for a link to either family."""
+    names = iter(range(10**6))
+    own = lambda n: [f"w{next(names)}" for _ in range(n)]
+    texts = []
+    for length in (96, 100, 103):
+        first, second, usual, other = own(80), own(14), own(49), own(115)
+        for _ in range(8):
+            texts += [first + usual + own(1), second + other + own(1), usual + own(10), other + own(25)]
+        texts += [first + second + own(length - 94), first + second + own(12)]
+    rows = [(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
+    groups, sets = plain_groups(rows, 1)
+    least = {g: groups.index(g) for g in groups}
+    docs = stored(spark, tmp_path, rows)
+    got = jj.near_duplicates(docs, words=1, small=4).collect()
+    assert Counter(map(tuple, got)) == Counter((r[0], len(s), least[g]) for r, s, g in zip(rows, sets, groups))
+
+
 def test_one_row_of_each_group_stays(spark, tmp_path):
     rng = random.Random(7)
     rows = odd_rows(family(rng, 100, 20, 60, 2) + [(90, "a b c d e f g", "en", "a", 1)] * 9)
