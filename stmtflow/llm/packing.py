@@ -45,6 +45,10 @@ PIECES = (
 )
 
 
+#: The added token of ``byte_bpe_50k.json``, which the ranks lack.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """Byte-level BPE with the ids of ``byte_bpe_50k.json``, read from the same vocabulary kept as ranks.
@@ -56,7 +60,7 @@ def _encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 @lru_cache(maxsize=2)
@@ -71,7 +75,7 @@ def _sentence_ends(path: str) -> np.ndarray:
 
 def ids_of(text: str | None, path: str) -> np.ndarray:
     """Ids of a text and the closing id."""
-    ids = _encoder(path).encode_to_numpy(text or "", allowed_special=set(), disallowed_special=())
+    ids = _encoder(path).encode_to_numpy(text or "", allowed_special="all")
     return np.append(ids.astype(np.uint32), np.uint32(CLOSING))
 
 

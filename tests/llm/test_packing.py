@@ -13,6 +13,8 @@ from stmtflow.llm import packing
 from tests.llm.helpers import DOC, odd_rows, stored
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: As the contract calls it: special tokens in a text are tokens.
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +36,17 @@ def test_ids_of_all_documents(spark, tokenizer):
         assert packing.ids_of(r.text, PATH)[:-1].tolist() == tokenizer.encode(r.text or "", add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "é.", "<|", "endoftext|>", "12", "'s"]), max_size=12))
+def test_ids_of_special_tokens(parts):
+    assert packing.ids_of("".join(parts), PATH)[:-1].tolist() == PLAIN.encode("".join(parts), add_special_tokens=False).ids
+
+
+def test_special_tokens_in_a_table(spark, tmp_path):
+    docs = stored(spark, tmp_path, [(1, "a <|endoftext|> b", "en", "a", 17)])
+    assert [p.ids for p in packing.pack(docs, PATH, with_ids=True).collect()] == [[64, 220, 50256, 275, 0]]
+
+
 def plain_best(at, penalty, window):
     """Least cost by trying every transition."""
     best = [0] + [10**9] * (len(at) - 1)
