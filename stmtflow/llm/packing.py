@@ -63,6 +63,14 @@ def _encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """The tokenizers library with the vocabulary beside the ranks: slower, but it takes any text."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json")
+
+
 @lru_cache(maxsize=2)
 def _sentence_ends(path: str) -> np.ndarray:
     """For each id, whether a sentence may end with it."""
@@ -75,7 +83,10 @@ def _sentence_ends(path: str) -> np.ndarray:
 
 def ids_of(text: str | None, path: str) -> np.ndarray:
     """Ids of a text and the closing id."""
-    ids = _encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    try:
+        ids = _encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    except ValueError:  # its pattern gives up on white space of a million characters
+        ids = np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids)
     return np.append(ids.astype(np.uint32), np.uint32(CLOSING))
 
 

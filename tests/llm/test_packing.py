@@ -47,6 +47,14 @@ def test_special_tokens_in_a_table(spark, tmp_path):
     assert [p.ids for p in packing.pack(docs, PATH, with_ids=True).collect()] == [[64, 220, 50256, 275, 0]]
 
 
+@pytest.mark.parametrize("text", [" " * 1_200_000, "a." + "\n" * 1_200_000 + "<|endoftext|>b", "x" + " \t\n" * 400_000])
+def test_long_white_space(spark, tmp_path, text):
+    ids = [*PLAIN.encode(text, add_special_tokens=False).ids, 0]
+    docs = stored(spark, tmp_path, [(1, text, "en", "a", len(text)), (2, "b", "en", "a", 1)])
+    pieces = packing.pack(docs, PATH, with_ids=True).where("doc_id = 1").orderBy("start").collect()
+    assert [i for p in pieces for i in p.ids] == ids
+
+
 def plain_best(at, penalty, window):
     """Least cost by trying every transition."""
     best = [0] + [10**9] * (len(at) - 1)
