@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtflow.llm import jaccard_join, mixing, packing, personal_data, quality_rules
-from stmtflow.llm.common import column_of, fenced, table
+from stmtflow.llm.common import column_of, fenced, in_file_order, table
 from stmtflow.session import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -43,7 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: the pieces of all documents in sequences of at most 1024 tokens, in the order of the files."""
-    return packing.pack(docs).drop("row")
+    return packing.pack(in_file_order(docs)).drop("row")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -61,3 +61,24 @@ def with_row_identity(df: DataFrame, name: str) -> DataFrame:
         return placed(df)
     except AnalysisException:
         return placed(cut_lineage(df))
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """The rows in the order of the files they were written to, over partitions and inside them.
+
+    Spark reads the largest files first and several of them in one task. Names of its writers hold two numbers, of the task and
+    of the task's file. A frame that is not a plain read of files is written first.
+    """
+
+    def placed(frame: DataFrame) -> DataFrame:
+        place = frame.metadataColumn("_metadata")
+        file = place["file_name"]
+        numbers = [F.regexp_extract(file, found, 1).try_cast("bigint") for found in (r"^part-(\d+)", r"-c(\d+)\.")]
+        order = {"_part": numbers[0], "_nth": numbers[1], "_file": file, "_row": place["row_index"]}
+        return frame.withColumns(order).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    inner, back = fenced(df)
+    try:
+        return back(placed(inner), {})
+    except AnalysisException:
+        return back(placed(cut_lineage(inner)), {})

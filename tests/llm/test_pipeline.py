@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline as cp
-from stmtflow.llm import personal_data, quality_rules
+from stmtflow.llm import mixing, personal_data, quality_rules
 from stmtflow.llm.common import table
 from tests.llm.helpers import stored
 from tests.llm.test_jaccard_join import plain_groups
@@ -59,6 +59,18 @@ def test_each_stage_takes_effect(spark, steps):
         assert at == tokens
 
 
+def test_packing_keeps_the_order_of_the_mix(spark, tmp_path):
+    rows_ = [(i, "word " * (1 + i * i % 97), "en", "ab"[i % 3 == 0], 0) for i in range(120)]
+    made = mixing.mix(stored(spark, tmp_path, rows_), block_bytes=300, ordered=True)
+    made.write.option("maxRecordsPerFile", 9).parquet(str(tmp_path / "mixed"))
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    assert len(docs.inputFiles()) >= 12
+    place = {r.doc_id: (r.slot, r.offset) for r in docs.collect()}
+    pieces = cp.packed(spark, docs, FOLDER).orderBy("sequence_id", "offset").collect()
+    order = [place[p.doc_id] for p in pieces if p.start == 0]
+    assert len(order) == 120 and order == sorted(order)
+
+
 def test_run_equals_the_stages(spark, steps):
     # the order of the mix follows the place of rows in files, so cuts may differ from run to run, the documents not
     tokens = [rows(df.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"})) for df in (cp.run(spark, FOLDER), steps[-1])]
