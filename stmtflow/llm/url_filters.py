@@ -4,7 +4,7 @@ A rule ``host/path`` fits its host and all subdomains if the url's path starts w
 fitting rule decides. Where none fits, the host decides: trust starts at hosts with allowed pages and follows links
 (personalised PageRank), distrust starts at hosts with blocked pages and follows links backwards, because who links
 to a bad host is suspect. Both start in proportion to pages, so they compare; a host whose distrust makes up
-``threshold`` of both (and a little goodwill) is blocked. Links are summed to one edge per pair of hosts before any join.
+``threshold`` of both (and a little goodwill) is blocked. Steps go on until no verdict can change any more. Links are summed to one edge per pair of hosts before any join.
 
 Defined results: a null url, or one without ``://``, has empty host and path and is allowed unless a rule fits;
 null html has no links; repeated pages count as often as they occur; without links only the seeds count; an empty
@@ -32,6 +32,8 @@ RULES = (
 DAMPING, STEPS, THRESHOLD = 0.85, 8, 0.8
 #: Trust, in pages, that every host starts the comparison with: one or two blocked pages block no host.
 GOODWILL = 2.0
+#: What may still walk, in pages, when it can move no share by more than its rounding.
+TOLERANCE = 1e-10
 #: Steps of the walk that one plan holds before its result is written.
 STEPS_A_PLAN = 4
 
@@ -70,10 +72,13 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """Trust and distrust per host after ``steps`` steps: (kind, host, rank); seeds have the same columns.
+def spread(
+    edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = STEPS, threshold: float = THRESHOLD
+) -> DataFrame:
+    """Trust and distrust per host: (kind, host, rank); seeds have the same columns.
 
-    ``kind`` is "trust" (along links) or "distrust" (against them). A walk ends at a host without such links.
+    ``kind`` is "trust" (along links) or "distrust" (against them). A walk ends at a host without such links. With ``steps``
+    None steps go on until what still walks can change no host's verdict under ``threshold``.
     """
     ways = [
         edges.select(F.lit("trust").alias("kind"), F.col("source").alias("host"), F.col("target").alias("to"), "links"),
@@ -82,28 +87,53 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps:
     both = ways[0].unionByName(ways[1])
     total = both.groupBy("kind", "host").agg(F.sum("links").alias("all"))
     moves = cut_lineage(both.join(total, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("part")))
-    restart = seeds.withColumn("rank", F.col("rank") * (1 - damping))
-    rank = seeds
-    for step in range(1, steps + 1):
-        moved = rank.join(moves, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
-        rank = restart.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+    # rank has come to rest, walking goes on; a share of 1 - damping of it rests in each step
+    state = seeds.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("walking"))
+    step = 0
+    while steps is None or step < steps:
+        moved = state.where("walking > 0").join(moves, ["kind", "host"]).select(
+            "kind", F.col("to").alias("host"), F.lit(0.0).alias("rank"), (F.col("walking") * F.col("part") * damping).alias("walking")
+        )
+        rested = state.select("kind", "host", (F.col("rank") + F.col("walking") * (1 - damping)).alias("rank"), F.lit(0.0).alias("walking"))
+        state = rested.unionByName(moved).groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("walking").alias("walking"))
+        step += 1
         if step % STEPS_A_PLAN == 0 or step == steps:
-            rank = cut_lineage(rank)
-    return rank
+            state = cut_lineage(state)
+            if steps is None and _settled(state, threshold):
+                return state.select("kind", "host", "rank")
+    return state.select("kind", "host", (F.col("rank") + F.col("walking")).alias("rank"))
+
+
+def _of(kind: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+
+
+def _share(trust: Column, distrust: Column) -> Column:
+    # rounded, so that the order of additions cannot tip a host that lies on the threshold
+    return F.round(distrust / (trust + distrust + GOODWILL), 9)
+
+
+def _settled(state: DataFrame, threshold: float) -> bool:
+    """Whether no verdict can change: a host gets at most all that still walks, which each step shrinks by the damping."""
+    left = {r.kind: r.w for r in state.groupBy("kind").agg(F.sum("walking").alias("w")).collect()}  # two rows
+    trust, distrust = left.get("trust", 0.0), left.get("distrust", 0.0)
+    if max(trust, distrust) <= TOLERANCE:
+        return True
+    if distrust / (distrust + GOODWILL) >= threshold:  # hosts that no walk has reached
+        return False
+    least, most = _share(F.col("t") + trust, F.col("d")), _share(F.col("t"), F.col("d") + distrust)
+    known = state.groupBy("host").agg(_of("trust").alias("t"), _of("distrust").alias("d"))
+    return known.where((least < threshold) & (most >= threshold)).isEmpty()
 
 
 def blocked_hosts(rank: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(host) of the hosts that distrust outweighs."""
-    trust = F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0))
-    distrust = F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0))
-    # rounded, so that the order of additions cannot tip a host that lies on the threshold
-    share = F.round(distrust / (trust + distrust + GOODWILL), 9)
-    return rank.groupBy("host").agg(share.alias("share")).where(F.col("share") >= threshold).select("host")
+    return rank.groupBy("host").agg(_share(_of("trust"), _of("distrust")).alias("share")).where(F.col("share") >= threshold).select("host")
 
 
 def judge_urls(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, *, url: str = "url", html: str = "html",
-    damping: float = DAMPING, steps: int = STEPS, threshold: float = THRESHOLD,
+    damping: float = DAMPING, steps: int | None = None, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``pages`` with host, path, rule (null: none fits) and verdict."""
     inner, back = fenced(pages)
@@ -116,7 +146,7 @@ def judge_urls(
         seen.where("_rule is not null").groupBy(kind.alias("kind"), F.col("_host").alias("host"))
         .agg(F.count(F.lit(1)).cast("double").alias("rank"))
     )
-    bad = blocked_hosts(spread(edges, seeds, damping, steps), threshold).select(F.col("host").alias("_host"), F.lit("block").alias("_by_host"))
+    bad = blocked_hosts(spread(edges, seeds, damping, steps, threshold), threshold).select(F.col("host").alias("_host"), F.lit("block").alias("_by_host"))
     done = seen.join(bad, "_host", "left").withColumns(
         {
             "_verdict": F.coalesce(F.col("_rule.verdict"), F.col("_by_host"), F.lit("allow")),

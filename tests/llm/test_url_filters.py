@@ -59,6 +59,17 @@ def test_spread_equals_matrix_powers(spark):
     assert got["distrust", "alone"] == pytest.approx(2 * (1 - uf.DAMPING))
 
 
+def test_distrust_follows_long_chains_and_circles(spark, tmp_path):
+    bad = [(i, f"http://{'hk'[i % 2]}0.com/de/{i}", "") for i in range(2000)]
+    chain = [(2000 + i, f"http://h{i}.net/", f"<a href='http://h{i - 1}.{'com' if i == 1 else 'net'}/'>x</a>") for i in range(1, 20)]
+    circle = [(3000 + i, f"http://c{i}.net/", f"<a href='http://c{(i + 1) % 3}.net/'>x</a>" + "<a href='http://k0.com/'>x</a>" * (i == 0)) for i in range(3)]
+    got = judged(spark, tmp_path, bad + chain + circle)
+    for i in range(1, 20):
+        rank = 1000 * (1 - uf.DAMPING) * uf.DAMPING**i
+        assert got[2000 + i, f"http://h{i}.net/"].verdict == ("block" if rank / (rank + uf.GOODWILL) >= uf.THRESHOLD else "allow"), i
+    assert {got[3000 + i, f"http://c{i}.net/"].verdict for i in range(3)} == {"block"}
+
+
 def test_host_that_links_to_blocked_pages_is_blocked(spark, tmp_path):
     bad = [(i, f"http://bad.com/de/{i}", "") for i in range(300)]
     farm = [(1000 + i, f"http://farm.net/{i}", '<A HREF="https://bad.com/de/1">x</a> <a href="/local">') for i in range(5)]
