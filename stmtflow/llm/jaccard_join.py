@@ -9,7 +9,7 @@ holds its first n - ceil(0.8 n) + 1 shingles: a text within EPS lacks too few of
 The common order puts shingles that many texts share last, as far as a list of fixed size can say; then comes the hash.
 Any order gives the same links, this one smaller regions.
 
-Regions are then joined recursively and exactly:
+Regions are then joined exactly:
 
 * A region of at most ``SMALL`` texts offers all its pairs whose sizes allow a link. A pair is compared if the regions in which it
   meets, and what both have beyond the last of them in the common order, can make up the overlap of a link.
@@ -19,8 +19,8 @@ Regions are then joined recursively and exactly:
 * What is still large holds many similar texts. Its pivot is the text that lies in most regions (the least changed copy), and
   regions of one pivot become one; all distances to it are measured; texts within EPS of it are linked through it. Of the others (outer), distance d from the pivot, only inner texts at d - EPS or more
   from it can be near (triangle inequality): the next region holds the outer texts and those boundary texts. A region
-  whose texts have all become one group is done; one still open after ``ROUNDS`` rounds compares all pairs of different
-  groups.
+  whose texts have all become one group is done; one still open after ``ROUNDS`` further rounds of pivots compares all pairs
+  of different groups. ``ROUNDS`` is 0: the queries use one pivot for each region and do not recurse.
 
 Equal sets are one class from the start, so copies cost one text. Results need the groups, not all pairs; no link between
 different texts is lost. Shingles and sets are known by 64-bit hashes (a set also by its size); distances are counted
