@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtflow.llm import jaccard_join, language_model, mixing, neighbours, packing, personal_data, quality_classifier, quality_rules, sharding, url_filters
+from stmtflow.llm import (
+    inner_products, jaccard_join, language_model, mixing, neighbours, packing, periodic_runs, personal_data, quality_classifier,
+    quality_rules, sharding, token_alignment, url_filters,
+)
 from stmtflow.llm.common import table
 
 
@@ -78,9 +81,35 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words in each document, where every tenth one (by its id's checksum) ends in a planted run."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, folder, "documents").select("doc_id", periodic_runs.with_planted_tail(F.col("text"), hashed).alias("text"))
+    found = periodic_runs.find_runs(docs)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.start.alias("start"), best.length.alias("length"), best.period.alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in each document, with the links' counts over all documents."""
+    done = token_alignment.align(table(spark, folder, "documents"), groups="sha256")
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_inner_products(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 greatest integer inner products of every hundredth vector with all others."""
+    return inner_products.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_shuffle_shards, op3_jaccard_join, op4_personal_data, op5_pack, op6_language_model, op7_quality_classifier, op8_url_filters, op9_quality_rules, op10_neighbours,
+        op11_periodic_runs, op12_token_alignment, op13_inner_products,
     )
 }
