@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from stmtflow.functions import unicode
 
 # every character that counts as whitespace in Unicode, plus the four ASCII separators
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+WHITESPACE_ANY = f"{unicode.character_class(set(WHITESPACE))}+"
 
 
 def as_column(value: Column | str) -> Column:
@@ -34,28 +34,15 @@ EASTERN = "[^\t-\r\x1c-\x1f -~À-ÖØ-öø-ÿ]"
 NEEDS_CARE = "  |[^ -~]"
 
 
-@F.arrow_udf(StringType())
-def _norm_any(texts: pa.Array) -> pa.Array:
-    """The rule as Unicode states it, by the interpreter's tables (the JVM's may be of another version)."""
-    values = texts.to_pylist()
-    return pa.array([None if v is None else " ".join(unicodedata.normalize("NFKC", v).split()).upper() for v in values], type=pa.string())
-
-
-@F.arrow_udf(StringType())
-def _casefold_any(texts: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else v.casefold() for v in texts.to_pylist()], type=pa.string())
-
-
 def _by_script(c: Column, simple: Column, general: Callable[[Column], Column]) -> Column:
-    """``simple`` on the JVM, and ``general`` for texts with other characters; those alone reach the workers."""
-    other = c.rlike(EASTERN)
-    return F.when(other, general(F.when(other, c))).otherwise(simple)
+    """``simple`` where it holds, and ``general`` for texts with other characters; both on the JVM."""
+    return F.when(c.rlike(EASTERN), general(c)).otherwise(simple)
 
 
 def casefold(value: Column | str) -> Column:
     """Full Unicode case folding; for ASCII that is ``lower``."""
     c = as_column(value)
-    return _by_script(c, F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), _casefold_any)
+    return _by_script(c, F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), unicode.casefold)
 
 
 def squeeze(value: Column) -> Column:
@@ -66,12 +53,12 @@ def squeeze(value: Column) -> Column:
 def norm(value: Column | str) -> Column:
     """Comparison form of a statement text: NFKC, one blank between words, upper case.
 
-    Deterministic, so filters pass it. What it gives is stored in keys: it follows the Unicode version of the
-    workers' Python, and an upgrade of that is an upgrade of the stored keys.
+    Deterministic, so filters pass it, and without Python workers. What it gives is stored in keys: it follows the Unicode
+    version of the driver's Python (``unicode.version``), and an upgrade of that is an upgrade of the stored keys.
     """
     c = F.coalesce(as_column(value), F.lit(""))
     careful = F.when(c.rlike(NEEDS_CARE), squeeze(c)).otherwise(F.trim(c))
-    return _by_script(c, F.upper(careful), _norm_any)
+    return _by_script(c, F.upper(careful), lambda t: unicode.upper(F.trim(F.regexp_replace(unicode.nfkc(t), WHITESPACE_ANY, " "))))
 
 
 def loose_key(value: Column | str) -> Column:
