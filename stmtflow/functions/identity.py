@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stmtflow.functions.text import as_column, norm, strip
+from stmtflow.functions.text import as_column, norm_joined, strip
 
 # Part of every stored key.
 KEY_VERSION = "v1"
@@ -30,11 +30,7 @@ def canonical_text() -> Column:
         F.col("booking_date").cast("string"),
         F.col("amount_cents").cast("string"),
         F.upper("currency"),
-        norm(reference),
-        norm("counterpart_iban"),
-        norm("counterpart_name"),
-        norm("purpose"),
-        norm("posting_text"),
+        norm_joined([reference, *map(F.col, ("counterpart_iban", "counterpart_name", "purpose", "posting_text"))], SEPARATOR),
     )
 
 

@@ -50,6 +50,10 @@ def squeeze(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, WHITESPACE_RUN, " "))
 
 
+def _norm_any(text: Column) -> Column:
+    return unicode.upper(F.trim(F.regexp_replace(unicode.nfkc(text), WHITESPACE_ANY, " ")))
+
+
 def norm(value: Column | str) -> Column:
     """Comparison form of a statement text: NFKC, one blank between words, upper case.
 
@@ -57,8 +61,22 @@ def norm(value: Column | str) -> Column:
     version of the driver's Python (``unicode.version``), and an upgrade of that is an upgrade of the stored keys.
     """
     c = F.coalesce(as_column(value), F.lit(""))
-    careful = F.when(c.rlike(NEEDS_CARE), squeeze(c)).otherwise(F.trim(c))
-    return _by_script(c, F.upper(careful), lambda t: unicode.upper(F.trim(F.regexp_replace(unicode.nfkc(t), WHITESPACE_ANY, " "))))
+    return F.when(~c.rlike(NEEDS_CARE), F.upper(F.trim(c))).when(c.rlike(EASTERN), _norm_any(c)).otherwise(F.upper(squeeze(c)))
+
+
+def norm_joined(values: list[Column], separator: str) -> Column:
+    """The texts' comparison forms with ``separator`` (white space itself, so none of them holds it) between them.
+
+    Looked at together, as most rows are plain: those cost one search and no regular replacement.
+    """
+    texts = [F.coalesce(v, F.lit("")) for v in values]
+    trimmed = [F.trim(t) for t in texts]
+    together = F.concat(*trimmed)
+    return (
+        F.when(~together.rlike(NEEDS_CARE), F.upper(F.concat_ws(separator, *trimmed)))
+        .when(~together.rlike(EASTERN), F.upper(F.concat_ws(separator, *[squeeze(t) for t in texts])))
+        .otherwise(F.array_join(F.transform(F.array(*texts), _norm_any), separator))
+    )
 
 
 def loose_key(value: Column | str) -> Column:

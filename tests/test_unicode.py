@@ -43,3 +43,12 @@ def test_long_texts_and_no_workers(spark):
     check(spark, ["Zażółć gęślą jaźń ｶﾞ½ " * 3000, "e" + "̣́" * 200, "가" * 5000 + "ᄀ" + "ᅡ" + "ᆨ"])
     plan = spark.range(1).selectExpr("cast(id as string) t").select(text.norm("t"), text.loose_key("t"))._jdf.queryExecution().toString()
     assert "Python" not in plan
+
+
+def test_key_fields_together(spark):
+    rng = random.Random(4)
+    parts = ["Shop", "  two  blanks ", "Zürich", "ﬁn ①", "é", "", None, " ", "a\x1fb", "tab\there", "ＡＢ", "plain text"]
+    rows = [tuple(rng.choice(parts) for _ in range(3)) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "a string, b string, c string")
+    out = frame.select("*", text.norm_joined([frame.a, frame.b, frame.c], "\x1f").alias("n")).collect()
+    assert all(r.n == "\x1f".join(normed(t or "") for t in r[:3]) for r in out)
