@@ -9,7 +9,7 @@ from stmtflow.functions.identity import payee_name
 from stmtflow.functions.ranking import first_in_group
 from stmtflow.operators.keys import KEY
 from stmtflow.operators.ledger import NEW, UNCHANGED
-from stmtflow.operators.matching import SMALL_GROUP, adoptable, match_assign, match_exact
+from stmtflow.operators.matching import BLOCK, adoptable, match_assign, match_exact
 from stmtflow.operators.rules import rule_outcomes
 from stmtflow.session import cut_lineage
 
@@ -50,7 +50,7 @@ def importable(partitioned: DataFrame, resolved: DataFrame) -> DataFrame:
     )
 
 
-def import_plan(rows: DataFrame, existing: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
+def import_plan(rows: DataFrame, existing: DataFrame, block: int = BLOCK) -> DataFrame:
     """What happens to each new row: ``action`` and the transaction it concerns, if any.
 
     Exact matches have an import id and adoptable transactions have none, so the two steps
@@ -62,7 +62,7 @@ def import_plan(rows: DataFrame, existing: DataFrame, small_group: int = SMALL_G
         "action", F.when(F.col("differs"), UPDATED).otherwise(KEPT)
     )
     missing = exact.where("matched_id is null").drop("matched_id")
-    adopted = match_assign(missing, adoptable(existing), small_group).withColumnRenamed("id", "matched_id")
+    adopted = match_assign(missing, adoptable(existing), block).withColumnRenamed("id", "matched_id")
     other = missing.join(adopted, KEY, "left").withColumn(
         "action", F.when(F.col("matched_id").isNotNull(), ADOPTED).otherwise(CREATED)
     )

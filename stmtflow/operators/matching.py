@@ -7,9 +7,8 @@ day, then id.
 
 No step emits pairs. Reach is counted between (account, amount, day) classes, fifteen days per
 class. Rows and transactions that have only each other are settled by a join. What is contested
-falls into segments of an (account, amount) group that lie more than seven days apart. A segment is
-walked in one task if it is small (its size is counted first); larger ones are settled in rounds
-of joins, which give the same result (see ``settle_in_rounds``).
+falls into segments of an (account, amount) group that lie more than seven days apart. A segment is walked in
+blocks of rows, whatever its size; what a block took is carried to the later ones as counts (see ``settle_in_blocks``).
 """
 
 from __future__ import annotations
@@ -27,8 +26,7 @@ from stmtflow.session import cut_lineage
 DAYS = 7
 GROUP = ["account_id", "amount_cents"]
 SEGMENT = [*GROUP, "segment"]
-SMALL_GROUP = 500_000  # rows plus transactions of a segment that one task may walk
-PRIORITY = ["source_id", "booking_date", "source_key"]
+BLOCK = 50_000  # rows that one task walks
 
 
 def match_exact(rows: DataFrame, existing: DataFrame) -> DataFrame:
@@ -110,18 +108,19 @@ def match_candidates(rows: DataFrame, free: DataFrame) -> DataFrame:
     )
 
 
-def _walker(reach: int):
-    """The walk of one segment: rows choose in order. Days are day numbers.
+def _walker(reach: int, keys: list[str]):
+    """The walk of one block of rows, which choose by their number. Days are day numbers.
 
     An inner function travels to the workers by value, so they need not have this package.
     """
 
     def walk(rows: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
-        by_day, by_payee = defaultdict(list), defaultdict(list)
+        by_day, by_payee, seats = defaultdict(list), defaultdict(list), {}
         last_first = free.sort_values("id", ascending=False)
         for day, payee, ident in last_first[["day", "payee", "id"]].itertuples(index=False):
             by_day[day].append(ident)
             by_payee[day, payee].append(ident)
+            seats[ident] = day, payee
         offsets = sorted(range(-reach, reach + 1), key=lambda n: (abs(n), n))
         used = set()
 
@@ -131,111 +130,94 @@ def _walker(reach: int):
             return stack[-1] if stack else None
 
         taken = []
-        ordered = rows.sort_values(["source_id", "day", "source_key"])
-        for day, payee, _ in ordered[["day", "payee", "source_key"]].itertuples(index=False):
+        ordered = rows.sort_values("n")
+        for day, payee in ordered[["day", "payee"]].itertuples(index=False):
             choices = (
                 first_free(stacks[key])
-                for stacks, keys in (
+                for stacks, places in (
                     (by_payee, [(day + n, payee) for n in offsets]),
                     (by_day, [day + n for n in offsets]),
                 )
-                for key in keys
+                for key in places
                 if key in stacks
             )
             ident = next((i for i in choices if i is not None), None)
             if ident is not None:
                 used.add(ident)
             taken.append(ident)
-        out = ordered.assign(id=taken)
-        return out.loc[out["id"].notna(), ["source_id", "source_key", "id"]]
+        out = ordered[[*keys, "source_id", "source_key"]].assign(id=taken)
+        out = out.loc[out["id"].notna()]
+        places = [seats[i] for i in out["id"]]
+        return out.assign(day=[d for d, _ in places], payee=[p for _, p in places]).astype(object)
 
     return walk
 
 
-def settle_by_walk(rows: DataFrame, free: DataFrame) -> DataFrame:
-    """Contested groups of bounded size, each walked by one task."""
+def _in_order(rows: DataFrame, block: int) -> DataFrame:
+    """Rows numbered in an order that gives the same result as theirs, and cut into blocks of that many rows.
 
-    def numbered(df: DataFrame, day: str, *columns: str) -> DataFrame:
-        segment = F.col("segment").alias("segment")  # both sides got theirs from one frame
-        return df.select(*GROUP, segment, F.unix_date(day).alias("day"), F.coalesce("payee", F.lit("\0")).alias("payee"), *columns)
-
-    left = numbered(rows, "booking_date", "source_id", "source_key").groupBy(*SEGMENT)
-    right = numbered(free.withColumn("payee", F.coalesce("payee", F.lit("\1"))), "day", "id").groupBy(*SEGMENT)
-    return left.cogroup(right).applyInPandas(_walker(DAYS), "source_id string, source_key string, id string")
+    Two rows can only want the same seat if they lie within 14 days of each other. A source that comes later in the order
+    of choice is moved back by 15 days, so of two such rows the same one goes first, and each block needs the
+    seats of few days although every source has rows on all of them.
+    """
+    sources = rows.select(*SEGMENT, "source_id").distinct()
+    rank = F.row_number().over(Window.partitionBy(*SEGMENT).orderBy("source_id")) - 1
+    moved = rows.join(sources.withColumn("_rank", rank), [*SEGMENT, "source_id"]).select(
+        *SEGMENT, F.unix_date("booking_date").alias("day"), F.coalesce("payee", F.lit("\0")).alias("payee"), "source_id", "source_key",
+        F.struct((F.unix_date("booking_date") + (2 * DAYS + 1) * F.col("_rank")).alias("time"), F.left("source_key", F.lit(2)).alias("part")).alias("row_block"),
+    )
+    numbered = number_in_blocks(moved, SEGMENT, "row_block", ["source_id", "source_key"], "n")
+    return numbered.withColumn("block", F.floor(F.col("n") / block)).drop("row_block")
 
 
-def settle_in_rounds(rows: DataFrame, free: DataFrame) -> DataFrame:
-    """The same result for groups of any size, by proposals in rounds.
+def settle_in_blocks(rows: DataFrame, free: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Contested segments of any size, a block of rows to a task.
 
-    In each round every unsettled row proposes to one transaction, and a transaction keeps the
-    proposer that comes first in the order of choice, giving up a later one. Rows of one class
-    (same day and, while they look for their own payee, same payee) like the same transactions, so
-    the n-th of them proposes to the n-th transaction its class could still get: the ones before
-    it go to earlier rows. A row never passes the transaction it gets in the sequential walk, so
-    the rounds end with that walk's result. Every round settles at least the first open row of
-    every group; rounds are cut with a checkpoint.
+    Seats of one class (day and payee) are taken in the order of their ids, so what a block leaves to later ones is one
+    number per class: how many it took. What was taken before a block is the sum over the blocks before it. All blocks
+    run at once with what is known of that; those for which it turns out otherwise run again. The first block of a segment
+    is right at once, and each round makes at least one more of each segment right, so there are at most as many rounds as the
+    longest segment has blocks, and one for nearly all data. A task holds ``block`` rows and as many seats
+    of each class that they can reach.
     """
-    order = F.struct(*PRIORITY)
-    row_block = F.struct("source_id", F.left("source_key", F.lit(2)).alias("part"))
-    everyone = cut_lineage(
-        rows.select(
-            *GROUP, "booking_date", F.coalesce("payee", F.lit("\0")).alias("payee"),
-            order.alias("priority"), row_block.alias("row_block"),
-        )
-    )
-    open_rows = everyone.withColumn("tier", F.lit(1))
-    seats = free.select(
-        *GROUP, "day", F.coalesce("payee", F.lit("\1")).alias("seat_payee"), "id",
-        F.lit(None).cast(open_rows.schema["priority"].dataType).alias("holder"),
-    )
+    at = [*SEGMENT, "block"]
+    seat_class = [*SEGMENT, "day", "payee"]
+    rows = cut_lineage(_in_order(rows, block))
+    seats = free.select(*SEGMENT, F.unix_date("day").alias("day"), F.coalesce("payee", F.lit("\1")).alias("payee"), "id", F.left("id", F.lit(2)).alias("_part"))
+    seats = number_in_blocks(seats, seat_class, "_part", ["id"], "seat").drop("_part")
+    seats = cut_lineage(seats.withColumn("lot", F.floor(F.col("seat") / block)))
+    days = rows.select(*at, "day").distinct()
+    days = days.withColumn("day", F.explode(F.transform(F.sequence(F.lit(-DAYS), F.lit(DAYS)), lambda n: F.col("day") + n))).distinct()
+    reach = cut_lineage(days.join(seats.groupBy(*seat_class).agg(F.count(F.lit(1)).alias("held")), [*SEGMENT, "day"]))
+    known = reach.withColumn("before", F.lit(0).cast("bigint"))
+    last = rows.agg(F.max("block")).first()[0]
+    walk = _walker(DAYS, at)
+    schema = "account_id string, amount_cents bigint, segment bigint, block bigint, source_id string, source_key string, id string, day int, payee string"
+    result, run_again = None, None
     while True:
-        open_rows, seats = cut_lineage(open_rows), cut_lineage(seats)
-        if open_rows.isEmpty():
+        active = known if run_again is None else known.join(run_again, at, "left_semi")
+        # the next ``block`` seats of a class lie in two lots at most
+        lots = F.array(F.floor(F.col("before") / block), F.floor(F.col("before") / block) + 1)
+        wanted = active.where("before < held").select(*at, "day", "payee", "before", F.explode(lots).alias("lot"))
+        loaded = wanted.join(seats, [*seat_class, "lot"]).where(F.col("seat").between(F.col("before"), F.col("before") + block - 1))
+        asking = rows if run_again is None else rows.join(run_again, at, "left_semi")
+        found = asking.groupBy(*at).cogroup(loaded.select(*at, "day", "payee", "id").groupBy(*at)).applyInPandas(walk, schema)
+        if run_again is not None:
+            found = result.join(run_again, at, "left_anti").unionByName(found)
+        result = cut_lineage(found)
+        if not last:
             break
-        proposals, passed = [], []
-        for tier, extra in ((1, ["payee"]), (2, [])):
-            keys = [*GROUP, "booking_date", *extra]
-            asking = open_rows.where(F.col("tier") == tier)
-            numbered = number_in_blocks(asking, keys, "row_block", ["priority"], "n")
-            classes = asking.groupBy(*keys).agg(
-                F.min("priority").alias("first"), F.count(F.lit(1)).alias("size")
-            )
-            reachable = _near(classes, "booking_date", "day").join(
-                seats.withColumnRenamed("seat_payee", "payee") if extra else seats,
-                [*GROUP, "day", *extra],
-            ).where("holder is null or holder > first")
-            distance = F.abs(F.date_diff("day", "booking_date"))
-            liked = number_in_blocks(
-                reachable.select(
-                    *keys, "size", "id",
-                    F.struct(distance.alias("distance"), "day", F.left("id", F.lit(2)).alias("part")).alias("seat_block"),
-                ),
-                keys, "seat_block", ["id"], "n",
-            ).where("n < size").select(*keys, "n", "id")
-            asked = numbered.join(liked, [*keys, "n"], "left").drop("n")
-            proposals.append(asked.where("id is not null").select("id", "priority", "tier"))
-            passed.append(asked.where("id is null").drop("id"))
-        offers = proposals[0].unionByName(proposals[1])
-        best = offers.groupBy("id").agg(F.min("priority").alias("offer"))
-        offered = cut_lineage(
-            seats.join(best, "id", "left").withColumn(
-                "next", F.when(F.col("holder").isNull(), F.col("offer")).otherwise(F.least("holder", "offer"))
-            )
+        taken = result.groupBy(*at, "day", "payee").agg(F.count(F.lit(1)).alias("_taken"))
+        earlier = Window.partitionBy(*seat_class).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        now = known.join(taken, [*at, "day", "payee"], "left").withColumn(
+            "now", F.least("held", F.coalesce(F.sum(F.coalesce("_taken", F.lit(0))).over(earlier), F.lit(0)))
         )
-        accepted = offered.where("next is not null").select("id", F.col("next").alias("priority"))
-        # rows that were refused or displaced ask again; a row out of own-payee seats asks anyone
-        refused = offers.join(accepted, ["id", "priority"], "left_anti").select("priority", "tier")
-        displaced = offered.where("holder is not null and holder <> next").select(
-            F.col("holder").alias("priority"), F.lit(1).alias("tier")
-        )
-        again = refused.unionByName(displaced).join(everyone, "priority").select(*open_rows.columns)
-        open_rows = again.unionByName(
-            passed[0].withColumn("tier", F.lit(2)).select(*open_rows.columns)
-        )
-        seats = offered.drop("offer", "holder").withColumnRenamed("next", "holder").select(*seats.columns)
-    return seats.where("holder is not null").select(
-        F.col("holder.source_id").alias("source_id"), F.col("holder.source_key").alias("source_key"), "id"
-    )
+        now = cut_lineage(now.select(*known.columns, "now"))
+        run_again = cut_lineage(now.where("now <> before").select(*at).distinct())
+        if run_again.isEmpty():
+            break
+        known = now.drop("before").withColumnRenamed("now", "before")
+    return result.select("source_id", "source_key", "id")
 
 
 def _segments(rows: DataFrame, seats: DataFrame) -> DataFrame:
@@ -252,7 +234,7 @@ def _segments(rows: DataFrame, seats: DataFrame) -> DataFrame:
     )
 
 
-def match_assign(rows: DataFrame, free: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
+def match_assign(rows: DataFrame, free: DataFrame, block: int = BLOCK) -> DataFrame:
     """``source_id, source_key, id`` for every row that adopts a transaction."""
     wanted = _reach(rows, "booking_date", free, "day", "seats").where("seats > 0")
     offered = _reach(free, "day", rows, "booking_date", "askers").where("askers > 0")
@@ -270,16 +252,4 @@ def match_assign(rows: DataFrame, free: DataFrame, small_group: int = SMALL_GROU
     segments = cut_lineage(_segments(rest, seats))
     rest = rest.join(segments.withColumnRenamed("day", "booking_date"), [*GROUP, "booking_date"])
     seats = seats.join(segments, [*GROUP, "day"])
-    size = (
-        rest.select(*SEGMENT).unionByName(seats.select(*SEGMENT))
-        .groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("_size"))
-    )
-    large = cut_lineage(size.where(F.col("_size") > small_group).select(*SEGMENT))
-    if large.isEmpty():
-        return settled.unionByName(settle_by_walk(rest, seats))
-    small_rows, small_seats = (df.join(large, SEGMENT, "left_anti") for df in (rest, seats))
-    large_rows, large_seats = (df.join(large, SEGMENT, "left_semi") for df in (rest, seats))
-    return (
-        settled.unionByName(settle_by_walk(small_rows, small_seats))
-        .unionByName(settle_in_rounds(large_rows, large_seats))
-    )
+    return settled.unionByName(settle_in_blocks(rest, seats, block))

@@ -56,23 +56,36 @@ CASES = [
 ]
 
 
-SMALL_CASES = [case(6, 24, 18, 9, 2, 1), case(7, 16, 24, 20, 3, 1)]
-
-
-@pytest.mark.parametrize(
-    "sample,small_group", [(c, matching.SMALL_GROUP) for c in CASES] + [(c, 0) for c in SMALL_CASES]
-)
-def test_assignment_equals_plain_walk(spark, sample, small_group):
+@pytest.mark.parametrize("sample,block", [(c, matching.BLOCK) for c in CASES] + [(c, 9) for c in CASES[:4]] + [(CASES[1], 1)])
+def test_assignment_equals_plain_walk(spark, sample, block):
     left, right = sample
     rows, free = spark.createDataFrame(left, ROWS), spark.createDataFrame(right, FREE)
     got = {
         (r.source_id, r.source_key): r.id
-        for r in matching.match_assign(rows, free, small_group).collect()
+        for r in matching.match_assign(rows, free, block).collect()
     }
     assert got == plain_walk(left, right)
     assert len(set(got.values())) == len(got)
 
 
+def dense(size, days, payees):
+    """One segment in which everything is contested."""
+    left, right = case(11, size, size, days, payees, 1)
+    return [(*r[:5], 100, *r[6:]) for r in left], [(a, 100, *r) for a, _, *r in right]
+
+
+@pytest.mark.parametrize("days,payees", [(60, 3), (1, 2)])
+def test_dense_segment_in_few_jobs(spark, monkeypatch, days, payees):
+    left, right = dense(1500, days, payees)
+    written = []
+    monkeypatch.setattr(matching, "cut_lineage", lambda df, cut=matching.cut_lineage: written.append(1) or cut(df))
+    rows, free = spark.createDataFrame(left, ROWS), spark.createDataFrame(right, FREE)
+    got = {(r.source_id, r.source_key): r.id for r in matching.match_assign(rows, free, 250).collect()}
+    assert got == plain_walk(left, right)
+    # seven tables before the rounds; three in each of at most six rounds, as there are six blocks
+    assert len(written) <= 7 + 3 * 6
+
+
 def test_plan_updates_adopts_and_creates(spark):
     rows = spark.createDataFrame(
         [
