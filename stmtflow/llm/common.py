@@ -44,18 +44,16 @@ def column_of(df: DataFrame, name: str) -> str:
     return f"_c{df.columns.index(name)}"
 
 
-def with_row_identity(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a long that stays the same however often a row is read again.
+def _from_files(df: DataFrame, name: str, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """``df`` with a value made of the path of each row's file and the row's number in it.
 
-    It is a hash of the row's place in its file, so equal rows differ too and a hot key spreads. A frame that
-    is not a plain read of files is written to the shared folder first: a place that is computed twice in two
-    orders would lose rows when an executor is lost. Two rows may share a value; it spreads rows and breaks
-    ties between equal rows, nothing else.
+    A frame that is not a plain read of files is written to the shared folder first: a place that is computed twice in two
+    orders would lose rows when an executor is lost.
     """
 
     def placed(frame: DataFrame) -> DataFrame:
         place = frame.metadataColumn("_metadata")
-        return frame.withColumn(name, F.xxhash64(place["file_name"], place["row_index"]))
+        return frame.withColumn(name, value(place["file_path"], place["row_index"]))
 
     try:
         return placed(df)
@@ -63,6 +61,21 @@ def with_row_identity(df: DataFrame, name: str) -> DataFrame:
         return placed(cut_lineage(df))
 
 
+def with_row_identity(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long that stays the same however often a row is read again.
+
+    It is a hash of the row's place in the files, so equal rows differ too and a hot key spreads. Two rows may share a
+    value; it spreads rows and breaks ties between equal rows, nothing else.
+    """
+    return _from_files(df, name, F.xxhash64)
+
+
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a string that no two rows share: 128 bits for the path of the file (names alone repeat from folder to
+    folder of a partitioned table) and the row's number in it."""
+    return _from_files(df, name, lambda path, row: F.concat(F.md5(path.cast("binary")), row.cast("string")))
+
+
 def in_file_order(df: DataFrame) -> DataFrame:
     """The rows in the order of the files they were written to, over partitions and inside them.
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtflow.llm.common import column_of, fenced, with_row_identity
+from stmtflow.llm.common import column_of, fenced, with_place
 from stmtflow.session import cut_lineage, scratch
 
 WORDS, PERCENT = 5, 80
@@ -215,7 +215,7 @@ def _sets(docs: DataFrame, last: np.ndarray, words: int, percent: int, small: in
                 ["doc_id", "place", "key", "n", "hot", "cells"],
             )
 
-    return docs.select("doc_id", "place", "text").mapInArrow(run, "doc_id long, place long, key long, n long, hot boolean, cells array<struct<cell: long, at: int>>")
+    return docs.select("doc_id", "place", "text").mapInArrow(run, "doc_id long, place string, key long, n long, hot boolean, cells array<struct<cell: long, at: int>>")
 
 
 def _met(sets: DataFrame, percent: int, small: int) -> DataFrame:
@@ -480,7 +480,7 @@ def links_between_sets(
     # hot texts among themselves, with the pivots of the large regions last
     large = met.where("n < 0").groupBy(F.col("key").alias("cell")).agg(F.sum("regions").alias("size"))
     large = large.orderBy(F.desc("size"), "cell").limit(LAST).select("cell").toArrow().column("cell").to_numpy()
-    nowhere = [F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("place")]
+    nowhere = [F.lit(None).cast("bigint").alias("doc_id"), F.lit("").alias("place")]
     again = cut_lineage(
         _sets(texts.where("hot").select(*nowhere, "text"), np.union1d(last, large.view(np.uint64)), words, percent, small)
     )
@@ -559,7 +559,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; ``component_id`` is the smallest id reachable by links."""
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    found = _grouped(with_row_identity(named, "place"), words, percent, small, rounds)
+    found = _grouped(with_place(named, "place"), words, percent, small, rounds)
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -569,7 +569,7 @@ def one_of_each_group(
 ) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest id; rows without shingles all stay."""
     inner, back = fenced(docs)
-    rows = with_row_identity(inner, "place")
+    rows = with_place(inner, "place")
     placed = rows.select(F.col(column_of(docs, doc_id)).cast("bigint").alias("doc_id"), "place", F.col(column_of(docs, text)).alias("text"))
     found = _grouped(placed, words, percent, small, rounds)
     first = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "place")).alias("m"))

@@ -77,7 +77,7 @@ def _ips(text: str) -> Iterator[Span]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             length = sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in four)):
                 yield "ip", at, at + length
             at += length + 1
 

@@ -53,6 +53,20 @@ def family(rng, start, size, length, edits):
     return [(start + i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
 
 
+def test_files_of_one_name_in_several_folders(spark, tmp_path):
+    """A partitioned table has the same file name in each folder; its rows are told apart all the same."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        text = rows[-1][1] if i % 3 == 1 else " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        rows.append((i, text, f"l{rng.randrange(4)}", "a", 0))
+    path = str(tmp_path / "parted")
+    spark.createDataFrame(rows, DOC).coalesce(1).write.partitionBy("lang").parquet(path)
+    docs = spark.read.parquet(path)
+    assert Counter(tuple(r) for r in jj.near_duplicates(docs).collect()) == expected(rows)
+    assert jj.one_of_each_group(docs).count() == 60
+
+
 @pytest.mark.parametrize(("small", "rounds"), [(32, 6), (2, 6), (2, 1), (4, 2)])
 def test_groups_equal_all_pairs(spark, tmp_path, small, rounds):
     rng = random.Random(small * 10 + rounds)

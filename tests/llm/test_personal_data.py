@@ -43,6 +43,12 @@ def test_base_equals_the_patterns(text):
     assert pd.base_spans(text) == plain(text)
 
 
+def test_address_parts_of_any_length():
+    zeros = "0" * 5000
+    for text, found in ((f"{zeros}.1.1.1", True), (f"1.1.1.{zeros}255", True), (f"{'9' * 6000}.1.1.1", False), (f"1.{zeros}256.1.1", False)):
+        assert [s for s in pd.base_spans(text) if s[0] == "ip"] == ([("ip", 0, len(text))] if found else [])
+
+
 def test_base_on_numbers_and_very_long_runs():
     rng = random.Random(3)
     for _ in range(3000):
