@@ -20,6 +20,7 @@ from stmtflow.functions.parsing import (
     amount_text,
     compact_iban,
     currency_code,
+    date_reader,
     is_pending,
     parse_amount,
     parse_date,
@@ -276,7 +277,8 @@ def statement_balances(documents: DataFrame, records: DataFrame) -> DataFrame:
     Later balance lines override earlier ones field by field.
     """
     known = documents.where("error is null").select(
-        "source_id", "doc", "header_at", "decimal_comma", "date_formats", "default_currency"
+        "source_id", "doc", "header_at", "decimal_comma", "date_formats", F.transform("date_formats", date_reader).alias("date_readers"),
+        "default_currency",
     )
     preamble = (
         records.where("is_balance")
@@ -292,8 +294,8 @@ def statement_balances(documents: DataFrame, records: DataFrame) -> DataFrame:
         F.transform(
             "cells",
             lambda c: F.coalesce(
-                parse_date(c, F.col("date_formats")),
-                parse_date(F.regexp_extract(c, DATE_INSIDE_CELL, 0), F.col("date_formats")),
+                parse_date(c, F.col("date_formats"), F.col("date_readers")),
+                parse_date(F.regexp_extract(c, DATE_INSIDE_CELL, 0), F.col("date_formats"), F.col("date_readers")),
             ),
         ),
         lambda d: d.isNotNull(),
@@ -341,6 +343,7 @@ def canonical_rows(documents: DataFrame, records: DataFrame) -> DataFrame:
         "positions",
         "decimal_comma",
         "date_formats",
+        F.transform("date_formats", date_reader).alias("date_readers"),
         "default_currency",
     )
     body = records.join(known, ["source_id", "doc"]).where(F.col("at") > F.col("header_at"))
@@ -348,7 +351,7 @@ def canonical_rows(documents: DataFrame, records: DataFrame) -> DataFrame:
     # step by step, so that no expression is repeated inside another one
     comma = F.col("decimal_comma")
     named = body.select(
-        "source_id", "account_ref", "doc", "at", "too_long", "decimal_comma", "date_formats", "default_currency",
+        "source_id", "account_ref", "doc", "at", "too_long", "decimal_comma", "date_formats", "date_readers", "default_currency",
         *[F.get("cells", F.col(f"positions.{name}")).alias(f"c_{name}") for name in CANONICAL_FIELDS],
     )
     amounts = ("credit", "debit", "amount")
@@ -358,7 +361,7 @@ def canonical_rows(documents: DataFrame, records: DataFrame) -> DataFrame:
         {
             **{n: to_cents(F.col(f"d_{n}")) for n in amounts},
             **{f"bad_{n}": F.col(f"t_{n}").isNotNull() & to_cents(F.col(f"d_{n}")).isNull() for n in amounts},
-            "booking_date": parse_date("c_booking_date", F.col("date_formats")),
+            "booking_date": parse_date("c_booking_date", F.col("date_formats"), F.col("date_readers")),
         }
     )
     # the amount column is only read where credit and debit say nothing
@@ -370,7 +373,7 @@ def canonical_rows(documents: DataFrame, records: DataFrame) -> DataFrame:
         F.col("at.block").alias("block"),
         F.col("at.line_no").alias("row_no"),
         "booking_date",
-        parse_date("c_value_date", F.col("date_formats")).alias("value_date"),
+        parse_date("c_value_date", F.col("date_formats"), F.col("date_readers")).alias("value_date"),
         signed_amount("credit", "debit", "amount").alias("amount_cents"),
         currency_code("c_currency", F.col("default_currency")).alias("currency"),
         blank_to_null("c_counterpart_name").alias("counterpart_name"),

@@ -1,7 +1,8 @@
 """Column functions on the values their definition names."""
 
+import random
 import unicodedata
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,41 @@ def test_signs_and_pending(spark):
     assert value(spark, parsing.is_pending, "Vorgemerkt Karte") is True
     assert value(spark, parsing.is_pending, "pending payment") is True
     assert value(spark, parsing.is_pending, None) is False
+
+
+def read_by_python(cell, formats):
+    for fmt in formats:
+        try:
+            return datetime.strptime(cell.strip(), fmt).date()
+        except ValueError:
+            continue
+    return None
+
+
+def test_dates_as_python_reads_them(spark):
+    """Formats of every directive, cells that fit them, and cells with a character changed."""
+    rng = random.Random(9)
+    pieces = ["%d", "%m", "%Y", "%y", "%b", "%B", "%j", "%a", "%A", "%H", "%M", "%S", "%I", "%p", "%f", "%w", "%u", "%%"]
+    marks = [".", "-", "/", " ", ", ", "", " of ", "(", "\\E", "|"]
+    fixed = ["%d.%m.%y", "%d %B %Y", "%b %d, %Y", "%Y%m%d", "%y%j", "%x", "%c", "%d.%m.%Y %H:%M", "%d. %b %y", "%d%m%y", "%Y-%m-%d", "%d.%m."]
+    rows = []
+    for _ in range(1500):
+        fmt = rng.choice(fixed) if rng.random() < 0.4 else rng.choice(marks).join(rng.sample(pieces, rng.randrange(1, 5)))
+        cell = datetime(rng.randrange(1960, 2080), rng.randrange(1, 13), rng.randrange(1, 29), rng.randrange(24), 5, 9).strftime(fmt)
+        if rng.random() < 0.3:
+            cell = cell.upper()
+        if cell and rng.random() < 0.4:
+            at = rng.randrange(len(cell))
+            cell = cell[:at] + rng.choice(["", "0", "9", " ", "x"]) + cell[at + rng.randrange(2) :]
+        rows.append((cell, [fmt, rng.choice(fixed)]))
+    rows += [(c, f) for c in ("29.02.00", "31.4.26", "68001", "69366", "00", "1 JAN 26", "29.02.") for f in (["%d.%m.%y"], ["%y%j"], ["%d %b %y"], ["%d.%m."])]
+    frame = spark.createDataFrame(rows, "cell string, formats array<string>")
+    for r in frame.select("*", parsing.parse_date("cell", F.col("formats")).alias("d")).collect():
+        want = read_by_python(r.cell, r.formats)
+        assert r.d == want, (r.cell, r.formats)
+
+
+def test_known_date_formats(spark):
+    formats = {"%d.%m.%y": True, "%U %Y": False, "%d%d": False, "100%%": True, "50%": False, "%c": True, "%d %x": False, "": True}
+    rows = spark.createDataFrame([(f,) for f in formats], "f string").select("f", parsing.date_format_known(F.col("f"))).collect()
+    assert {f: k for f, k in rows} == formats

@@ -160,6 +160,6 @@ def test_dates_and_encodings_of_a_profile(spark):
     formats, parsed = parsed_with(spark, text, date_formats=["%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%Y/%m/%d"], encodings=["latin-1"])
     assert formats.first().config_error is None
     assert sorted(str(r.booking_date) for r in parsed.rows.collect()) == ["2026-02-13", "2026-02-14"]
-    for change, error in (({"date_formats": ["%d.%m.%y"]}, "unsupported date format: %d.%m.%y"), ({"encodings": ["utf-16"]}, "unsupported encoding: utf-16")):
+    for change, error in (({"date_formats": ["%d.%m.%y", "%U %Y", "%d %d"]}, "unsupported date format: %U %Y, %d %d"), ({"encodings": ["utf-16"]}, "unsupported encoding: utf-16")):
         formats, _ = parsed_with(spark, text, **change)
         assert formats.first().config_error == error
