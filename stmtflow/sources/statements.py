@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stmtflow.functions.masking import mask_iban
+from stmtflow.functions.codepages import NONE, decoded, is_utf8, page_of
 from stmtflow.functions.parsing import (
     AMOUNT_CELL,
     AMOUNT_TYPE,
@@ -31,15 +32,7 @@ from stmtflow.functions.ranking import first_in_group
 from stmtflow.functions.text import blank_to_null, strip
 from stmtflow.operators.keys import spanning_documents
 from stmtflow.session import cut_lineage
-from stmtflow.sources.profiles import CANONICAL_FIELDS, CP1252, LATIN1_NAMES, UTF8_NAMES
-
-# bytes that Windows-1252 defines and ISO-8859-1 does not, by rule from the codec itself
-_HIGH = [bytes([b]) for b in range(0x80, 0xA0)]
-_DEFINED = [b for b in _HIGH if b.decode("cp1252", "ignore")]
-_UNDEFINED = [b for b in _HIGH if not b.decode("cp1252", "ignore")]
-LATIN1_FROM = "".join(b.decode("latin-1") for b in _DEFINED)
-CP1252_TO = "".join(b.decode("cp1252") for b in _DEFINED)
-CP1252_HOLES = "[" + "".join(rf"\x{b[0]:02x}" for b in _UNDEFINED) + "]"
+from stmtflow.sources.profiles import CANONICAL_FIELDS
 
 # a quoted cell up to its closing quote; a doubled quote stands for one
 QUOTED = r'"([^"]*+(?:""[^"]*+)*+)"?'
@@ -51,15 +44,9 @@ def _latin1() -> Column:
     return F.decode(F.col("raw").cast("binary"), "ISO-8859-1")
 
 
-def _cp1252_text() -> Column:
-    return F.translate(_latin1(), LATIN1_FROM, CP1252_TO)
-
-
-def _text(encoding: Column) -> Column:
+def _text(page: Column) -> Column:
     # the line reader has already taken a byte order mark off the first line
-    plain = (
-        F.when(encoding == CP1252, _cp1252_text()).when(encoding.isin(LATIN1_NAMES), _latin1()).otherwise(F.col("raw"))
-    )
+    plain = F.when(page.isNull(), F.col("raw")).otherwise(decoded(_latin1(), page))
     return F.regexp_replace(plain, "\r$", "")
 
 
@@ -196,39 +183,45 @@ def decode_documents(lines: DataFrame, formats: DataFrame) -> DataFrame:
     ``broken`` marks documents in which some line ends inside a quoted cell. Quotes, delimiters
     and line ends are the same bytes in every encoding, so this shows before decoding.
     """
-    formats = formats.select("*", *cell_patterns(F.col("delimiter")))
-    tested = lines.join(formats.select("source_id", "open_end"), "source_id")
-    valid = F.is_valid_utf8("raw")
+    candidates = F.transform("encodings", lambda e: F.struct(e.alias("name"), is_utf8(e).alias("utf8"), page_of(e).alias("page")))
+    formats = formats.select("*", *cell_patterns(F.col("delimiter")), candidates.alias("candidates"))
+    tested = lines.join(formats.select("source_id", "open_end", "candidates"), "source_id")
+
+    def reads(e: Column) -> Column:
+        return F.when(e["utf8"], F.is_valid_utf8("raw")).otherwise(~F.contains(decoded(_latin1(), e["page"]), F.lit(NONE)))
+
+    # every encoding reads ASCII; of other lines one bit per encoding, so the bits of a document are those of all its lines
+    bits = F.aggregate(
+        F.transform("candidates", lambda e, i: F.when(reads(e), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0))),
+        F.lit(0).cast("bigint"), lambda a, b: a + b,
+    )
     open_line = F.contains("raw", F.lit('"')) & ends_open(_latin1(), F.col("open_end"))
     per_doc = tested.groupBy("source_id", "doc").agg(
-        F.bool_and(valid).alias("utf8"),
-        F.bool_or(_latin1().rlike(CP1252_HOLES)).alias("_holes"),
+        F.bit_and(F.when(_latin1().rlike("[^\x00-\x7f]"), bits).otherwise(F.lit(-1).cast("bigint"))).alias("_reads"),
         F.max("modified_at").alias("modified_at"),
         F.bool_or(open_line).alias("broken"),
     )
-    works = F.filter(
-        F.col("encodings"),
-        lambda e: (e.isin(UTF8_NAMES) & F.col("utf8")) | ((e == CP1252) & ~F.col("_holes")) | e.isin(LATIN1_NAMES),
-    )
+    fit = F.filter("candidates", lambda e, i: F.call_function("getbit", F.col("_reads"), i) == 1)
     return (
         per_doc.join(formats.where("config_error is null"), "source_id")
-        .withColumn("encoding", F.get(works, F.lit(0)))
-        .drop("utf8", "_holes", "encodings", "config_error")
+        .withColumn("_chosen", F.get(fit, F.lit(0)))
+        .withColumns({"encoding": F.col("_chosen.name"), "page": F.col("_chosen.page")})
+        .drop("_reads", "_chosen", "candidates", "encodings", "config_error")
     )
 
 
 def decoded_records(lines: DataFrame, documents: DataFrame) -> DataFrame:
     """Logical records with their cells, for documents that could be decoded."""
     readable = documents.where("encoding is not null").select(
-        "source_id", "doc", "encoding", "delimiter", "marker", "balance_label", "broken",
+        "source_id", "doc", "page", "delimiter", "marker", "balance_label", "broken",
         "separator", "cell", "open_end",
     )
     text = (
         lines.select("source_id", "doc", "block", "line_no", "raw")
         .join(readable, ["source_id", "doc"])
-        .withColumn("text", _text(F.col("encoding")))
+        .withColumn("text", _text(F.col("page")))
         .withColumn("too_long", F.lit(False))
-        .drop("raw", "encoding")
+        .drop("raw", "page")
     )
     records = text.where(~F.col("broken"))
     # documents are a small written table: only build the assembly if some need it

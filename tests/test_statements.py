@@ -1,5 +1,6 @@
 """Statement files: encodings, headers, quoting, balances, errors."""
 
+import codecs
 import csv
 import io
 import random
@@ -8,6 +9,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from stmtflow.functions import codepages
 from stmtflow.functions.parsing import parse_amount
 from stmtflow.sources import inbox
 from stmtflow.sources.profiles import BUILT_IN_PROFILES, profiles_frame, resolve_profiles
@@ -66,6 +68,38 @@ def test_fallback_encoding_and_generic_format(spark, tmp_path):
     ]
 
 
+def test_code_pages_read_as_python_does(spark):
+    every = codepages.pages()
+    assert {"cp1250", "cp437", "koi8_r", "iso8859_2", "latin_1", "cp1252", "mac_roman"} <= set(every) and "cp037" not in every
+    every = sorted(set(every) - {"ansi_x3_4_1986", "iso_646_irv_1991", "cshproman8"})  # the codecs spell these with dots or capitals
+    assert all(codecs.lookup(n) for n in every)
+    frame = spark.createDataFrame([(n, bytearray(range(1, 256))) for n in every], "name string, raw binary")
+    out = frame.select("name", codepages.decoded(F.decode("raw", "ISO-8859-1"), codepages.page_of(F.col("name")))).collect()
+    for name, text in out:
+        want = "".join(bytes([b]).decode(name, "ignore") or codepages.NONE for b in range(1, 256))
+        assert text == want, name
+
+
+@pytest.mark.parametrize("encoding,name,chosen", [
+    ("cp1250", "Łódź", "cp1250"), ("cp437", "Müller ½", "IBM437"), ("iso-8859-2", "Žižkov", "ISO 8859-2"), ("utf-8", "Łódź", "utf-8-sig"), ("koi8-r", "Москва", "koi8-r"),
+])
+def test_files_in_other_encodings(spark, tmp_path, encoding, name, chosen):
+    """The first encoding of the list that defines every byte; one that leaves a byte out is passed over."""
+    row = files.bank_row("3.2.2026", "Karte", name, "x", debit="-1,00")
+    header = files.HEADER.replace("ü", "ue").replace("ä", "ae").replace("Gebühren", "Geb")
+    text = files.bank_text([row], ["Umsatz;"], header, [])
+    files.write(tmp_path, "in/a.csv", text, encoding)
+    columns = {c: h.replace("ü", "ue").replace("ä", "ae") for c, h in BUILT_IN_PROFILES[0]["columns"].items()}
+    profile = {**BUILT_IN_PROFILES[0], "id": "p", "columns": columns, "encodings": ["utf-8-sig", "ascii", chosen]}
+    source = spark.createDataFrame([("s", "manual_import", "A", "a", "EUR", "p", "in/*", None)], SOURCE)
+    formats = resolve_profiles(source, profiles_frame(spark, [profile]))
+    raw = (tmp_path / "in" / "a.csv").read_bytes().split(b"\n")[:-1]
+    lines = spark.createDataFrame([("s", "d", 0, i, bytearray(r)) for i, r in enumerate(raw)], "source_id string, doc string, block bigint, line_no bigint, raw binary")
+    parsed = ParsedStatements(lines.withColumns({"raw": F.col("raw").cast("string"), "modified_at": F.current_timestamp()}), formats)
+    assert [(r.counterpart_name, r.purpose) for r in parsed.rows.collect()] == [(name, "x")]
+    assert parsed.stats.first().encoding == chosen and formats.first().config_error is None
+
+
 def test_errors_stay_with_their_document(spark, tmp_path):
     bad = files.bank_row("7.2.2026", "Karte", "X", "Y", debit="zwölf,3-4")
     dateless = files.bank_row("kein Datum", "Karte", "X", "Y", debit="1-2")
