@@ -125,13 +125,14 @@ view(
     "ledger0",
 )
 view(
-    "sources",
+    "every_source",
     """SELECT 'src' || n_nationkey AS id, 'manual_import' AS connector, n_name AS actual_account,
       'acct' || n_nationkey AS account_ref, 'EUR' AS currency,
-      CASE WHEN r_name <> 'AFRICA' THEN 'postbank-csv' ELSE 'generic-csv' END AS format,
+      CASE WHEN r_name NOT IN ('AFRICA', 'MIDDLE EAST') THEN 'postbank-csv' ELSE 'generic-csv' END AS format,
       'source_id=src' || n_nationkey || '/*/*.txt' AS inbox_glob, r_name
-    FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'MIDDLE EAST'""",
+    FROM nation JOIN region ON n_regionkey = r_regionkey""",
 )
+view("sources", "SELECT * FROM every_source WHERE r_name <> 'MIDDLE EAST'", "every_source")
 view(
     "accounts",
     """SELECT 'acct' || n_nationkey AS id, n_name AS name, r_name = 'ASIA' AS off_budget, n_name = 'NATION_24' AS closed
@@ -842,8 +843,8 @@ view(
       o_orderkey * 2 AS row_no, CAST(o_orderdate AS DATE) AS booking_date, o_orderstatus AS status, o_orderpriority AS kind,
       CAST(round(o_totalprice * 100) AS BIGINT) AS value, o_orderkey, c_name, c_custkey,
       s.format = 'generic-csv' AND year(o_orderdate) % 2 = 1 AS unreadable
-    FROM orders JOIN customer ON o_custkey = c_custkey JOIN sources s ON s.id = 'src' || c_nationkey""",
-    "sources",
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN every_source s ON s.id = 'src' || c_nationkey""",
+    "every_source",
 )
 view(
     "file_docs",
@@ -981,8 +982,8 @@ register(
 
 # --- files, whole jobs, streams ---------------------------------------------------------------
 
-register("inbox_scan", "SELECT source_id, doc FROM file_docs", "file_docs")
-register("unprocessed_files", "SELECT source_id, doc FROM file_docs WHERE y >= 2000", "file_docs")
+register("inbox_scan", "SELECT source_id, doc FROM file_docs WHERE source_id IN (SELECT id FROM sources)", "file_docs", "sources")
+register("unprocessed_files", "SELECT source_id, doc FROM file_docs WHERE y >= 2000 AND source_id IN (SELECT id FROM sources)", "file_docs", "sources")
 register(
     "summary_inbox",
     "SELECT s.id AS source_id, count(d.doc) AS files FROM sources s LEFT JOIN file_docs d ON d.source_id = s.id GROUP BY 1",

@@ -542,7 +542,7 @@ def summary_runs(t):
 
 
 def _parsed(t):
-    formats = profiles.resolve_profiles(st.sources(t), profiles.profiles_frame(t.spark))
+    formats = profiles.resolve_profiles(st.every_source(t).drop("r_name"), profiles.profiles_frame(t.spark))
     return statements.ParsedStatements(st.statement_lines(t), formats)
 
 
