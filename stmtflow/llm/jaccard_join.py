@@ -19,8 +19,8 @@ Regions are then joined exactly:
 * What is still large holds many similar texts. Its pivot is the text that lies in most regions (the least changed copy), and
   regions of one pivot become one; all distances to it are measured; texts within EPS of it are linked through it. Of the others (outer), distance d from the pivot, only inner texts at d - EPS or more
   from it can be near (triangle inequality): the next region holds the outer texts and those boundary texts. A region
-  whose texts have all become one group is done; one still open after ``ROUNDS`` further rounds of pivots compares all pairs
-  of different groups. ``ROUNDS`` is 0: the queries use one pivot for each region and do not recurse.
+  whose texts have all become one group is done; one still open after ``ROUNDS`` further rounds of pivots meets in blocks of
+  bounded size, which count what their texts share. ``ROUNDS`` is 0: the queries use one pivot for each region and do not recurse.
 
 Equal sets are one class from the start, so copies cost one text. Results need the groups, not all pairs; no link between
 different texts is lost. Shingles and sets are known by 64-bit hashes (a set also by its size); distances are counted
@@ -52,6 +52,8 @@ LAST, SHARED = 1 << 18, 4
 HELD = 4096
 #: Hashes below this are counted when shingles of hot texts are put in order; the others come last.
 COUNTED = np.uint64(7 << 61)
+#: Texts, and shingles, of a block of a region that no pivot could part.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 PAIR = ["key", "n", "pkey", "pn"]
 
 _U = np.uint64
@@ -372,6 +374,53 @@ def _measured(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return met.mapInArrow(run, "key long, n long, pkey long, pn long, common long")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of ``left`` the number of shingles it shares with each set of ``right``, by lists of who has which."""
+    owners = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    flat = np.concatenate([np.empty(0, np.uint64), *right])
+    order = np.argsort(flat, kind="stable")
+    flat, owners = flat[order], owners[order]
+    for own in left:
+        first, last = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        sizes = last - first
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+        yield np.bincount(owners[at], minlength=len(right))
+
+
+def _links_in_blocks(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, n, pkey, pn): links between texts of a region (rkey, rn) that are of different groups.
+
+    A region is dealt into blocks of bounded size, and two blocks meet in one task. So a text travels once per block of its region
+    and not once per partner, its shingles are computed once in a task, and no pair is a row of its own.
+    """
+    parts = rest.groupBy("rkey", "rn").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    )
+    dealt = rest.join(parts, ["rkey", "rn"]).withColumn("own", F.pmod(F.xxhash64("key", F.lit(2)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "rkey", "rn", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n",
+        F.col("group.key").alias("gkey"), F.col("group.n").alias("gn"),
+    )
+
+    def run(block: pa.Table) -> pa.Table:
+        own, key, n, gkey, gn = (block[c].to_numpy() for c in ("own", "key", "n", "gkey", "gn"))
+        sets = [shingles(value.as_py(), words) for value in block["text"]]
+        i, j = block["i"][0].as_py(), block["j"][0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = []
+        for a, common in zip(left.tolist(), common_counts([sets[x] for x in left], [sets[x] for x in right]), strict=True):
+            linked = 100 * common >= percent * (n[a] + n[right] - common)
+            linked &= (gkey[right] != gkey[a]) | (gn[right] != gn[a])
+            for b in right[linked].tolist():
+                found.append((key[a], n[a], key[b], n[b]))
+        rows = np.array(found, dtype=np.int64).reshape(-1, 4)
+        return pa.table({c: rows[:, k] for k, c in enumerate(PAIR)})
+
+    met = dealt.join(texts, ["key", "n"]).select("rkey", "rn", "i", "j", "own", "key", "n", "gkey", "gn", "text")
+    return met.groupBy("rkey", "rn", "i", "j").applyInArrow(run, "key long, n long, pkey long, pn long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(key, n, group): the smallest set reachable from each set that has a link; ``links`` has key, n, pkey, pn.
 
@@ -521,18 +570,9 @@ def links_between_sets(
         links = _linked(measured, percent)
     if regions.isEmpty():
         return links
-    # what no pivot could part: pairs of texts of different groups. Distances to the pivot must allow a link (triangle
-    # inequality), and the regions both lie in, with what lies beyond their windows, must allow its overlap
-    rest = cut_lineage(_still_open(regions, measured, links, percent).withColumnsRenamed({"pkey": "rkey", "pn": "rn"}))
-    other = rest.select(
-        "rkey", "rn", F.col("key").alias("pkey"), F.col("n").alias("pn"), F.col("group").alias("pgroup"), F.col("d").alias("pd"),
-        F.col("places").alias("pplaces"),
-    )
-    enough = F.least("places", "pplaces") + F.greatest(beyond("n", percent), beyond("pn", percent)) >= least_overlap(percent)
-    near = F.abs(F.col("d") - F.col("pd")) <= (100 - percent) / 100 + 1e-9
-    both = ["rkey", "rn"]
-    last_pairs = rest.join(other, both).where((F.col("group") < F.col("pgroup")) & near & enough & _fits(percent))
-    return links.union(_linked(_measured(last_pairs.select(*PAIR).distinct(), texts, words), percent))
+    # what no pivot could part: texts of different groups meet in blocks
+    rest = _still_open(regions, measured, links, percent).withColumnsRenamed({"pkey": "rkey", "pn": "rn"})
+    return links.union(_links_in_blocks(cut_lineage(rest.select("rkey", "rn", "key", "n", "group")), texts, words, percent))
 
 
 def _grouped(placed: DataFrame, words: int, percent: int, small: int, rounds: int) -> DataFrame:
