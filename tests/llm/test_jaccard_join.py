@@ -99,6 +99,28 @@ def test_links_of_texts_whose_sizes_do_not_fit_the_pivot(spark, tmp_path):
     assert Counter(map(tuple, got)) == Counter((r[0], len(s), least[g]) for r, s, g in zip(rows, sets, groups))
 
 
+def test_open_regions_meet_in_blocks(spark, tmp_path, monkeypatch):
+    """A family of near copies and changed copies around it, in blocks of a few texts and without further pivots."""
+    monkeypatch.setattr(jj, "BLOCK", 5)
+    rng = random.Random(9)
+    rows = family(rng, 0, 40, 60, 3)
+    for i in range(25):  # changed too much for the family, and some near each other
+        text = rng.choice(rows)[1].split()
+        for _ in range(5):
+            text[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+        rows.append((100 + i, " ".join(text), "en", "a", 0))
+    docs = stored(spark, tmp_path, rows)
+    assert Counter(tuple(r) for r in jj.near_duplicates(docs, small=2, rounds=0).collect()) == expected(rows)
+
+
+def test_counts_of_common_shingles():
+    rng = random.Random(10)
+    sets = [jj.np.unique(jj.np.array([rng.randrange(60) for _ in range(rng.randrange(40))], dtype=jj.np.uint64)) for _ in range(30)]
+    got = [c.tolist() for c in jj.common_counts(sets[:12], sets[12:])]
+    assert got == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[12:]] for a in sets[:12]]
+    assert [c.tolist() for c in jj.common_counts(sets[:1], [])] == [[]] and list(jj.common_counts([], sets)) == []
+
+
 def test_one_row_of_each_group_stays(spark, tmp_path):
     rng = random.Random(7)
     rows = odd_rows(family(rng, 100, 20, 60, 2) + [(90, "a b c d e f g", "en", "a", 1)] * 9)
