@@ -19,13 +19,19 @@ from stmtflow.sources.store import SnapshotStore
 
 @dataclass
 class ImportJob:
-    """Configuration of an import: where files arrive, which sources exist, where state lives."""
+    """Configuration of an import: where files arrive, which sources exist, where state lives.
+
+    With ``archive`` (a folder outside the inbox, on the same store) consumed files leave the inbox: each run first sets aside
+    what runs before it have consumed and committed. So a run that is repeated finds its files again, a later one lists
+    only what is new or could not be read, and the list of processed files holds no more than the inbox does.
+    """
 
     spark: SparkSession
     inbox: str
     sources: DataFrame
     store: SnapshotStore
     profiles: DataFrame | None = None
+    archive: str | None = None
 
     def formats(self) -> DataFrame:
         return resolve_profiles(registry(self.sources), self.profiles or profiles_frame(self.spark))
@@ -33,6 +39,8 @@ class ImportJob:
     def run(self, run_id: str, now: datetime, *, dry_run: bool = False, trigger: str = "batch") -> DataFrame:
         """Import everything the inbox holds. Returns one row of counters per source."""
         with scratch(self.spark):
+            if not dry_run:
+                self.set_aside(run_id)
             listed = box.source_files(box.inbox_files(self.spark, self.inbox), self.formats())
             return self._run(listed, None, run_id, now, dry_run, trigger)
 
@@ -42,11 +50,20 @@ class ImportJob:
         A file that no longer exists has nothing to wait for.
         """
         with scratch(self.spark):
+            self.set_aside(run_id)
             late = self.store.state(before=run_id)("waiting_files").select("source_id", "doc")
             there = box.inbox_files(self.spark, self.inbox).join(late, "doc").select("source_id", "doc", "modified_at")
             every = files.unionByName(there).groupBy("source_id", "doc").agg(F.max("modified_at").alias("modified_at"))
             return self._run(every, lines, run_id, now, False, trigger)
 
+    def set_aside(self, run_id: str) -> int:
+        """Moves the files that runs before this one have consumed to the archive, if there is one."""
+        if self.archive is None:
+            return 0
+        listed = box.source_files(box.inbox_files(self.spark, self.inbox), self.formats())
+        done = box.finished(listed, self.store.state(before=run_id)("processed_files"))
+        return box.set_aside(self.spark, self.inbox, self.archive, done)
+
     def _lines(self, waiting: DataFrame, arrived: DataFrame | None) -> DataFrame:
         docs = waiting.select("doc").distinct()
         if arrived is not None:
@@ -120,7 +137,7 @@ class ImportJob:
                 "budget_txn": after,
                 "payee": people,
                 "import_ledger": ledger.record(state("import_ledger"), parted, owners, run_id, at),
-                "processed_files": state("processed_files").unionByName(
+                "processed_files": self._remembered(state("processed_files")).unionByName(
                     consumed.withColumn("run_id", F.lit(run_id))
                 ),
                 "waiting_files": left.select("source_id", "doc", "modified_at"),
@@ -129,6 +146,12 @@ class ImportJob:
         )
         return result
 
+    def _remembered(self, processed: DataFrame) -> DataFrame:
+        """The processed files that a later run could still meet."""
+        if self.archive is None:
+            return processed
+        return processed.join(box.inbox_files(self.spark, self.inbox), ["doc", "modified_at"], "left_semi").select(*processed.columns)
+
     def _kept(self, result: DataFrame) -> DataFrame:
         """The counters, one row per source, without the tables they were computed from."""
         return self.spark.createDataFrame(result.collect(), result.schema)

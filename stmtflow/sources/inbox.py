@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stmtflow.sources import storage
+
 PROCESSED = "processed"  # files below a folder of this name have been consumed
 LINE_SCHEMA = "value string"
 
@@ -69,6 +71,28 @@ def unprocessed(files: DataFrame, processed: DataFrame) -> DataFrame:
     return files.join(done, ["source_id", "doc", "modified_at"], "left_anti")
 
 
+def finished(listed: DataFrame, processed: DataFrame) -> DataFrame:
+    """``doc, modified_at`` of the listed files that every source which reads them has consumed in this version."""
+    left = unprocessed(listed, processed).select("doc")
+    return listed.select("doc", "modified_at").distinct().join(left, "doc", "left_anti")
+
+
+def set_aside(spark: SparkSession, inbox: str, archive: str, files: DataFrame) -> int:
+    """Moves files from the inbox to the same place below ``archive``; a name that is taken gets the file's time.
+
+    One after another, as the names arrive from the executors; a call that was cut short goes on with what is left.
+    """
+    moved = 0
+    named = files.select("doc", F.unix_micros("modified_at").alias("time"))
+    for r in named.toLocalIterator():
+        folder, _, name = r.doc.rpartition("/")
+        stem, dot, suffix = name.rpartition(".")
+        timed = f"{stem}.{r.time}.{suffix}" if dot and stem else f"{name}.{r.time}"
+        target = f"{archive.rstrip('/')}/{folder}/" if folder else f"{archive.rstrip('/')}/"
+        moved += storage.move(spark, f"{inbox.rstrip('/')}/{r.doc}", target + name, target + timed)
+    return moved
+
+
 def raw_lines(frame: DataFrame, inbox: str) -> DataFrame:
     """Lines of a text read, batch or stream, with their file, split and place in the split."""
     return frame.select(

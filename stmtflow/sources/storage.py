@@ -48,3 +48,17 @@ def create_text(spark: SparkSession, path: str, text: str) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = _open(spark, path)
     fs.delete(where, True)
+
+
+def move(spark: SparkSession, path: str, target: str, otherwise: str) -> bool:
+    """Moves a file to ``target``, or to ``otherwise`` if that is taken; false if there is no such file (any more)."""
+    fs, where = _open(spark, path)
+    if not fs.exists(where):
+        return False
+    there = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs.mkdirs(there.getParent())
+    if fs.exists(there):
+        there = spark._jvm.org.apache.hadoop.fs.Path(otherwise)
+    if not fs.rename(where, there):
+        raise OSError(f"cannot move {path} to {there}")
+    return True

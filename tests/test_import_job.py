@@ -95,6 +95,25 @@ def test_import_is_idempotent(job, spark, tmp_path):
     assert runs == {"r3"} and job.store.read("import_ledger").where("first_run_id = 'r1'").count() == 4
 
 
+def test_consumed_files_leave_the_inbox(job, tmp_path):
+    """A run sets aside what committed runs before it have consumed; a repeated run still finds its own files."""
+    inbox, job.archive = tmp_path / "inbox", str(tmp_path / "archive")
+    there = lambda folder: {str(p.relative_to(folder)) for p in folder.rglob("*.csv")}
+    job.run("r1", NOW)
+    first = sorted(map(str, job.store.read("import_ledger").collect()))
+    assert there(inbox) == {"pb/a.csv", "pb/b.csv", "bad/a.csv"}
+    job.run("r1", NOW)
+    assert sorted(map(str, job.store.read("import_ledger").collect())) == first and len(first) == 4
+    again = counters(job.run("r2", NOW))["pb"]
+    assert (again.files, again.added) == (0, 0) and there(inbox) == {"bad/a.csv"}
+    assert there(tmp_path / "archive") == {"pb/a.csv", "pb/b.csv"} and job.store.read("processed_files").count() == 0
+    files.write(inbox, "pb/a.csv", files.bank_text([files.bank_row("21.2.2026", "Kartenzahlung", "Kiosk", "x", debit="-1,00")]))
+    assert counters(job.run("r3", NOW))["pb"].added == 1
+    assert job.set_aside("r4") == 1 and job.set_aside("r4") == 0
+    aside = there(tmp_path / "archive")
+    assert len(aside) == 3 and there(inbox) == {"bad/a.csv"} and any(n.startswith("pb/a.") and n.count(".") == 2 for n in aside)
+
+
 def test_stream_equals_batch(job, spark, tmp_path):
     query = inbox_stream.start(job, str(tmp_path / "checkpoint"), lambda batch: NOW, files_per_batch=1)
     query.awaitTermination(240)
