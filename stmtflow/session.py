@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -45,7 +46,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-_OPEN: list[list[str]] = []
+class _Open(threading.local):
+    """The blocks of :func:`scratch` that a thread is in, with the tables each has cut; jobs in other threads have theirs."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -57,8 +65,8 @@ def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     it is the block's result and goes with the block around it, if there is one.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    if len(_OPEN) > keep:
-        _OPEN[-1 - keep].append(path)
+    if len(_OPEN.blocks) > keep:
+        _OPEN.blocks[-1 - keep].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -70,10 +78,10 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     For jobs whose results are written or collected inside the block; a frame that is read later must not depend on
     them.
     """
-    _OPEN.append([])
+    _OPEN.blocks.append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _OPEN.blocks.pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
