@@ -116,4 +116,20 @@ SELECT page_id, host, path, m.rule AS rule,
 FROM ruled"""
 
 
-SQL: dict[str, str] = {"op8_url_filters": op8(), "op9_quality_rules": op9()}
+def op13() -> str:
+    """Every product of a query and a vector; sums of integers that doubles hold exactly."""
+    return """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), asked AS (
+  SELECT DISTINCT vec_id AS query_id, e AS q FROM usable WHERE vec_id % 100 = 0
+), scored AS (
+  SELECT query_id, q, vec_id, CAST(list_dot_product(q, e) AS BIGINT) AS score
+  FROM asked JOIN usable ON vec_id <> query_id AND len(e) = len(q)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, q ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10"""
+
+
+SQL: dict[str, str] = {"op13_inner_products": op13(), "op8_url_filters": op8(), "op9_quality_rules": op9()}
