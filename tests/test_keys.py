@@ -6,7 +6,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from stmtflow.functions.ranking import number_in_blocks
-from stmtflow.operators.keys import assign_keys, merge_documents
+from stmtflow.operators.fetch import fetch_transactions
+from stmtflow.operators.keys import assign_keys, keyed_once, merge_documents
 from stmtflow.schemas import RAW_TXN
 
 BASE = {
@@ -77,3 +78,34 @@ def test_numbering_equals_row_number(spark):
     )
     got = number_in_blocks(frame, ["k"], "block", ["pos"], "n")
     assert got.where("n <> pos div 3").count() == 0
+
+
+def overlapping(spark):
+    """Three documents of several blocks with many copies, a row without a block and one without a document."""
+    rows = [
+        {**BASE, "doc": d, "block": i // 9, "row_no": i, "amount_cents": -(i % k), "value_date": date(2026, 1, 1 + i % 28)}
+        for d, n, k in (("a", 40, 3), ("b", 70, 4), ("c", 20, 2)) for i in range(n)
+    ]
+    return spark.createDataFrame([*rows, {**BASE, "block": None, "row_no": None}, {**BASE, "doc": None}], RAW_TXN)
+
+
+def test_crowded_groups_get_the_same_keys(spark):
+    rows = overlapping(spark)
+    columns = ["doc", "ordinal", "source_key", "imported_id", "raw_fingerprint", "value_date"]
+    usual, crowded = ([tuple(r) for r in assign_keys(rows, crowd=n).select(columns).collect()] for n in (1000, 5))
+    assert sorted(map(str, usual)) == sorted(map(str, crowded)) and len(usual) == 132
+
+
+def test_merge_in_place_equals_merge_by_key(spark):
+    rows = overlapping(spark).where("doc is not null")
+    want = sorted(map(str, merge_documents(assign_keys(rows)).collect()))
+    for crowd in (1000, 5):
+        assert sorted(map(str, keyed_once(rows, crowd=crowd).collect())) == want
+
+
+def test_fetched_rows_travel_once(spark):
+    rows = [{**BASE, "block": i // 7, "row_no": i, "doc": d} for d in "ab" for i in range(60)]
+    frame = fetch_transactions(spark.createDataFrame(rows, RAW_TXN))
+    assert frame.count() == 60
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
