@@ -121,3 +121,25 @@ def test_plan_updates_adopts_and_creates(spark):
     assert {r.source_key: r.action for r in again.collect()} == {
         "k1": "unchanged", "k2": "unchanged", "k3": "updated", "k4": "unchanged",
     }
+
+
+def test_candidates_equal_plain_search(spark):
+    for left, right in CASES[:4]:
+        rows, free = spark.createDataFrame(left, ROWS), spark.createDataFrame(right, FREE)
+        got = {(r.source_id, r.source_key): (r.candidates, r.best_id, r.best_same_payee) for r in matching.match_candidates(rows, free).collect()}
+        want = {}
+        for source, key, account, _, day, amount, payee, _ in left:
+            near = [
+                (not (p is not None and p == payee), abs((d - day).days), d, i)
+                for a, c, d, p, i in right if (a, c) == (account, amount) and abs((d - day).days) <= 7
+            ]
+            best = min(near, default=(True, 0, None, None))
+            want[source, key] = len(near), best[3], not best[0]
+        assert got == want
+
+
+def test_no_class_is_copied_per_day(spark):
+    left, right = CASES[0]
+    rows, free = spark.createDataFrame(left, ROWS), spark.createDataFrame(right, FREE)
+    plan = matching.match_candidates(rows, free)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
