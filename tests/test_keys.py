@@ -5,7 +5,9 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from stmtflow.functions.identity import packed, unpacked
 from stmtflow.functions.ranking import number_in_blocks
+from stmtflow.operators import ledger
 from stmtflow.operators.fetch import fetch_transactions
 from stmtflow.operators.keys import assign_keys, keyed_once, merge_documents
 from stmtflow.schemas import RAW_TXN
@@ -109,3 +111,13 @@ def test_fetched_rows_travel_once(spark):
     assert frame.count() == 60
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_fingerprints_travel_packed_and_come_back(spark):
+    texts = ["ab" * 32, "AB" * 32, "ab" * 32 + "\n", "earlier", "", None, "ü", "0" * 63]
+    frame = spark.createDataFrame([(t, "s", t) for t in texts], "source_key string, source_id string, raw_fingerprint string")
+    both = frame.select("raw_fingerprint", unpacked(packed("raw_fingerprint")).alias("back"), F.length(packed("raw_fingerprint")).alias("n")).collect()
+    assert [r.back for r in both] == texts and both[0].n == 33
+    parted = ledger.partition(frame.where("source_key <> ''"), frame.replace("earlier", "later", "raw_fingerprint"))
+    assert {r.source_key: r.dedup_status for r in parted.collect()} == {t: "changed" if t == "earlier" else "unchanged" for t in texts if t}
+    assert "packed" not in parted.columns and {r.raw_fingerprint for r in parted.collect()} == {t for t in texts if t}
