@@ -121,3 +121,12 @@ def test_fingerprints_travel_packed_and_come_back(spark):
     parted = ledger.partition(frame.where("source_key <> ''"), frame.replace("earlier", "later", "raw_fingerprint"))
     assert {r.source_key: r.dedup_status for r in parted.collect()} == {t: "changed" if t == "earlier" else "unchanged" for t in texts if t}
     assert "packed" not in parted.columns and {r.raw_fingerprint for r in parted.collect()} == {t for t in texts if t}
+
+
+def test_tasks_that_number_rows_grow_in_number_not_in_size(spark):
+    """The session's four partitions do not bound how many tasks share the rows."""
+    rows = spark.createDataFrame([{**BASE, "row_no": i, "amount_cents": i // 3, "doc": "ab"[i % 2]} for i in range(600)], RAW_TXN)
+    few, many = (keyed_once(rows, task_rows=n) for n in (1000, 25))
+    assert many.rdd.getNumPartitions() == 24 > few.rdd.getNumPartitions()
+    assert sorted(many.collect()) == sorted(few.collect())
+    assert sorted(assign_keys(rows, crowd=0, task_rows=25).collect()) == sorted(assign_keys(rows).collect())
