@@ -11,8 +11,8 @@ The first pass is a pipeline over Arrow arrays, a chunk of documents at a time:
 
 The chunk's counts are merged by Spark into counts of the corpus and the highest count of each B id. These go back to
 the chunks that hold the pair, and each chunk's documents add them up. What is shuffled is one row per chunk and distinct pair, never one
-per link, so the commonest pair has as many rows as there are chunks; a chunk has about ``CHUNK`` bytes of text, so no task
-holds more. The first pass is a written table: a lost executor repeats nothing that was tokenized.
+per link, so the commonest pair has as many rows as there are chunks; a chunk has about ``CHUNK`` bytes of text. Tokens and links
+are held for a part of a chunk only, about ``PART`` characters or one longer document. The first pass is a written table: a lost executor repeats nothing that was tokenized.
 
 Defined results: texts null or empty, and texts whose tokens' joined bytes differ from space and text (as where a text has
 U+2581 itself), have no tokens: zeros and an empty string; equal rows are documents of their own and all count; a null id
@@ -37,6 +37,8 @@ from stmtflow.session import cut_lineage
 
 #: Bytes of text after which a chunk is closed.
 CHUNK = 4 << 20
+#: Characters of text whose tokens and links a task holds at a time; of the parts of a chunk only the counts by document and pair stay.
+PART = 1 << 19
 #: What a pair's number is multiplied by: more than any id of B.
 WIDTH = 1 << 31
 
@@ -148,9 +150,14 @@ def links(a: pa.ListArray, b: pa.ListArray, size_a: pa.Array, size_b: pa.Array)
     })
 
 
+@lru_cache(maxsize=2)
+def _numbers(width: int) -> pa.Array:
+    return pa.array([str(i) for i in range(width)], pa.string())
+
+
 def group_texts(met: pa.Table, docs: int, width: int) -> list[str]:
     """Per document its groups as ``a1,a2|b1;a3|b2,b3``: they close where both sides end."""
-    names = pa.array([str(i) for i in range(width)], pa.string())
+    names = _numbers(width)
     closing = pc.and_(met["a_ends"], met["b_ends"]).to_numpy()
 
     def joined(side: str) -> pa.Array:
@@ -165,11 +172,21 @@ def group_texts(met: pa.Table, docs: int, width: int) -> list[str]:
     return pc.binary_join(pa.ListArray.from_arrays(offsets, groups), ";").to_pylist()
 
 
+def _parts(texts: list[str | None], size: int) -> Iterator[tuple[int, int]]:
+    """Consecutive documents of about ``size`` characters: from and upto."""
+    start, held = 0, 0
+    for i, t in enumerate(texts, 1):
+        held += len(t or "")
+        if held >= size or i == len(texts):
+            yield start, i
+            start, held = i, 0
+
+
 class FirstPass:
     """The map over batches: a row per document, and a row per chunk with its distinct pairs and their counts."""
 
-    def __init__(self, path_a: str, path_b: str, id_type: str, groups: str, chunk: int):
-        self.paths, self.groups, self.chunk = (path_a, path_b), groups, chunk
+    def __init__(self, path_a: str, path_b: str, id_type: str, groups: str, chunk: int, part: int):
+        self.paths, self.groups, self.chunk, self.part = (path_a, path_b), groups, chunk, part
         self.schema = (
             f"chunk bigint, doc_id {id_type}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, `groups` string, "
             "pairs array<int>, times array<int>, known array<bigint>, known_n array<bigint>"
@@ -190,23 +207,33 @@ class FirstPass:
         if texts:
             yield self.rows(number, pa.array(ids, kind), texts)
 
-    def rows(self, number: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    def counted(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """For some documents: the four counts, the groups, how many distinct pairs each has, and these pairs with their counts."""
         a, b = sides(*self.paths)
         n = len(texts)
         in_a, in_b = aligned_lists(texts, a, b)
         met = links(in_a, in_b, *(pc.binary_length(s.tokens).cast(pa.int64()) for s in (a, b)))
         doc = met["doc"].to_numpy()
         closing = pc.and_(met["a_ends"], met["b_ends"]).to_numpy()
-        pair = pc.add(pc.multiply(met["a"].cast(pa.int64()), WIDTH), met["b"].cast(pa.int64()))
-        pair = pc.dictionary_encode(pair.combine_chunks())
-        each = pa.table({"doc": met["doc"], "pair": pair.indices}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
-        each = each.sort_by("doc")
-        of, times = each["doc"].to_numpy(), each["count_all"].to_numpy()
-        offsets = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
-        known = np.bincount(each["pair"].to_numpy(), weights=times, minlength=len(pair.dictionary)).astype(np.int64)
+        counts = [np.diff(in_a.offsets), np.diff(in_b.offsets), np.bincount(doc[closing], minlength=n), np.bincount(doc, minlength=n)]
         texts_of = group_texts(met, n, max(len(a.tokens), len(b.tokens)))
         if self.groups == "sha256":
             texts_of = [t and hashlib.sha256(t.encode()).hexdigest() for t in texts_of]
+        pair = pc.add(pc.multiply(met["a"].cast(pa.int64()), WIDTH), met["b"].cast(pa.int64()))
+        each = pa.table({"doc": met["doc"], "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
+        each = each.sort_by("doc")
+        return counts, texts_of, np.bincount(each["doc"].to_numpy(), minlength=n), each["pair"].to_numpy(), each["count_all"].to_numpy()
+
+    def rows(self, number: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        n = len(texts)
+        parts = [self.counted(texts[i:j]) for i, j in _parts(texts, self.part)]
+        pa.default_memory_pool().release_unused()
+        counts = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
+        texts_of = [t for p in parts for t in p[1]]
+        sizes, pairs, times = (np.concatenate([p[k] for p in parts]) for k in (2, 3, 4))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        pair = pc.dictionary_encode(pa.array(pairs, pa.int64()))
+        known = np.bincount(pair.indices.to_numpy(), weights=times, minlength=len(pair.dictionary)).astype(np.int64)
 
         def column(values: object, kind: pa.DataType) -> pa.Array:
             """The documents' values and a null for the chunk's own row."""
@@ -219,8 +246,7 @@ class FirstPass:
             return pa.concat_arrays([pa.nulls(n, kind), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)])
 
         long, ints = pa.int64(), pa.list_(pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (each["pair"].to_numpy(), times)]
-        counts = [np.diff(in_a.offsets), np.diff(in_b.offsets), np.bincount(doc[closing], minlength=n), np.bincount(doc, minlength=n)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (pair.indices.to_numpy(), times)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n + 1, number), long), column(ids, ids.type), *[column(c.astype(np.int64), long) for c in counts],
@@ -247,7 +273,7 @@ def _add_up(id_type: str):
 
 def align(
     docs: DataFrame, path_a: str | None = None, path_b: str | None = None, *, doc_id: str = "doc_id", text: str = "text",
-    groups: str = "text", chunk: int = CHUNK,
+    groups: str = "text", chunk: int = CHUNK, part: int = PART,
 ) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, groups, n_best, count_sum), a row per row of ``docs``.
 
@@ -259,7 +285,7 @@ def align(
     path_a = path_a or public_tokenizers.path("byte_bpe_50k.tiktoken")
     path_b = path_b or public_tokenizers.path("piece_bpe_32k.model")
     kind = docs.schema[doc_id].dataType.simpleString()
-    first = FirstPass(path_a, path_b, kind, groups, chunk)
+    first = FirstPass(path_a, path_b, kind, groups, chunk, part)
     done = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(first, first.schema))
     rows = done.where("known is null").drop("known", "known_n")
     known = done.where("known is not null").select("chunk", F.posexplode(F.arrays_zip("known", "known_n")).alias("place", "k"))

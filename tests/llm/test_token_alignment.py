@@ -96,3 +96,19 @@ def test_very_long_texts(spark, tmp_path):
         ids = [int(x) for g in out[i].groups.split(";") for x in g.split("|")[0].split(",")]
         assert out[i].n_a == len(ids) == len(a.encode(" " + text)) and out[i].n_b == len(b.encode(text))
         assert out[i].n_links == out[i].n_a + out[i].n_b - out[i].n_groups
+
+
+def test_links_are_held_for_a_part_of_a_chunk(spark, tmp_path, monkeypatch):
+    """A chunk's links are made a few documents at a time, and its counts are those of the whole chunk."""
+    texts = [None, "", "one copy of many", "x" * 300, "Some text here.", *["the words of a text " * (i % 5) for i in range(40)]]
+    paths = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    held, links = [], ta.links
+    monkeypatch.setattr(ta, "links", lambda *of: held.append(links(*of)) or held[-1])
+    batches = [
+        ta.FirstPass(*paths, "bigint", "text", 1 << 22, part).rows(0, ta.pa.array(range(len(texts))), texts) for part in (1 << 20, 400)
+    ]
+    whole, parted = ({**b.to_pydict(), "known": dict(zip(b["known"][-1].as_py(), b["known_n"][-1].as_py(), strict=True))} for b in batches)
+    assert all(whole[c] == parted[c] for c in (*ta.COUNTS, "doc_id", "groups", "known")) and len(held) > 5
+    assert max(len(h) for h in held[1:]) < len(held[0]) / 2
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    assert got(ta.align(stored(spark, tmp_path, rows), part=400)) == brute([r[:2] for r in rows])
