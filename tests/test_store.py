@@ -77,3 +77,14 @@ def test_scratch_tables_go(spark, tmp_path):
         assert storage.names(spark, path)
     assert not storage.names(spark, path)
     assert spark.conf.get("spark.checkpoint.dir", None) == folder
+
+
+def test_a_table_without_a_key_is_written_where_its_rows_are(spark, tmp_path):
+    """No exchange: as many files as tasks, with the same rows."""
+    store = SnapshotStore(spark, str(tmp_path))
+    rows = spark.range(0, 300, 1, 3).selectExpr(
+        "concat('p', id) id", "concat('n', id) name", "cast(null as string) transfer_acct", "false tombstone"
+    )
+    store.write("r", {"payee": rows})
+    assert len(list((tmp_path / "payee").glob("*/*.zstd.parquet"))) == 3
+    assert sorted(r.id for r in store.read("payee").collect()) == sorted(f"p{i}" for i in range(300))
