@@ -155,3 +155,14 @@ def test_known_date_formats(spark):
     formats = {"%d.%m.%y": True, "%U %Y": False, "%d%d": False, "100%%": True, "50%": False, "%c": True, "%d %x": False, "": True}
     rows = spark.createDataFrame([(f,) for f in formats], "f string").select("f", parsing.date_format_known(F.col("f"))).collect()
     assert {f: k for f, k in rows} == formats
+
+
+def test_texts_are_matched_whole_and_never_searched(spark):
+    """A search for a character outside of a class costs a call per place, which was most of a key's time."""
+    points = [c for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    texts = spark.createDataFrame([(f"a{chr(c)}b",) for c in points] + [("",), ("a  b",), (" a\t\x1c b ",), ("ß  é",)], "t string")
+    western, plain = "[^\t-\r\x1c-\x1f -~À-ÖØ-öø-ÿ]", "  |[^ -~]"
+    wrong = texts.where((text._eastern(F.col("t")) != F.col("t").rlike(western)) | (text._plain(F.col("t")) == F.col("t").rlike(plain)))
+    assert wrong.isEmpty()
+    simple = texts.where(~text._eastern(F.col("t")))
+    assert simple.where(text._squeeze_western(F.col("t")) != text.squeeze(F.col("t"))).isEmpty()
