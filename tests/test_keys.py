@@ -130,3 +130,18 @@ def test_tasks_that_number_rows_grow_in_number_not_in_size(spark):
     assert many.rdd.getNumPartitions() == 24 > few.rdd.getNumPartitions()
     assert sorted(many.collect()) == sorted(few.collect())
     assert sorted(assign_keys(rows, crowd=0, task_rows=25).collect()) == sorted(assign_keys(rows).collect())
+
+
+def test_new_rows_are_told_without_fingerprints_and_keys_travel_packed(spark):
+    digest = "0f" * 32
+    rows = [(k, "s", i, "p") for k, i in ((digest, "s:" + digest[:32]), (digest.upper(), "own"), ("k", None), ("l", "s:l"), ("x", "s:x"))]
+    txn = spark.createDataFrame(rows, "source_key string, source_id string, imported_id string, raw_fingerprint string")
+    before = spark.createDataFrame([(digest, "s", "p"), ("k", "s", "q"), ("x", "s", None)], "source_key string, source_id string, raw_fingerprint string")
+    for kept in (False, True):
+        parted = ledger.partition(txn, before, kept)
+        assert parted.columns == [*txn.columns, "dedup_status"]
+        assert {tuple(r) for r in parted.collect()} == {
+            (*r, {digest: "unchanged", "k": "changed"}.get(r[0], "new")) for r in rows
+        }
+    new = ledger.partition(txn, before).where("dedup_status = 'new'").select("source_id", "source_key", "imported_id")
+    assert "unhex(raw_fingerprint" not in new._jdf.queryExecution().optimizedPlan().toString()

@@ -143,3 +143,20 @@ def test_no_class_is_copied_per_day(spark):
     rows, free = spark.createDataFrame(left, ROWS), spark.createDataFrame(right, FREE)
     plan = matching.match_candidates(rows, free)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_exact_match_takes_the_smallest_id_of_any_shape(spark):
+    digest = lambda c: c * 64
+    day = date(2026, 1, 5)
+    ids = {"i1": [digest("b"), digest("a")], "i2": ["zz", digest("b")], "i3": ["A", digest("0")], "i4": [None, digest("a")], "i5": ["y", "x"], "": ["e"],
+           "s:" + "0f" * 16: ["long"], "s:" + "0F" * 16: ["capital"], "i7": [digest("A"), digest("a")]}
+    existing = spark.createDataFrame(
+        [("a", i, n, day if n != "x" else START, n != "A") for i, names in ids.items() for n in names],
+        "account_id string, imported_id string, id string, booking_date date, cleared boolean",
+    )
+    left = [("s", f"k{n}", "a", i, day, 1, None, "n") for n, i in enumerate([*ids, "none", None])]
+    out = matching.match_exact(spark.createDataFrame(left, ROWS), existing)
+    assert out.columns[:2] == ["account_id", "imported_id"] and out.columns[-2:] == ["matched_id", "differs"]
+    want = {i: min(names, key=lambda n: (n is not None, n or "")) for i, names in ids.items() if i}
+    assert {r.imported_id: r.matched_id for r in out.collect()} == want | {"": None, "none": None, None: None}
+    assert {r.imported_id for r in out.where("differs").collect()} == {"i5"}
