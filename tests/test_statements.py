@@ -4,14 +4,15 @@ import codecs
 import csv
 import io
 import random
+import re
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from stmtflow.functions import codepages
-from stmtflow.functions.parsing import parse_amount
-from stmtflow.sources import inbox
+from stmtflow.functions.parsing import parse_amount, parse_date
+from stmtflow.sources import inbox, statements
 from stmtflow.sources.profiles import BUILT_IN_PROFILES, profiles_frame, resolve_profiles
 from stmtflow.sources.statements import ParsedStatements, inspect_rows
 from stmtflow.schemas import SOURCE
@@ -197,3 +198,48 @@ def test_dates_and_encodings_of_a_profile(spark):
     for change, error in (({"date_formats": ["%d.%m.%y", "%U %Y", "%d %d"]}, "unsupported date format: %U %Y, %d %d"), ({"encodings": ["utf-16"]}, "unsupported encoding: utf-16")):
         formats, _ = parsed_with(spark, text, **change)
         assert formats.first().config_error == error
+
+
+def test_text_of_a_line_travels_once(spark, monkeypatch):
+    """Lines meet their format and the state of their block in place; only records of several lines are exchanged again."""
+    monkeypatch.setattr(statements, "MAX_RECORD", 100)
+    plans, cut = [], statements.cut_lineage
+
+    def recorded(df):
+        plans.append(spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return cut(df)
+
+    monkeypatch.setattr(statements, "cut_lineage", recorded)
+    _, parsed = parsed_with(spark, 'Buchungstag;Betrag;Verwendungszweck\n3.2.2026;1,00;"a\nb"\n4.2.2026;2,00;c\n')
+    inputs = [columns for plan in plans for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)]
+    assert sum(bool(re.search(r"\b(raw|text)#", columns)) for columns in inputs) == 1
+    assert [(r.row_no, r.purpose) for r in parsed.rows.orderBy("row_no").collect()] == [(1, "a\nb"), (3, "c")]
+
+
+@pytest.mark.parametrize("limit,error", [(60, None), (59, "cell too long")])
+def test_records_over_several_blocks_have_one_limit(spark, monkeypatch, limit, error):
+    monkeypatch.setattr(statements, "MAX_RECORD", limit)
+    text = 'Buchungstag;Betrag;Verwendungszweck\n3.2.2026;1,00;"' + "a\n" * 21 + 'b"\n4.2.2026;2,00;c\n'
+    _, parsed = parsed_with(spark, text)
+    assert parsed.stats.first().error == error
+    assert ("a\n" * 21 + "b" in [r.purpose for r in parsed.rows.collect()]) == (error is None)
+
+
+def test_cells_keep_all_but_white_space_at_their_ends(spark):
+    text = "Buchungstag;Betrag;Verwendungszweck\n 3.2.2026 ;1,01;  2 Stück 2 \n4.2.2026;2,00; x \n5.2.2026;3,00;\"  1 2\n\"\n"
+    _, parsed = parsed_with(spark, text)
+    got = [r.cells for r in parsed.records.orderBy("at").collect()]
+    assert got[1:] == [["3.2.2026", "1,01", "2 Stück 2"], ["4.2.2026", "2,00", "x"], ["5.2.2026", "3,00", "1 2"]]
+
+
+def test_usual_formats_in_the_other_order_read_the_same_dates(spark):
+    cells = ["3.2.2026", "2026-02-03", "2026-02- 3", "31.2.2026", "0.1.2026", "3.2.0000", "2026-2-3", "3. 2.2026", "", "2026-02-03x"]
+    want = [date(2026, 2, 3)] * 3 + [None] * 3 + [date(2026, 2, 3)] + [None] * 3
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    assert [r.d for r in frame.select("i", parse_date("c", ["%Y-%m-%d", "%d.%m.%Y"]).alias("d")).orderBy("i").collect()] == want
+
+
+def test_amounts_lose_their_noise(spark):
+    cells = [("EUR 1.234,50", True), ("-1 000,5 €", True), ("1,234.50 $", False), ("£ ", False), ("1..2,,3", True)]
+    frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "i int, c string, comma boolean")
+    assert [r.v for r in frame.select("i", parse_amount("c", F.col("comma")).alias("v")).orderBy("i").collect()] == [123450, -100050, 123450, None, None]
