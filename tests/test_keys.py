@@ -145,3 +145,46 @@ def test_new_rows_are_told_without_fingerprints_and_keys_travel_packed(spark):
         }
     new = ledger.partition(txn, before).where("dedup_status = 'new'").select("source_id", "source_key", "imported_id")
     assert "unhex(raw_fingerprint" not in new._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digests_are_made_where_the_rows_meet(spark):
+    rows = [{**BASE, "row_no": i, "amount_cents": i // 3, "doc": "ab"[i % 2]} for i in range(60)]
+    for frame in (fetch_transactions(spark.createDataFrame(rows, RAW_TXN)), assign_keys(spark.createDataFrame(rows, RAW_TXN))):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "sha2" not in plan[plan.index("Exchange "):]
+
+
+LEDGER = (
+    "source_id string, source_key string, imported_id string, actual_account_id string, booking_date date, amount_cents bigint, raw_fingerprint string, "
+    "first_run_id string, last_run_id string, first_seen_at timestamp, last_seen_at timestamp"
+)
+
+
+def ledger_tables(spark):
+    """Rows and a ledger that share some keys, with digests, other texts, own import ids and nulls."""
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(6)]
+    day, at = date(2026, 1, 5), F.lit("2026-01-01").cast("timestamp")
+    known = [
+        ("s", digests[0], "s:" + digests[0][:32], "x", day, 1, digests[5], "r0", "r0"), ("s", digests[1], "own", "x", day, 2, "p", "r0", "r0"),
+        ("s", "k", None, "x", None, 3, None, "r0", "r0"), ("z", digests[2], "z:1", None, day, 4, "p", "r0", "r0"), (None, "n", "i", "x", day, 5, "p", "r0", "r0"),
+    ]
+    types = LEDGER.split(", first_seen_at")[0]
+    before = spark.createDataFrame(known, types).select("*", at.alias("first_seen_at"), at.alias("last_seen_at"))
+    txn = spark.createDataFrame(
+        [("s", digests[0], "s:" + digests[0][:32], day, 1, digests[5]), ("s", digests[1], "own", day, 2, "q"), ("s", "k", "s:k", day, 3, "p"),
+         ("s", digests[3], "s:" + digests[3][:32], day, 9, digests[4]), ("t", digests[3], None, None, None, None), (None, "n", None, day, 5, "p")],
+        "source_id string, source_key string, imported_id string, booking_date date, amount_cents bigint, raw_fingerprint string",
+    )
+    return txn, before, spark.createDataFrame([("s", "x"), ("s", "y"), ("t", "y")], "source_id string, actual_account_id string")
+
+
+def test_ledger_carried_through_the_partition_is_recorded_alike_in_one_join(spark):
+    txn, before, accounts = ledger_tables(spark)
+    now = F.lit("2026-02-01").cast("timestamp")
+    for statuses in ([ledger.NEW, ledger.CHANGED], [ledger.UNCHANGED], [ledger.NEW, ledger.CHANGED, ledger.UNCHANGED]):
+        parted = ledger.partition(txn, before)
+        want = ledger.record(before, parted.where(F.col("dedup_status").isin(statuses)), accounts, "r1", now)
+        got = ledger.record(before, ledger.only(ledger.partition(txn, before, carrying=True), *statuses), accounts, "r1", now)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and plan.count("Join ") == 2

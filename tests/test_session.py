@@ -1,7 +1,9 @@
 """Intermediate tables of jobs that run side by side."""
 
 import os
+import re
 import threading
+import time
 
 from stmtflow.session import cut_lineage, scratch
 
@@ -26,3 +28,20 @@ def test_a_job_deletes_only_its_own_tables(spark):
     other.join()
     assert seen and seen[0][0] == 5
     assert not os.path.exists(own) and not os.path.exists(seen[0][1].removeprefix("file://"))
+
+
+def test_a_cut_table_leaves_no_shuffle_files(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f for f in re.findall(r"shuffle_\d+_[^,/)]*data", disk.getAllFiles().toString())}
+
+    before = files()
+    cut = cut_lineage(spark.range(1000).repartition(3).groupBy("id").count())
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and cut.count() == 1000
+    kept = spark.range(1000).groupBy("id").count()
+    assert kept.count() == 1000 == kept.count()  # other frames keep theirs
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true"
