@@ -123,3 +123,51 @@ def test_risk_gradient_matches_differences():
     step[5] = 1e-5
     w = model.weights
     assert (risk(w + step) - risk(w - step)) / 2e-5 == pytest.approx(gradient[5], abs=1e-6)
+
+
+@pytest.mark.parametrize("dictionary, head", [(1 << 17, 1024), (1 << 17, 3), (8, 3), (0, 3)])
+def test_every_pair_of_words_counts(spark, tmp_path, monkeypatch, dictionary, head):
+    """Scores beside plain counting: the hashed model as a start, and the counts of all pairs, common, rare or new."""
+    monkeypatch.setattr(lm, "DICTIONARY", dictionary)
+    monkeypatch.setattr(lm, "FREQUENT", 6)
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "PART", 300)
+    monkeypatch.setattr(lm, "CHUNK_TEXTS", 7)
+    rows = odd_rows([(50 + i, f"New Words n{i} n{i % 3} words n{i % 7}", "en", "a", 1) for i in range(40)])
+    docs = stored(spark, tmp_path, rows)
+    got = lm.score(docs, F.col("doc_id") % 5 == 2).collect()
+    train = [words(r[1]) for r in rows if r[0] is None or r[0] % 5 != 2]
+    count, pair = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([None, *t], t))
+    fold = docs.where("coalesce(doc_id % 5, 0) <> 2")
+    common = sorted(count, key=lambda w: (-count[w], w.encode()))[:dictionary]
+    v = lm.Vocabulary([w.encode() for w in common], np.array([count[w] for w in common], dtype=np.int64), sum(count.values()), len(count))
+    histories = lm.history_counts(fold, "text", v)
+    by_class, by_word = lm.train_classes(histories), lm.train_words(histories, v)
+
+    def plain(text):
+        t = words(text)
+        number = v.numbers([w.encode() for w in t])
+        outcome = v.outcomes(number)
+        one, two = v.histories(outcome)
+        total = 0
+        for i, w in enumerate(t):
+            before = t[i - 1] if i else None
+            start = math.exp(by_class[one[i] * lm.SKIP + two[i], v.classes[outcome[i]]] + by_word[one[i], outcome[i]])
+            if outcome[i] == v.frequent:
+                start *= (count[w] + 1) / v.rest_size
+            seen = count[before] if i else len(train)
+            total += math.log10((pair[before, w] + lm.SAMPLE * start) / (seen + lm.SAMPLE))
+        return total
+
+    want = sorted((r[0] or -1, plain(r[1])) for r in rows)
+    have = sorted((r.doc_id or -1, r.score) for r in got)
+    assert [d for d, _ in have] == [d for d, _ in want] and np.allclose([x for _, x in have], [x for _, x in want], atol=1e-4)
+
+
+def test_pairs_beyond_the_slots_are_told_apart(spark, tmp_path):
+    """Thousands of equally common words, so that many share each hashed history: what follows a word is learnt of that word."""
+    rows = [(i, " ".join(f"w{j}" for k in range(20) for j in ((i * 7 + k * 31) % 3000, (i * 7 + k * 31) % 3000 + 3000)), "en", "a", 0) for i in range(1500)]
+    texts = [" ".join(f"w{j}" for k in range(20) for j in ((k * 131) % 3000, (k * 131 + shift) % 3000 + 3000)) for shift in (0, 1)]
+    docs = stored(spark, tmp_path, [*rows, *((10_000 + i, t, "en", "a", 0) for i, t in enumerate(texts))])
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") >= 10_000).where("held_out").collect()}
+    assert got[10_000].score > got[10_001].score + 10
