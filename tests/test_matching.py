@@ -6,6 +6,8 @@ from datetime import date, timedelta
 import pytest
 
 from stmtflow.operators import importing, matching
+from stmtflow.plans import queries
+from stmtflow.session import cut_lineage
 
 START = date(2026, 1, 1)
 ROWS = "source_id string, source_key string, account_id string, imported_id string, booking_date date, amount_cents bigint, payee string, notes string"
@@ -160,3 +162,22 @@ def test_exact_match_takes_the_smallest_id_of_any_shape(spark):
     want = {i: min(names, key=lambda n: (n is not None, n or "")) for i, names in ids.items() if i}
     assert {r.imported_id: r.matched_id for r in out.collect()} == want | {"": None, "none": None, None: None}
     assert {r.imported_id for r in out.where("differs").collect()} == {"i5"}
+
+
+@pytest.mark.parametrize("name", ["match_exact", "match_candidates", "match_assign", "import_plan"])
+def test_new_rows_are_written_before_the_budget_is_built(spark, monkeypatch, name):
+    """So that what the fetch has shuffled does not lie on the disk beside what the budget takes."""
+    order = []
+    rows = spark.createDataFrame(
+        [("s", "k", "a", "s:k", date(2026, 1, 5), 5, "p", "n")],
+        "source_id string, source_key string, account_id string, imported_id string, booking_date date, amount_cents bigint, payee string, notes string",
+    )
+    budget = spark.createDataFrame(
+        [("t", "a", date(2026, 1, 6), 5, "p", None, False), ("u", "a", date(2026, 1, 6), 5, "q", "s:x", True)],
+        "id string, account_id string, booking_date date, amount_cents bigint, payee string, imported_id string, cleared boolean",
+    )
+    monkeypatch.setattr(queries, "_importable", lambda t: rows)
+    monkeypatch.setattr(queries, "cut_lineage", lambda frame: order.append("cut") or cut_lineage(frame))
+    monkeypatch.setattr(queries.st, "budget_transactions", lambda t: order.append("budget") or budget)
+    found = getattr(queries, name)(None).first()
+    assert order[:2] == ["cut", "budget"] and found.source_key == "k"
