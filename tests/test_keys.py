@@ -188,3 +188,14 @@ def test_ledger_carried_through_the_partition_is_recorded_alike_in_one_join(spar
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join FullOuter") == 1 and plan.count("Join ") == 2
+
+
+def test_keys_that_the_ledger_has_twice_are_recorded_as_before(spark):
+    txn, before, accounts = ledger_tables(spark)
+    now, more = F.lit("2026-02-01").cast("timestamp"), before.where("amount_cents in (1, 4)")
+    for known in (before, before.unionByName(more.withColumn("raw_fingerprint", F.lit("other")))):
+        for statuses in ([ledger.NEW, ledger.CHANGED], [ledger.UNCHANGED]):
+            parted = ledger.partition(txn, known).where(F.col("dedup_status").isin(statuses))
+            want = ledger.record(known, parted, accounts, "r1", now)
+            got = ledger.record_fetched(txn, known, statuses, accounts, "r1", now)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
